@@ -23,10 +23,11 @@ def ustrip(c: Column | str) -> Column:
 def search_group(text: Column | str, pattern: str, group: int = 1) -> Column:
     """Group of the first match of ``pattern`` in ``text``; NULL when nothing matches.
 
-    ``regexp_substr`` runs the one full scan and yields NULL on a miss; group extraction then re-runs the pattern
-    on the (short) match only. ``regexp_extract`` alone cannot tell a miss from an empty group.
+    One scan of the text: the first element of ``regexp_extract_all`` is the first match's group (``''`` for an
+    empty group), and an empty array — no match — gives NULL. (``regexp_extract`` alone cannot tell a miss from
+    an empty group, and ``regexp_substr`` is rewritten to a ``nullif`` that evaluates its scan twice.)
     """
-    return F.regexp_extract(F.regexp_substr(col_of(text), F.lit(pattern)), pattern, group)
+    return F.get(F.regexp_extract_all(col_of(text), F.lit(pattern), group), 0)
 
 
 def first_match(text: Column | str, patterns: list[str]) -> Column:

@@ -18,6 +18,7 @@ from ..operators.anomaly import detect_anomalies, profile
 from ..operators.extract import extract_fields, merge_entities
 from ..operators.validate import validate
 from ..options import Options
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import spread
 
 RECORD_KEYS = FIELD_ORDER + ["line_items", "confidence_scores"]
@@ -68,6 +69,17 @@ def run_invoices(
         "error", error).drop("_ocr_ok", "_text_length")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the session's checkpoint directory and continue from the written copy.
+
+    The boundary to put after extraction: a filter placed directly on extracted or derived columns is pushed
+    below the projection and inlines the regex expressions (once per reference); reading the written table
+    evaluates them exactly once. It also cuts the lineage, so a lost executor does not recompute the text scan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def summarize(results: DataFrame) -> DataFrame:
     """``total, successful, failed`` — one row, counted without collecting the results."""
     return results.agg(
