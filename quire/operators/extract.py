@@ -117,8 +117,19 @@ def extract_fields(
 
 
 def extract_line_items(invoices: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The line-item child table ``(doc_id, item_no, description, quantity, unit_price, total)``."""
-    return invoices.select(key, F.inline("line_items"))
+    """The line-item child table ``(doc_id, item_no, description, quantity, unit_price, total)``.
+
+    ``inline_outer`` + a filter on the generated column, not ``inline``: an inner generator makes Catalyst infer
+    ``size(line_items) > 0`` and push it below the extraction, which would evaluate the item scan again.
+    """
+    return explode_items(invoices.select(key, "line_items"), "line_items")
+
+
+def explode_items(df: DataFrame, col: str) -> DataFrame:
+    """``inline`` of an array of structs without the inferred (and pushed-down) non-empty filter."""
+    keep = [c for c in df.columns if c != col]
+    first = df.schema[col].dataType.elementType.fieldNames()[0]
+    return df.select(*keep, F.inline_outer(col)).where(F.col(first).isNotNull())
 
 
 def merge_entities(invoices: DataFrame, entities: DataFrame, key: str = "doc_id", with_lists: bool = False) -> DataFrame:

@@ -196,4 +196,6 @@ def findings_as_rows(validated: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per finding, ``kind`` = error | warning."""
     tag = lambda arr, kind: F.transform(arr, lambda f: F.struct(F.lit(kind).alias("kind"), f.alias("f")))  # noqa
     both = F.concat(tag(F.col("errors"), "error"), tag(F.col("warnings"), "warning"))
-    return validated.select(key, F.explode(both).alias("x")).select(key, "x.kind", "x.f.*")
+    # explode_outer + filter: an inner explode would push an inferred size() filter below the validation
+    rows = validated.select(key, F.explode_outer(both).alias("x")).where(F.col("x").isNotNull())
+    return rows.select(key, "x.kind", "x.f.*")

@@ -154,7 +154,8 @@ def v_date_old(spark, d):
     "SELECT doc_id, CAST(item_no AS BIGINT) AS item_no, observed, expected FROM item_err", O.val_ctes(AS_OF)))
 def v_item_arithmetic(spark, d):
     v = validated(spark, d)
-    return v.select("doc_id", F.explode(_codes("errors", "item_total_mismatch")).alias("f")).select(
+    return v.select("doc_id", F.explode_outer(_codes("errors", "item_total_mismatch")).alias("f")).where(
+        F.col("f").isNotNull()).select(
         "doc_id", F.col("f.item_no").cast("bigint").alias("item_no"), F.col("f.observed").alias("observed"),
         F.col("f.expected").alias("expected"))
 

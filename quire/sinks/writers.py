@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import FIELD_ORDER
+from ..operators.extract import explode_items
 
 FORMATS = ("json", "csv")
 ITEM_CSV_COLUMNS = ["description", "quantity", "total", "unit_price"]  # sorted key names
@@ -55,7 +56,7 @@ def flatten_for_csv(df: DataFrame, confidence_fields: list[str] | None = None) -
 
 def line_item_rows(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """The child table, columns in sorted key order after the parent key and item number."""
-    return df.select(key, F.inline("line_items")).select(key, "item_no", *ITEM_CSV_COLUMNS)
+    return explode_items(df.select(key, "line_items"), "line_items").select(key, "item_no", *ITEM_CSV_COLUMNS)
 
 
 def union_item_tables(*tables: DataFrame) -> DataFrame:

@@ -169,5 +169,5 @@ def test_entry_contract(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q) and len(q) >= 40
+    assert set(o) <= set(q) and len(q) >= 39
     assert not any(k.startswith("op") or k == "pipeline" for k in q)
