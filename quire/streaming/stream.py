@@ -22,6 +22,19 @@ from ..operators.validate import validate
 DOC_SCHEMA = "doc_id bigint, text string"
 
 
+def parquet_batch_sink(base: str, columns: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """Idempotent ``foreachBatch`` sink: micro-batch ``n`` overwrites ``base/batch=n``.
+
+    A batch replayed after a failure rewrites its own folder instead of appending a second copy.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        out = batch.select(*columns) if columns else batch
+        out.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+
+    return sink
+
+
 def stream_chain(stream: DataFrame, history_profile: DataFrame | None = None, by=(), as_of: _dt.date | str | None = None,
                  mode: str | None = "statistical") -> DataFrame:
     inv = validate(extract_fields(stream), as_of=as_of)

@@ -14,7 +14,7 @@ from quire.plans.run import report, run_invoices, summarize
 from quire.sinks.writers import flatten_for_csv, output_names, union_item_tables, write_invoices
 from quire.sources.files import assemble_pages, find_invoices, is_supported_file, supported_extensions
 from quire.sources.fixtures import rendered_invoices
-from quire.streaming.stream import start_invoice_stream, stream_chain
+from quire.streaming.stream import parquet_batch_sink, start_invoice_stream, stream_chain
 
 DOCS = "doc_id bigint, text string"
 TEXT = "INVOICE # A-1\nFrom: Shop & Co.\nDate: 05/03/2024\nwidget  2  $5.00  $10.00\nTotal: 12.00\nVAT: 2.00\nSubtotal: 10.00"
@@ -122,14 +122,11 @@ def test_streaming_equals_batch(spark, scratch):
     hist = invoices(spark, SF_SMALL)
     prof = profile(hist)
     out_dir = os.path.join(scratch, "out")
-
-    def sink(batch, batch_id):
-        batch.select("doc_id", "total", "valid", "total_anomalies").write.mode("append").parquet(out_dir)
-
+    sink = parquet_batch_sink(out_dir, ["doc_id", "total", "valid", "total_anomalies"])
     q = start_invoice_stream(spark, src, os.path.join(scratch, "ckpt"), sink, history_profile=prof,
                              as_of="2005-06-30", max_files_per_trigger=2)
     q.awaitTermination(300)
-    streamed = spark.read.parquet(out_dir)
+    streamed = spark.read.parquet(out_dir).drop("batch")
     batch = stream_chain(spark.read.parquet(src), prof, as_of="2005-06-30").select(
         "doc_id", "total", "valid", "total_anomalies")
     assert streamed.count() == batch.count() > 0
@@ -171,3 +168,13 @@ def test_entry_contract(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 39
     assert not any(k.startswith("op") or k == "pipeline" for k in q)
+
+
+def test_text_documents(spark, scratch):
+    from quire.sources.files import read_text_documents
+    for i, body in enumerate(["INVOICE # X-1\nTotal: 5.00", "nothing"]):
+        open(os.path.join(scratch, f"doc{i}.txt"), "w").write(body)
+    docs = read_text_documents(spark, scratch)
+    inv = {os.path.basename(r.path): r for r in extract_fields(docs).collect()}
+    assert inv["doc0.txt"].invoice_number == "X-1" and inv["doc1.txt"].total is None
+    assert len({r.doc_id for r in inv.values()}) == 2
