@@ -35,23 +35,32 @@ def line_item_matches(text: Column | str, guarded: bool = True) -> Column:
     return F.regexp_extract_all(col_of(text), F.lit(java_item_pattern(guarded)), 0)
 
 
+ITEM_SEP, GROUP_SEP = "\u0002", "\u0000"  # never inside a match: not letters, whitespace, digits, ',', '.', '$'
+
+
 def line_items_column(text: Column | str, guarded: bool = True) -> Column:
     """``array<struct<item_no, description, quantity, unit_price, total>>`` before the conversion check.
 
-    Groups are re-read from each (short) match; re-matching inside group 0 yields the same groups.
+    The guarded scan finds the matches; they are joined with a separator that no match can contain and the
+    (unguarded) pattern is applied once more to that short string, rewriting every match to its four groups —
+    one extra pass over the matched text instead of four regex calls per item. Re-matching a match on its own
+    yields the same groups, and the separator keeps matches from running into each other.
     """
-    inner = java_item_pattern(guarded=False)
+    joined = F.array_join(line_item_matches(text, guarded), ITEM_SEP)
+    groups = "$1" + GROUP_SEP + "$2" + GROUP_SEP + "$3" + GROUP_SEP + "$4"
+    rows = F.split(F.regexp_replace(joined, F.lit(java_item_pattern(guarded=False)), F.lit(groups)), ITEM_SEP)
 
-    def item(m: Column, i: Column) -> Column:
+    def item(row: Column, i: Column) -> Column:
+        g = F.split(row, GROUP_SEP)
         return F.struct(
             (i + 1).cast("int").alias("item_no"),
-            ustrip(F.regexp_extract(m, inner, 1)).alias("description"),
-            F.regexp_extract(m, inner, 2).try_cast("bigint").alias("quantity"),
-            parse_amount(F.regexp_extract(m, inner, 3)).alias("unit_price"),
-            parse_amount(F.regexp_extract(m, inner, 4)).alias("total"),
+            ustrip(g[0]).alias("description"),
+            g[1].try_cast("bigint").alias("quantity"),
+            parse_amount(g[2]).alias("unit_price"),
+            parse_amount(g[3]).alias("total"),
         )
 
-    return F.transform(line_item_matches(text, guarded), item)
+    return F.transform(F.filter(rows, lambda r: r != ""), item)
 
 
 def confidence_column(fields: dict[str, Column | str]) -> Column:

@@ -54,12 +54,20 @@ def render_invoices(orders: DataFrame, lineitem: DataFrame, part: DataFrame) ->
         F.concat(F.lit("$"), _money(item_total, grouped)),
     )
     # Hash-partition by order key once: the per-order aggregation reuses it (no second shuffle), and an explicit
-    # partition count keeps AQE from folding the CPU-heavy text work downstream into one or two tasks.
-    n_parts = int(lineitem.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # partition count keeps AQE from folding the CPU-heavy text work downstream into one or two tasks. When the
+    # scan arrives in fewer partitions than cores (one large file), partition before the part join so that the
+    # join and the string formatting run in parallel; otherwise after it (the part join may itself shuffle).
+    spark = lineitem.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    few = li.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    if few:
+        li = li.repartition(n_parts, "l_orderkey")
+    joined = li.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    if not few:
+        joined = joined.repartition(n_parts, "l_orderkey")
     items = (
-        lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
-        .join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")
-        .repartition(n_parts, "l_orderkey")
+        joined
         .select(
             k,
             F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")).alias("item"),
