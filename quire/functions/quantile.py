@@ -98,12 +98,15 @@ def exact_quantiles(
         done = state.join(open_.select(*key), key, "left_anti")
         state = done.unionByName(refined).checkpoint(eager=True)
 
-    # resolve: single-valued ranges directly; the rest by sorting their (bounded) candidates
+    # resolve: single-valued ranges directly; the rest by sorting their (bounded) candidates. Ranks of one group
+    # that share a range (always so when the group was small from the start) share one sorted candidate list.
     single = state.where(F.col("lo") == F.col("hi")).select(*key, F.col("lo").alias("x"))
     rest = state.where(F.col("lo") < F.col("hi"))
-    cand = _join_targets(vals, rest.select(*key, "lo", "hi", "below"), by, small).where(
-        (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-    resolved = cand.groupBy(*key, "below").agg(F.sort_array(F.collect_list("v")).alias("vs")).select(
+    rng = by + ["lo", "hi", "below"]
+    ranges = rest.select(*rng).distinct()
+    cand = _join_targets(vals, ranges, by, small).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    sorted_ranges = cand.groupBy(*rng).agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    resolved = rest.join(sorted_ranges, rng).select(
         *key, F.element_at("vs", (F.col("rank") - F.col("below") + 1).cast("int")).alias("x"))
     found = single.unionByName(resolved)
 

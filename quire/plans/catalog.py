@@ -529,7 +529,7 @@ def i_oracle(spark, d):
     "invoice_number AS invoice_id, 'ERP-' || invoice_number AS erp_reference FROM inv CROSS JOIN "
     "(VALUES ('generic', 'Generic'), ('sap', 'SAP'), ('oracle', 'Oracle')) t(target, label)"))
 def i_outbox(spark, d):
-    inv = invoices(spark, d)
+    inv = invoices_once(spark, d)  # I5 fan-out: one written frame, one projection per target
     parts = [outbox(inv, t) for t in ("generic", "sap", "oracle")]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.select("doc_id", "target", "success", "message", "invoice_id", "erp_reference")
