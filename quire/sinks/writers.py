@@ -7,6 +7,7 @@ other nested values → JSON text; line items go to a child table keyed by ``doc
 
 from __future__ import annotations
 
+import logging
 import os
 
 from pyspark import StorageLevel
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.patterns import FIELD_ORDER
 from ..operators.extract import explode_items
 
+LOG = logging.getLogger(__name__)
 FORMATS = ("json", "csv")
 ITEM_CSV_COLUMNS = ["description", "quantity", "total", "unit_price"]  # sorted key names
 
@@ -85,6 +87,9 @@ def write_invoices(df: DataFrame, base: str, formats: list[str] | tuple[str, ...
     if len(formats) == 1 and formats[0] not in FORMATS:
         raise ValueError(f"Unknown format: {formats[0]}")
     known = [f for f in formats if f in FORMATS]
+    for f in formats:
+        if f not in FORMATS:
+            LOG.warning("Unknown export format: %s", f)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK) if len(known) > 1 else df
     try:
         for fmt in known:
