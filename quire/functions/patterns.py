@@ -71,6 +71,38 @@ DATE_SHAPES = [
     r"^\d{1,2} [A-Za-z]+ \d{4}$",
 ]
 
+# ---- FIXED VALUES: finding / anomaly / status texts ({name} marks a value filled in per row) ----------------------
+MSG_REQUIRED_MISSING = "Required field '{field}' is missing"
+MSG_NOT_A_NUMBER = "Field '{field}' must be a number"
+MSG_NEGATIVE = "Field '{field}' cannot be negative"
+MSG_TOTAL_MISMATCH = "Total mismatch: subtotal ({subtotal}) + VAT ({vat}) = {expected}, but total is {total}"
+MSG_ITEM_MISSING = "Line item {n}: missing {key}"
+MSG_ITEM_MISMATCH = "Line item {n}: total mismatch ({quantity} × {unit_price} = {expected}, but total is {total})"
+MSG_UNUSUAL_VAT_RATE = "Unusual VAT rate: {rate}%. Expected rates: {rates}"
+MSG_DATE_UNPARSEABLE = "Could not parse invoice date: {date}"
+MSG_DATE_FUTURE = "Invoice date is in the future: {date}"
+MSG_DATE_OLD = "Invoice date is very old: {date}"
+MSG_TOTAL_OUTLIER = "Total amount is unusual (z-score: {z})"
+MSG_VAT_OUTLIER = "VAT amount is unusual (z-score: {z})"
+MSG_ROUND_TOTAL = "Total is a very round number"
+MSG_DUPLICATE_ITEMS = "Duplicate line items detected"
+MSG_SUPPLIER_MISSING = "Supplier information is missing"
+MSG_HIGH_VAT_RATE = "VAT rate is unusually high: {rate}%"
+MSG_CONVERSION = "could not convert string to float: '{raw}'"
+MSG_OCR_FAILED = "OCR extraction failed"
+MSG_NOT_CONNECTED = "Not connected to ERP system"
+MSG_PUSHED = "Invoice pushed to {target}"
+ANOMALY_TYPES = ["statistical_outlier", "suspicious_pattern", "duplicate_items", "missing_critical_field",
+                 "unusual_rate"]
+SEVERITIES = ["low", "medium", "high"]
+VALIDATION_STATUS_DEFAULT = "unknown"
+ERP_REFERENCE_PREFIX = "ERP-"
+TARGET_LABELS = {"generic": "Generic", "sap": "SAP", "oracle": "Oracle"}
+SAP_CONSTANTS = {"BUKRS": "CompanyCode", "WAERS": "USD", "BSART": "ZINV"}
+ORACLE_CONSTANTS = {"currency_code": "USD", "invoice_type_lookup_code": "STANDARD", "description_prefix": "Invoice "}
+PAGE_HEADER = "--- Page {n} ---"
+PAGE_JOIN = "\n\n"
+
 # ---- FIXED VALUES: supported document file extensions -----------------------------------------------------------
 SUPPORTED_EXTENSIONS = [".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp"]
 

@@ -5,6 +5,8 @@ All of these are native Spark expressions (codegen'd, JVM-side); none is a Pytho
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,20 @@ def parse_amount(s: Column) -> Column:
     return parse_double(F.replace(s, F.lit(","), F.lit("")))
 
 
+def template(tpl: str, **values: Column | str) -> Column:
+    """Fill a ``{name}`` text template with columns (cast to string) — one ``concat``."""
+    parts = re.split(r"\{(\w+)\}", tpl)
+    cols = []
+    for i, part in enumerate(parts):
+        if i % 2 == 0:
+            if part:
+                cols.append(F.lit(part))
+        else:
+            v = values[part]
+            cols.append(F.lit(v) if isinstance(v, str) else v.cast("string"))
+    return F.concat(*cols) if cols else F.lit("")
+
+
 def nan_to_null(c: Column) -> Column:
     """Structured inputs may carry NaN; Python compares NaN as false everywhere, Spark as largest. Treat as absent."""
     return F.when(~F.isnan(c), c)

@@ -12,6 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import (
+    MSG_CONVERSION,
+    MSG_DUPLICATE_ITEMS,
+    MSG_HIGH_VAT_RATE,
+    MSG_ROUND_TOTAL,
+    MSG_SUPPLIER_MISSING,
+    MSG_TOTAL_OUTLIER,
+    MSG_VAT_OUTLIER,
     HIGH_VAT_PERCENT,
     IQR_FACTOR,
     ROUND_TOTAL_UNIT,
@@ -19,6 +26,7 @@ from ..functions.patterns import (
     Z_SCORE_THRESHOLD,
 )
 from ..functions.quantile import exact_quantiles
+from ..functions.text import template
 from .validate import gt, vat_rate
 
 ANOMALY = "struct<field:string,type:string,value:double,message:string,severity:string>"
@@ -103,23 +111,23 @@ def rule_anomalies(df: DataFrame) -> Column:
     """A9–A12 in order: round total, duplicate items, missing supplier, high VAT rate."""
     t_truthy, _, total = _amount_state(df, "total")
     rnd = F.when(t_truthy & gt(total, 0.0) & ((total % ROUND_TOTAL_UNIT) == 0) & gt(total, ROUND_TOTAL_UNIT),
-                 anomaly("total", "suspicious_pattern", "Total is a very round number", "low", total))
+                 anomaly("total", "suspicious_pattern", MSG_ROUND_TOTAL, "low", total))
     descs = F.transform(F.col("line_items"),
                         lambda x: F.lower(F.coalesce(x["description"], F.lit(""))))
     dup = F.when(F.size(descs) != F.size(F.array_distinct(descs)),
-                 anomaly("line_items", "duplicate_items", "Duplicate line items detected", "medium"))
+                 anomaly("line_items", "duplicate_items", MSG_DUPLICATE_ITEMS, "medium"))
     sup = F.when(F.coalesce(F.col("supplier"), F.lit("")) == "",
-                 anomaly("supplier", "missing_critical_field", "Supplier information is missing", "high"))
+                 anomaly("supplier", "missing_critical_field", MSG_SUPPLIER_MISSING, "high"))
     rate = vat_rate()
     high = F.when(gt(rate, HIGH_VAT_PERCENT),
                   anomaly("vat", "unusual_rate",
-                          F.concat(F.lit("VAT rate is unusually high: "), F.format_string("%.2f", rate), F.lit("%")),
+                          template(MSG_HIGH_VAT_RATE, rate=F.format_string("%.2f", rate)),
                           "high", rate))
     return F.filter(F.array(rnd, dup, sup, high), lambda a: a.isNotNull())
 
 
 def _conv_error(raw: Column) -> Column:
-    return F.concat(F.lit("could not convert string to float: '"), raw, F.lit("'"))
+    return template(MSG_CONVERSION, raw=raw)
 
 
 def detect_anomalies(invoices: DataFrame, history_profile: DataFrame | None = None, by: list[str] | tuple[str, ...] = (),
@@ -156,13 +164,11 @@ def detect_anomalies(invoices: DataFrame, history_profile: DataFrame | None = No
         out_t = iqr_outlier(total, p("n_total"), p("q1_total"), p("q3_total"))
         a_total = F.when(run_t & (gt(zt, Z_SCORE_THRESHOLD) | out_t),
                          anomaly("total", "statistical_outlier",
-                                 F.concat(F.lit("Total amount is unusual (z-score: "), F.format_string("%.2f", zt),
-                                          F.lit(")")),
+                                 template(MSG_TOTAL_OUTLIER, z=F.format_string("%.2f", zt)),
                                  F.when(gt(zt, Z_SCORE_HIGH), "high").otherwise("medium"), total))
         a_vat = F.when(run_v & gt(zv, Z_SCORE_THRESHOLD),
                        anomaly("vat", "statistical_outlier",
-                               F.concat(F.lit("VAT amount is unusual (z-score: "), F.format_string("%.2f", zv),
-                                        F.lit(")")), "medium", vat))
+                               template(MSG_VAT_OUTLIER, z=F.format_string("%.2f", zv)), "medium", vat))
         stat = F.filter(F.array(a_total, a_vat), lambda a: a.isNotNull())
         scores = F.map_filter(F.create_map(F.lit("total_z_score"), F.when(run_t, zt),
                                            F.lit("vat_z_score"), F.when(run_v, zv)), lambda k, v: v.isNotNull())

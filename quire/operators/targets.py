@@ -10,6 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import (
+    ERP_REFERENCE_PREFIX,
+    MSG_NOT_CONNECTED,
+    MSG_PUSHED,
+    ORACLE_CONSTANTS,
+    SAP_CONSTANTS,
+    TARGET_LABELS,
+    VALIDATION_STATUS_DEFAULT,
+)
+
 Target = Callable[[DataFrame], DataFrame]
 
 
@@ -21,7 +31,7 @@ def _opt(df: DataFrame, name: str, default):
 def generic(df: DataFrame) -> DataFrame:
     """I1."""
     conf = F.col("confidence") if "confidence" in df.columns else F.create_map().cast("map<string,double>")
-    status = _opt(df, "validation_status", "unknown")
+    status = _opt(df, "validation_status", VALIDATION_STATUS_DEFAULT)
     flags = F.col("anomaly_flags") if "anomaly_flags" in df.columns else F.array().cast("array<string>")
     return df.select(
         *(["doc_id"] if "doc_id" in df.columns else []),
@@ -42,9 +52,10 @@ def sap(df: DataFrame) -> DataFrame:
     g = generic(df)
     return g.select(
         *(["doc_id"] if "doc_id" in g.columns else []),
-        F.lit("CompanyCode").alias("BUKRS"), F.col("vendor").alias("LIFNR"), F.col("invoice_date").alias("BLDAT"),
-        F.col("total_amount").alias("WRBTR"), F.lit("USD").alias("WAERS"), F.col("invoice_number").alias("XBLNR"),
-        F.lit("ZINV").alias("BSART"), F.col("line_items").alias("ITEMS"),
+        F.lit(SAP_CONSTANTS["BUKRS"]).alias("BUKRS"), F.col("vendor").alias("LIFNR"),
+        F.col("invoice_date").alias("BLDAT"), F.col("total_amount").alias("WRBTR"),
+        F.lit(SAP_CONSTANTS["WAERS"]).alias("WAERS"), F.col("invoice_number").alias("XBLNR"),
+        F.lit(SAP_CONSTANTS["BSART"]).alias("BSART"), F.col("line_items").alias("ITEMS"),
     )
 
 
@@ -54,14 +65,17 @@ def oracle(df: DataFrame) -> DataFrame:
     return g.select(
         *(["doc_id"] if "doc_id" in g.columns else []),
         F.col("vendor").alias("vendor_id"), F.col("invoice_number").alias("invoice_num"), F.col("invoice_date"),
-        F.col("total_amount").alias("invoice_amount"), F.col("tax_amount"), F.lit("USD").alias("currency_code"),
-        F.lit("STANDARD").alias("invoice_type_lookup_code"),
-        F.concat(F.lit("Invoice "), F.col("invoice_number")).alias("description"), F.col("line_items").alias("lines"),
+        F.col("total_amount").alias("invoice_amount"), F.col("tax_amount"),
+        F.lit(ORACLE_CONSTANTS["currency_code"]).alias("currency_code"),
+        F.lit(ORACLE_CONSTANTS["invoice_type_lookup_code"]).alias("invoice_type_lookup_code"),
+        F.concat(F.lit(ORACLE_CONSTANTS["description_prefix"]), F.col("invoice_number")).alias("description"),
+        F.col("line_items").alias("lines"),
     )
 
 
-TARGETS: dict[str, tuple[str, Target]] = {"generic": ("Generic", generic), "sap": ("SAP", sap),
-                                          "oracle": ("Oracle", oracle)}
+TARGETS: dict[str, tuple[str, Target]] = {"generic": (TARGET_LABELS["generic"], generic),
+                                          "sap": (TARGET_LABELS["sap"], sap),
+                                          "oracle": (TARGET_LABELS["oracle"], oracle)}
 
 
 class TargetRegistry:
@@ -112,12 +126,12 @@ def outbox(df: DataFrame, name: str, connected: bool = True) -> DataFrame:
     cols = [c for c in payload.columns if c != "doc_id"]
     num = F.col(ID_COLUMN[key])
     if connected:
-        res = [F.lit(True).alias("success"), F.lit(f"Invoice pushed to {label}").alias("message"),
-               num.alias("invoice_id"), F.concat(F.lit("ERP-"), num).alias("erp_reference"),
+        res = [F.lit(True).alias("success"), F.lit(MSG_PUSHED.format(target=label)).alias("message"),
+               num.alias("invoice_id"), F.concat(F.lit(ERP_REFERENCE_PREFIX), num).alias("erp_reference"),
                F.lit(None).cast("string").alias("error")]
     else:
         res = [F.lit(False).alias("success"), F.lit(None).cast("string").alias("message"),
                F.lit(None).cast("string").alias("invoice_id"), F.lit(None).cast("string").alias("erp_reference"),
-               F.lit("Not connected to ERP system").alias("error")]
+               F.lit(MSG_NOT_CONNECTED).alias("error")]
     return payload.select(*(["doc_id"] if "doc_id" in payload.columns else []), F.lit(key).alias("target"), *res,
                           F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("payload"))

@@ -13,7 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_of_col, parse_invoice_date
+from ..functions.text import template
 from ..functions.patterns import (
+    MSG_DATE_FUTURE,
+    MSG_DATE_OLD,
+    MSG_DATE_UNPARSEABLE,
+    MSG_ITEM_MISMATCH,
+    MSG_ITEM_MISSING,
+    MSG_NEGATIVE,
+    MSG_NOT_A_NUMBER,
+    MSG_REQUIRED_MISSING,
+    MSG_TOTAL_MISMATCH,
+    MSG_UNUSUAL_VAT_RATE,
     AMOUNT_FIELDS,
     CALCULATION_TOLERANCE,
     DEFAULT_REQUIRED_FIELDS,
@@ -58,10 +69,6 @@ def finding(code: str, field: str | Column | None, message: Column | str, item_n
     )
 
 
-def _str(c: Column) -> Column:
-    return c.cast("string")
-
-
 def _present(df: DataFrame, f: str) -> Column:
     """``f in data and data[f] is not None``: captured text counts as present even when it is not a number."""
     if f in AMOUNT_FIELDS and f + "_raw" in df.columns:
@@ -76,7 +83,7 @@ def _present(df: DataFrame, f: str) -> Column:
 def required_findings(df: DataFrame, required_fields: list[str]) -> list[Column]:
     """V1."""
     return [
-        F.when(~_present(df, f), finding(REQUIRED_MISSING, f, f"Required field '{f}' is missing"))
+        F.when(~_present(df, f), finding(REQUIRED_MISSING, f, MSG_REQUIRED_MISSING.format(field=f)))
         for f in required_fields
     ]
 
@@ -87,15 +94,12 @@ def numeric_findings(df: DataFrame) -> list[Column]:
     for f in AMOUNT_FIELDS:
         v = F.col(f)
         out.append(
-            F.when(_present(df, f) & v.isNull(), finding(NOT_A_NUMBER, f, f"Field '{f}' must be a number"))
-            .when(v < 0, finding(NEGATIVE, f, f"Field '{f}' cannot be negative", observed=v))
+            F.when(_present(df, f) & v.isNull(), finding(NOT_A_NUMBER, f, MSG_NOT_A_NUMBER.format(field=f)))
+            .when(v < 0, finding(NEGATIVE, f, MSG_NEGATIVE.format(field=f), observed=v))
         )
     sub, vat, tot = F.col("subtotal"), F.col("vat"), F.col("total")
     expected = sub + vat
-    msg = F.concat(
-        F.lit("Total mismatch: subtotal ("), _str(sub), F.lit(") + VAT ("), _str(vat), F.lit(") = "),
-        _str(expected), F.lit(", but total is "), _str(tot),
-    )
+    msg = template(MSG_TOTAL_MISMATCH, subtotal=sub, vat=vat, expected=expected, total=tot)
     out.append(
         F.when(gt(F.abs(expected - tot), CALCULATION_TOLERANCE),
                finding(TOTAL_MISMATCH, "total", msg, observed=tot, expected=expected))
@@ -110,14 +114,12 @@ def item_findings(items: Column | str = "line_items") -> Column:
     def per_item(x: Column, i: Column) -> Column:
         n = i + 1
         checks = [
-            F.when(x[k].isNull(), finding(ITEM_FIELD_MISSING, k, F.concat(F.lit("Line item "), _str(n),
-                                                                        F.lit(f": missing {k}")), item_no=n))
+            F.when(x[k].isNull(), finding(ITEM_FIELD_MISSING, k, template(MSG_ITEM_MISSING, n=n, key=k), item_no=n))
             for k in ("description", "quantity", "unit_price", "total")
         ]
         q, u, t = x["quantity"].cast("double"), x["unit_price"], x["total"]
         exp = q * u
-        msg = F.concat(F.lit("Line item "), _str(n), F.lit(": total mismatch ("), _str(x["quantity"]), F.lit(" × "),
-                       _str(u), F.lit(" = "), _str(exp), F.lit(", but total is "), _str(t), F.lit(")"))
+        msg = template(MSG_ITEM_MISMATCH, n=n, quantity=x["quantity"], unit_price=u, expected=exp, total=t)
         checks.append(F.when(gt(F.abs(exp - t), CALCULATION_TOLERANCE),
                              finding(ITEM_TOTAL_MISMATCH, "total", msg, item_no=n, observed=t, expected=exp)))
         return F.array(*checks)
@@ -141,7 +143,7 @@ def vat_rate_findings(rates: list[float]) -> list[Column]:
     rate = vat_rate()
     allowed = F.array(*[F.lit(float(r)) for r in rates])
     expected_txt = ", ".join(f"{r}%" for r in rates)
-    msg = F.concat(F.lit("Unusual VAT rate: "), F.format_string("%.2f", rate), F.lit(f"%. Expected rates: {expected_txt}"))
+    msg = template(MSG_UNUSUAL_VAT_RATE, rate=F.format_string("%.2f", rate), rates=expected_txt)
     return [
         F.when(rate.isNotNull() & ~F.exists(allowed, lambda r: F.abs(rate - r) < VAT_RATE_TOLERANCE),
                finding(UNUSUAL_VAT_RATE, "vat", msg, observed=rate))
@@ -153,11 +155,11 @@ def date_findings(parsed: Column, raw: Column, as_of: Column) -> list[Column]:
     present = raw.isNotNull() & (raw != "")
     return [
         F.when(present & parsed.isNull(),
-               finding(UNPARSEABLE_DATE, "invoice_date", F.concat(F.lit("Could not parse invoice date: "), raw))),
+               finding(UNPARSEABLE_DATE, "invoice_date", template(MSG_DATE_UNPARSEABLE, date=raw))),
         F.when(present & (parsed > as_of),
-               finding(FUTURE_DATE, "invoice_date", F.concat(F.lit("Invoice date is in the future: "), raw))),
+               finding(FUTURE_DATE, "invoice_date", template(MSG_DATE_FUTURE, date=raw))),
         F.when(present & (F.datediff(as_of, parsed) > OLD_DATE_DAYS),
-               finding(VERY_OLD_DATE, "invoice_date", F.concat(F.lit("Invoice date is very old: "), raw))),
+               finding(VERY_OLD_DATE, "invoice_date", template(MSG_DATE_OLD, date=raw))),
     ]
 
 

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import FIELD_ORDER
+from ..functions.patterns import FIELD_ORDER, MSG_OCR_FAILED
 from ..operators.anomaly import detect_anomalies, profile
 from ..operators.extract import extract_fields, merge_entities
 from ..operators.validate import validate
@@ -64,7 +64,7 @@ def run_invoices(
         if mode == "rule_based":
             failed_anomaly = F.col("anomaly_error").isNotNull()
     success = ok & ~failed_anomaly
-    error = (F.when(~ok, F.lit("OCR extraction failed"))
+    error = (F.when(~ok, F.lit(MSG_OCR_FAILED))
              .when(failed_anomaly, F.col("anomaly_error")))
     return out.withColumn("stages", F.struct(*stages)).withColumn("success", success).withColumn(
         "error", error).drop("_ocr_ok", "_text_length")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.patterns import SUPPORTED_EXTENSIONS
+from ..functions.patterns import PAGE_HEADER, PAGE_JOIN, SUPPORTED_EXTENSIONS
+from ..functions.text import template
 
 FILES_SCHEMA = "path string, length bigint, modificationTime timestamp"
 
@@ -63,6 +64,6 @@ def assemble_pages(pages: DataFrame, key: str = "doc_id", page_no: str = "page_n
     entry = F.when(ok, F.struct(F.col(page_no).cast("bigint").alias("n"), F.col(text).alias("t")))
     agg = pages.groupBy(key).agg(F.count("*").alias("pages"), F.array_sort(F.collect_list(entry)).alias("ps"))
     body = F.array_join(
-        F.transform("ps", lambda p: F.concat(F.lit("--- Page "), p["n"].cast("string"), F.lit(" ---\n"),
-                                             F.coalesce(p["t"], F.lit("")))), "\n\n")
+        F.transform("ps", lambda p: F.concat(template(PAGE_HEADER, n=p["n"]), F.lit("\n"),
+                                             F.coalesce(p["t"], F.lit("")))), PAGE_JOIN)
     return agg.select(key, F.col("pages").cast("bigint").alias("pages"), body.alias("text"))

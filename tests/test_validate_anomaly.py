@@ -195,3 +195,15 @@ def test_profile_by_key(spark):
         "subtotal", F.lit(None).cast("double")).withColumn("line_items", F.lit(None).cast(ITEMS))
     out = {r.doc_id: r for r in detect_anomalies(inv, profile(hist, by=["supplier"]), by=["supplier"]).collect()}
     assert "total_z_score" in out[1].scores and out[2].scores == {} and out[3].scores == {}
+
+
+def test_keyed_quantiles_with_a_hot_key(spark):
+    # one key holds most rows (forcing refinement rounds on it), the others are tiny
+    rnd = random.Random(9)
+    rows = [("hot", float(rnd.randint(0, 50))) for _ in range(3000)] + [("hot", 1e6)]
+    rows += [(f"k{i}", float(i + j)) for i in range(20) for j in range(3)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.q1, r.q3) for r in exact_quantiles(df, "v", {"q1": 0.25, "q3": 0.75}, by=["k"], buckets=8,
+                                                          final_limit=50).collect()}
+    for key in {k for k, _ in rows}:
+        assert got[key] == numpy_quartiles([v for k, v in rows if k == key]), key
