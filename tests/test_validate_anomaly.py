@@ -207,3 +207,13 @@ def test_keyed_quantiles_with_a_hot_key(spark):
                                                           final_limit=50).collect()}
     for key in {k for k, _ in rows}:
         assert got[key] == numpy_quartiles([v for k, v in rows if k == key]), key
+
+
+def test_profile_approx_option(spark):
+    vals = [float(v) for v in range(1, 101)]
+    hist = hist_df(spark, vals)
+    exact = profile(hist).collect()[0]
+    approx = profile(hist, approx=True).collect()[0]
+    assert (exact.q1_total, exact.q3_total) == numpy_quartiles(vals)
+    assert abs(approx.q1_total - exact.q1_total) <= 1 and abs(approx.q3_total - exact.q3_total) <= 1
+    assert (approx.n_rows, approx.n_total, approx.mean_total) == (exact.n_rows, exact.n_total, exact.mean_total)
