@@ -33,14 +33,22 @@ def run_invoices(
     as_of: _dt.date | str | None = None,
     by: list[str] | tuple[str, ...] = (),
     entities: DataFrame | None = None,
+    materialize_extracted: bool = False,
 ) -> DataFrame:
-    """Every stage for every document; ``history`` (invoice-shaped, ``total``/``vat``) feeds the profile."""
+    """Every stage for every document; ``history`` (invoice-shaped, ``total``/``vat``) feeds the profile.
+
+    ``materialize_extracted`` writes the extracted invoices once (parquet under ``spark.checkpoint.dir``) and
+    runs validation and detection from that table: the stage boundary for large runs — later filters cannot
+    re-run the regex scans, and a lost executor re-reads the table instead of the text.
+    """
     opts = options or Options.default()
     d = spread(docs)
     ocr_ok = F.col("ocr_success") if "ocr_success" in d.columns else F.lit(True)
     d = d.withColumn("_ocr_ok", F.coalesce(ocr_ok, F.lit(False))).withColumn(
         "_text_length", F.coalesce(F.length("text"), F.lit(0)))
     inv = extract_fields(d)
+    if materialize_extracted:
+        inv = materialize(inv, "extracted")
     ner = opts.extraction.model_type == "spacy_ner" and entities is not None
     if ner:
         inv = merge_entities(inv, entities, with_lists=True)

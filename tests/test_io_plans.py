@@ -113,6 +113,9 @@ def test_run_and_summary(spark):
     s2 = summarize(run_invoices(docs, options=opts)).collect()[0]
     assert (s2.successful, s2.failed) == (1, 2)                   # rule mode: a non-numeric total fails
     assert report(run_invoices(docs)).count() == 3
+    m = run_invoices(docs, as_of="2024-06-30", materialize_extracted=True)
+    assert "regexp_extract_all" not in m._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.success) for r in m.collect()) == [(1, True), (2, False), (3, True)]
 
 
 def test_streaming_equals_batch(spark, scratch):
