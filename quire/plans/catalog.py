@@ -412,7 +412,7 @@ def a_history_gate(spark, d):
     "CASE WHEN invoice_date IS NOT NULL THEN 'invoice_date' END, CASE WHEN supplier IS NOT NULL THEN 'supplier' END, "
     "CASE WHEN total_raw IS NOT NULL THEN 'total' END, CASE WHEN vat_raw IS NOT NULL THEN 'vat' END, "
     "CASE WHEN subtotal_raw IS NOT NULL THEN 'subtotal' END) AS fields, "
-    "(invoice_number IS NULL OR true) AS all_scores_08 FROM inv"))
+    "true AS all_scores_08 FROM inv"))
 def e_confidence_count(spark, d):
     c = F.col("confidence")
     return invoices(spark, d).select(

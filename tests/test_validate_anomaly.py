@@ -217,3 +217,11 @@ def test_profile_approx_option(spark):
     assert (exact.q1_total, exact.q3_total) == numpy_quartiles(vals)
     assert abs(approx.q1_total - exact.q1_total) <= 1 and abs(approx.q3_total - exact.q3_total) <= 1
     assert (approx.n_rows, approx.n_total, approx.mean_total) == (exact.n_rows, exact.n_total, exact.mean_total)
+
+
+def test_duplicates_differing_in_case(spark):
+    items = [(1, "Blue Rod", 1, 1.0, 1.0), (2, "blue rod", 1, 1.0, 1.0)]
+    distinct = [(1, "Blue Rod", 1, 1.0, 1.0), (2, "Blue Rods", 1, 1.0, 1.0)]
+    inv = inv_df(spark, [(1, "A", None, "S", 2.0, None, None, items), (2, "A", None, "S", 2.0, None, None, distinct)])
+    out = {r.doc_id: [a.type for a in r.anomalies] for r in detect_anomalies(inv, mode="rule_based").collect()}
+    assert out == {1: ["duplicate_items"], 2: []}
