@@ -10,8 +10,8 @@ histogram refinement instead:
 3. each round scans the values once, buckets those inside a target's range into ``buckets`` equal-width buckets
    (map-side partial counts, min, max), and keeps the bucket holding the rank — its observed min/max become the
    new range. Only bucket counts are shuffled; the values never move;
-4. once a target's range holds at most ``final_limit`` values (or a single value) they are gathered and sorted —
-   a group bounded by ``final_limit``, not by the data.
+4. once a target's range holds at most ``final_limit`` values (default 1M doubles, ~8 MB) or a single value,
+   they are gathered and sorted — a group bounded by ``final_limit``, not by the data.
 
 The targets table is tiny for a global profile (4 rows) and one row per group and target otherwise; it is joined
 to the values by the group key, broadcast when the group count is known to be small.
@@ -47,7 +47,7 @@ def exact_quantiles(
     probs: dict[str, float],
     by: list[str] | tuple[str, ...] = (),
     buckets: int = 4096,
-    final_limit: int = 100_000,
+    final_limit: int = 1_000_000,
     max_rounds: int = 40,
 ) -> DataFrame:
     """One row per group: ``by…`` plus one DOUBLE column per entry of ``probs`` (name → probability).
