@@ -393,7 +393,7 @@ gstat AS (
     _GATE_SQL))
 def a_history_gate(spark, d):
     inv = invoices_once(spark, d)
-    prof = profile(inv, by=["supplier"])
+    prof = materialize(profile(inv, by=["supplier"]), "supplier_profile")  # used twice below; one row per key
     det = detect_anomalies(inv, prof, by=["supplier"])
     a = _anom("statistical_outlier", "total")
     return det.join(prof.select("supplier", "n_rows"), "supplier", "left").select(
