@@ -18,10 +18,10 @@ from ..operators.targets import outbox, to_target
 from ..operators.validate import findings_as_rows, validate, vat_rate
 from ..options import Options
 from ..sinks.writers import flatten_for_csv, line_item_rows
-from ..sources.files import assemble_pages
+from ..sources.files import assemble_pages, extension, is_supported_file
 from ..sources.fixtures import entity_table, rendered_invoices
 from ..sources.tables import read_table, spread
-from .run import materialize, run_invoices, summarize
+from .run import materialize, report, run_invoices, summarize
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -467,6 +467,15 @@ def s_page_assembly(spark, d):
     return assemble_pages(pages)
 
 
+@register("s_extension_predicate",
+          "SELECT page_id, lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) AS extension, "
+          "lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) IN "
+          "('.pdf', '.png', '.jpg', '.jpeg', '.tiff', '.tif', '.bmp') AS supported FROM pages")
+def s_extension_predicate(spark, d):
+    pages = read_table(spark, d, "pages").select("page_id", "url")
+    return pages.select("page_id", extension("url").alias("extension"), is_supported_file("url").alias("supported"))
+
+
 # ---- sinks (layouts) ----------------------------------------------------------------------------------------------
 
 _CONF = ", ".join(
@@ -595,6 +604,21 @@ def p_stage_status(spark, d):
         "success", "error")
 
 
+@register("p_report", O.with_base(
+    "SELECT i.doc_id AS name, CASE WHEN coalesce(o.ocr_ok, true) THEN 'success' ELSE 'failed' END AS status, "
+    "CASE WHEN coalesce(o.ocr_ok, true) THEN i.supplier END AS supplier, "
+    "CASE WHEN coalesce(o.ocr_ok, true) THEN i.total END AS total, "
+    "CAST(CASE WHEN coalesce(o.ocr_ok, true) THEN i.n_items ELSE 0 END AS BIGINT) AS n_line_items, "
+    "CAST(CASE WHEN NOT coalesce(o.ocr_ok, true) OR r.failed THEN 0 ELSE "
+    "(CASE WHEN r.round_total THEN 1 ELSE 0 END) + (CASE WHEN r.duplicate_items THEN 1 ELSE 0 END) + "
+    "(CASE WHEN r.missing_supplier THEN 1 ELSE 0 END) + (CASE WHEN r.high_vat_rate IS NOT NULL THEN 1 ELSE 0 END) "
+    "END AS BIGINT) AS n_anomalies, CASE WHEN coalesce(o.ocr_ok, true) THEN v.n_err = 0 END AS valid "
+    "FROM inv i LEFT JOIN ocr o ON i.doc_id = o.doc_id JOIN verdict v ON i.doc_id = v.doc_id "
+    "JOIN rules r ON i.doc_id = r.doc_id", _BATCH_SQL + O.val_ctes(AS_OF) + _RULES_SQL))
+def p_report(spark, d):
+    return report(run_invoices(batch_docs(spark, d), as_of=AS_OF))
+
+
 def flagship(spark, d) -> DataFrame:
     """Invoices whose stated total disagrees with subtotal + VAT, with their error/warning/anomaly counts."""
     # written once before filtering: a filter on derived columns would otherwise inline every regex it depends on

@@ -46,6 +46,8 @@ def run_invoices(
     ocr_ok = F.col("ocr_success") if "ocr_success" in d.columns else F.lit(True)
     d = d.withColumn("_ocr_ok", F.coalesce(ocr_ok, F.lit(False))).withColumn(
         "_text_length", F.coalesce(F.length("text"), F.lit(0)))
+    # a failed OCR yields no record: nothing is extracted from its text (its length is still reported)
+    d = d.withColumn("text", F.when(F.col("_ocr_ok"), F.col("text")))
     inv = extract_fields(d)
     if materialize_extracted:
         inv = materialize(inv, "extracted")
@@ -104,12 +106,14 @@ def summarize(results: DataFrame) -> DataFrame:
 
 
 def report(results: DataFrame, name_col: str = "doc_id") -> DataFrame:
-    """P5: the per-invoice report line."""
+    """P5: the per-invoice report line; stages that did not run report NULL validity and no anomalies."""
+    stages = F.col("stages")
+    has_anom = "anomaly_detection" in results.schema["stages"].dataType.fieldNames()
+    n_anom = stages["anomaly_detection"]["total_anomalies"] if has_anom else F.lit(0)
     return results.select(
         F.col(name_col).alias("name"),
         F.when(F.col("success"), F.lit("success")).otherwise(F.lit("failed")).alias("status"),
-        "supplier", "total", F.size("line_items").alias("n_line_items"),
-        F.coalesce(F.col("total_anomalies"), F.lit(0)).alias("n_anomalies") if "total_anomalies" in results.columns
-        else F.lit(0).alias("n_anomalies"),
-        "valid",
+        "supplier", "total", F.size("line_items").cast("bigint").alias("n_line_items"),
+        F.coalesce(n_anom, F.lit(0)).cast("bigint").alias("n_anomalies"),
+        stages["validation"]["valid"].alias("valid"),
     )
