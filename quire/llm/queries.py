@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, langid
+from quire.llm import decontaminate, langid, quality_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_classifier": quality_model.op3,
     "op5_decontaminate": decontaminate.op5,
     "op10_language_id": langid.op10,
 }
