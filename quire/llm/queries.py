@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, langid, quality_model
+from quire.llm import decontaminate, langid, mixing, quality_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": mixing.op1,
     "op3_quality_classifier": quality_model.op3,
     "op5_decontaminate": decontaminate.op5,
     "op10_language_id": langid.op10,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_mix_sources": mixing.OP1_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
 }
