@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, langid, mixing, quality_model, quality_rules
+from quire.llm import decontaminate, langid, mixing, neardup, quality_model, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1,
     "op2_quality_rules": quality_rules.op2,
     "op3_quality_classifier": quality_model.op3,
+    "op4_near_duplicates": neardup.op4,
     "op5_decontaminate": decontaminate.op5,
     "op10_language_id": langid.op10,
 }
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op4_near_duplicates": neardup.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
 }
