@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, langid, mixing, neardup, quality_model, quality_rules
+from quire.llm import decontaminate, langid, mixing, neardup, quality_model, quality_rules, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": quality_model.op3,
     "op4_near_duplicates": neardup.op4,
     "op5_decontaminate": decontaminate.op5,
+    "op8_substring_dedup": substring.op8,
     "op10_language_id": langid.op10,
 }
 
@@ -22,4 +23,5 @@ ORACLE: dict[str, str] = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op4_near_duplicates": neardup.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op8_substring_dedup": substring.OP8_SQL,
 }

@@ -38,7 +38,10 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=4)
+_STRETCH = (1 << 20) - 1
+
+
+@lru_cache(maxsize=1)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     out = []
@@ -122,13 +125,20 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        up, down = _powers(max(21, int(n).bit_length()))
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * up[:n], out=total[1:])
-            h = (total[self.end] - total[self.start]) * down[self.start]
-            return mix(h + (self.end - self.start).astype(np.uint64) * U64(_STEP))
+        out = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(out):  # stretches of about a megabyte, at word ends
+            a = int(self.start[at])
+            stop = max(at + 1, int(np.searchsorted(self.end, a + _STRETCH, side="right")))
+            b = int(self.end[stop - 1])
+            up, down = _powers(max(20, (b - a).bit_length()))
+            with np.errstate(over="ignore"):
+                total = np.zeros(b - a + 1, np.uint64)
+                np.cumsum(_BYTE[self.data[a:b]] * up[: b - a], out=total[1:])
+                first, last = self.start[at:stop] - a, self.end[at:stop] - a
+                out[at:stop] = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * U64(_STEP))
+            at = stop
+        return out
 
     def bytes_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and offsets of the chosen words."""
