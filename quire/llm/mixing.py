@@ -11,7 +11,8 @@ document. So no task holds a source, however large, and reruns agree whatever th
 
 Defined results: null and empty texts have size 0; rows that agree in id and size (repeated rows, null ids) share one draw
 and are taken together; a null source is a source, after all others; sources without words have target 0 and their
-documents are taken 0 times; an empty table gives no rows. Columns of the same names as the results raise ValueError.
+documents are taken 0 times; an empty table gives no rows. Input columns with the name of a
+result are replaced by it.
 """
 
 from __future__ import annotations
@@ -78,9 +79,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[float, .
 
     ``weights`` (source, weight) sets the weights; without it they follow ``cycle``.
     """
-    clash = set(docs.columns) & {*ADDED, "weight", "_draw", "_slice"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are results of mix")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in (*ADDED, "_draw", "_slice")])
     sized = docs.withColumn("size", n_words(F.col("text"))).withColumn("_draw", _draw(seed)).withColumn("_slice", F.substring("_draw", 1, DIGITS))
     # sums by source and slice: at most 4096 rows a source, made before the shuffle
     slices = written(sized.groupBy("source", "_slice").agg(F.sum("size").alias("slice_size")), "slices")

@@ -162,9 +162,9 @@ def spans(docs: DataFrame, **thresholds) -> DataFrame:
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with the spans of each text replaced by their kind in brackets; overlapping spans become one."""
-    if {"found", "spans"} & set(docs.columns):
-        raise ValueError("found and spans are results of the search")
-    rows = spans(docs, **thresholds)
+    # all other columns travel as one, out of the way of the search's own names
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = spans(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_others")), **thresholds)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -173,7 +173,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], more)).otherwise(a["out"]).alias("out"))
 
     text = F.aggregate("spans", begin, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return rows.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    return rows.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*[F.col(f"_others.`{c}`") if c in others else F.col(c) for c in docs.columns])
 
 
 def _listed(column: str) -> Column:

@@ -11,8 +11,8 @@
 4. ``judge`` joins the limits to the documents.
 
 Defined results: null texts count as empty; nulls in lang or source are groups of their own; repeated rows are judged
-row by row and count as often as they occur; an empty table gives no rows; extra columns pass through, and those named
-like a result raise ValueError.
+row by row and count as often as they occur; an empty table gives no rows; extra columns pass through, but for those
+named like a result, which are replaced by it.
 """
 
 from __future__ import annotations
@@ -32,14 +32,13 @@ _GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 #: Measures with their least quartile distance; and those for which low values are outliers too.
 SPREAD = {"symbol_share": 0.01, "repeat_share": 0.05, "dup_line_share": 0.08, "word_length": 0.4}
 BOTH_SIDES = ("word_length",)
+#: Names used on the way.
+_OWN = ("_w", "_l", "_h", "_x", "_s", "_lang", "_source")
 
 
 def measure(docs: DataFrame, window: int = 8) -> DataFrame:
     """``docs`` without text, with the COUNTS of each row."""
-    kept = [c for c in docs.columns if c != "text"]
-    clash = {c.lower() for c in kept} & {*COUNTS, *SPREAD, "base_failed", "kept", "_w", "_l", "_h", "_x", "_s"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are results of the rules")
+    kept = [c for c in docs.columns if c.lower() not in ("text", *COUNTS, "base_failed", "kept", *_OWN)]
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
     one = docs.select(*kept, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"), F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("_l"))
@@ -113,13 +112,13 @@ def limits(sketch: DataFrame, reach: float = 6.0, least_rows: int = 100) -> Data
 def judge(measured: DataFrame, bounds: DataFrame, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
     """``measured`` with base_failed and kept."""
     names = measured.columns
-    bounds = bounds.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
+    bounds = bounds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*[c for c in bounds.columns if c not in ("lang", "source")]).alias("_x"))
     rows = measured.join(bounds, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = F.lit(True)
     for m, v in _shares().items():
-        fine = fine & F.coalesce(v <= F.col(f"high_{m}"), F.lit(True))
+        fine = fine & F.coalesce(v <= F.col(f"_x.high_{m}"), F.lit(True))
         if m in BOTH_SIDES:
-            fine = fine & F.coalesce(v >= F.col(f"low_{m}"), F.lit(True))
+            fine = fine & F.coalesce(v >= F.col(f"_x.low_{m}"), F.lit(True))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fine).select(*names, "base_failed", "kept")
 

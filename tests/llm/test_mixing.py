@@ -61,5 +61,5 @@ def test_odd_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     given_weights = spark.createDataFrame([("s", 1.0), ("t", 1.0), (None, 1.0), ("u", 3.0)], "source string, weight double")
     assert mixing.mix(docs, given_weights).count() == len(rows)
-    with pytest.raises(ValueError):
-        mixing.mix(docs.withColumn("target", F.lit(1)))
+    clash = mixing.mix(docs.withColumn("target", F.lit("old")).withColumn("weight", F.lit("kept")).withColumn("Size", F.lit(0)))
+    assert clash.columns.count("target") == 1 and clash.filter("doc_id = 5").first().size == 1 and clash.first().weight == "kept"
