@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, langid, lm_score, mixing, neardup, pii, quality_model, quality_rules, substring
+from quire.llm import decontaminate, langid, lm_score, mixing, neardup, pii, quality_model, quality_rules, substring, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": pii.op6,
     "op7_lm_score": lm_score.op7,
     "op8_substring_dedup": substring.op8,
+    "op9_suffix_array_dedup": suffixes.op9,
     "op10_language_id": langid.op10,
 }
 

@@ -4,7 +4,7 @@ A k-mer (``k`` consecutive words of one document) is an edge; edges that occur a
 branch form a path, and a path is one fact: its first edge decides the whole. Documents stay in blocks by a hash of
 their ids, and what travels is packed arrays and path rows:
 
-1. ``_seeds``: every k-mer holds m-word minimisers; a k-mer that occurs twice shares its minimiser with its copy. Each
+1. ``seeds_of``: every k-mer holds m-word minimisers; a k-mer that occurs twice shares its minimiser with its copy. Each
    block sends its distinct minimisers (32 bits within a bucket); buckets return those seen in several documents.
 2. ``_edges``: k-mers with a returned minimiser are sent to buckets with the hashes of their neighbours. Buckets return
    the edges that occur in several documents, and whether the edge before and the edge after are the same wherever
@@ -45,7 +45,7 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-class _Block:
+class Block:
     """Words and k-mers of a block's documents."""
 
     def __init__(self, table: pa.Table, k: int, m: int):
@@ -82,30 +82,30 @@ def _packed(bucket: np.ndarray, buckets: int, columns: list[np.ndarray]) -> list
     return [(b, [c[edges[b] : edges[b + 1]].tobytes() for c in columns]) for b in np.flatnonzero(np.diff(edges)).tolist()]
 
 
-def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     """Rises with the key: the bucket is the place of its upper 32 bits."""
     return ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def _table(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
+def table_of(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.values(), strict=True)], names=list(schema))
 
 
-_SEEDS = {"bucket": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "ids": pa.binary()}
+SEEDS = {"bucket": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "ids": pa.binary()}
 _BACK = {"block": pa.int64(), "keys": pa.binary(), "flags": pa.binary()}
 
 
-def _seeds(k: int, m: int, buckets: int):
+def seeds_of(k: int, m: int, buckets: int):
     """Distinct minimisers of a block, each with whether several of its documents hold it."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        b = _Block(table, k, m)
+        b = Block(table, k, m)
         seed, several = _distinct(b.seed, b.doc)
-        bucket = _bucket_of(seed, buckets)
+        bucket = bucket_of(seed, buckets)
         low = (mix(seed, 5) >> U64(32)).astype(np.uint32)
-        return _table(_SEEDS, [(n, block, c[0], c[1]) for n, c in _packed(bucket, buckets, [low, several.astype(np.uint8)])])
+        return table_of(SEEDS, [(n, block, c[0], c[1]) for n, c in _packed(bucket, buckets, [low, several.astype(np.uint8)])])
 
     return run
 
@@ -119,7 +119,7 @@ def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[at], doc[at] != doc[last]
 
 
-def _seed_bucket(table: pa.Table) -> pa.Table:
+def seed_bucket(table: pa.Table) -> pa.Table:
     """The minimisers of a bucket that several documents hold, for each block that holds them."""
     keys = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
     several = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("ids").to_pylist()]).astype(bool)
@@ -135,7 +135,7 @@ def _seed_bucket(table: pa.Table) -> pa.Table:
         begin += len(own)
         if len(hit):
             rows.append((table.column("bucket")[0].as_py(), block, hit.tobytes(), b""))
-    return _table(_SEEDS, rows)
+    return table_of(SEEDS, rows)
 
 
 _EDGES = {"bucket": pa.int32(), "block": pa.int64(), "edge": pa.binary(), "flags": pa.binary(), "before": pa.binary(), "after": pa.binary()}
@@ -148,9 +148,9 @@ def _edges(k: int, m: int, seed_buckets: int, buckets: int):
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not len(docs) or not len(back):
-            return _table(_EDGES, [])
-        b = _Block(docs, k, m)
-        bucket, low = _bucket_of(b.seed, seed_buckets), (mix(b.seed, 5) >> U64(32)).astype(np.uint32)
+            return table_of(_EDGES, [])
+        b = Block(docs, k, m)
+        bucket, low = bucket_of(b.seed, seed_buckets), (mix(b.seed, 5) >> U64(32)).astype(np.uint32)
         known = np.sort(np.concatenate([U64(n << 32) | np.frombuffer(x, np.uint32).astype(np.uint64) for n, x in zip(back.column("bucket").to_pylist(), back.column("keys").to_pylist(), strict=True)]))
         mine = (bucket.astype(np.uint64) << U64(32)) | low.astype(np.uint64)
         take = np.flatnonzero(known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine)
@@ -164,8 +164,8 @@ def _edges(k: int, m: int, seed_buckets: int, buckets: int):
             flags |= (np.minimum.reduceat(before, at) != np.maximum.reduceat(before, at)) * SPLIT
             flags |= (np.minimum.reduceat(after, at) != np.maximum.reduceat(after, at)) * JOIN
         short = [(x[at] >> U64(32)).astype(np.uint32) for x in (before, after)]  # 0 stays 0
-        rows = _packed(_bucket_of(edge[at], buckets), buckets, [edge[at], flags.astype(np.uint8), *short])
-        return _table(_EDGES, [(n, docs.column("block")[0].as_py(), *c) for n, c in rows])
+        rows = _packed(bucket_of(edge[at], buckets), buckets, [edge[at], flags.astype(np.uint8), *short])
+        return table_of(_EDGES, [(n, docs.column("block")[0].as_py(), *c) for n, c in rows])
 
     return run
 
@@ -192,7 +192,7 @@ def _edge_bucket(table: pa.Table) -> pa.Table:
         hit = (f & SEVERAL) > 0
         if hit.any():
             rows.append((block, own[hit].tobytes(), f[hit].tobytes()))
-    return _table(_BACK, rows)
+    return table_of(_BACK, rows)
 
 
 _PATHS = {"path": pa.binary(), "block": pa.int64(), "words": pa.int32(), "doc": pa.list_(pa.int64()), "row": pa.list_(pa.int32()), "start": pa.list_(pa.int32())}
@@ -203,8 +203,8 @@ def _paths(k: int, m: int):
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not len(docs) or not len(back):
-            return _table(_PATHS, [])
-        b = _Block(docs, k, m)
+            return table_of(_PATHS, [])
+        b = Block(docs, k, m)
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in back.column("keys").to_pylist()])
         flags = np.concatenate([np.frombuffer(x, np.uint8) for x in back.column("flags").to_pylist()])
         order = np.argsort(keys)
@@ -212,7 +212,7 @@ def _paths(k: int, m: int):
         place = np.minimum(np.searchsorted(keys, b.edge), len(keys) - 1)
         take = np.flatnonzero(keys[place] == b.edge)
         if not len(take):
-            return _table(_PATHS, [])
+            return table_of(_PATHS, [])
         f, at, doc = flags[place[take]], b.at[take], b.doc[take]
         goes_on = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1]) & ((f[1:] & SPLIT) == 0) & ((f[:-1] & JOIN) == 0)
         begin = np.flatnonzero(np.append(True, ~goes_on))
@@ -225,7 +225,7 @@ def _paths(k: int, m: int):
             row[1].append(int(b.ids[d]))
             row[2].append(d)
             row[3].append(s - int(w.first[d]))
-        return _table(_PATHS, [(p, docs.column("block")[0].as_py(), *x) for p, x in found.items()])
+        return table_of(_PATHS, [(p, docs.column("block")[0].as_py(), *x) for p, x in found.items()])
 
     return run
 
@@ -237,19 +237,19 @@ def blocks(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
     return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(n)).cast("long").alias("block")), total
 
 
-def _ddl(schema: dict[str, pa.DataType]) -> str:
-    names = {"int32": "int", "int64": "long", "binary": "binary", "string": "string"}
+def ddl(schema: dict[str, pa.DataType]) -> str:
+    names = {"int32": "int", "int64": "long", "binary": "binary", "string": "string", "bool": "boolean"}
     return ", ".join(f"{c} {names.get(str(t)) or ('array<long>' if t.value_type == pa.int64() else 'array<int>')}" for c, t in schema.items())
 
 
 def paths(dealt: DataFrame, total: int, k: int, m: int) -> DataFrame:
     """Verified copies: path, block, words, doc, start, and the source (smallest coordinate of the path)."""
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
-    seeds = dealt.groupBy("block").applyInArrow(_seeds(k, m, buckets), _ddl(_SEEDS))
-    seeds = seeds.groupBy("bucket").applyInArrow(_seed_bucket, _ddl(_SEEDS))
-    edges = dealt.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_edges(k, m, buckets, buckets), _ddl(_EDGES))
-    edges = edges.groupBy("bucket").applyInArrow(_edge_bucket, _ddl(_BACK))
-    found = dealt.groupBy("block").cogroup(edges.groupBy("block")).applyInArrow(_paths(k, m), _ddl(_PATHS))
+    seeds = dealt.groupBy("block").applyInArrow(seeds_of(k, m, buckets), ddl(SEEDS))
+    seeds = seeds.groupBy("bucket").applyInArrow(seed_bucket, ddl(SEEDS))
+    edges = dealt.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_edges(k, m, buckets, buckets), ddl(_EDGES))
+    edges = edges.groupBy("bucket").applyInArrow(_edge_bucket, ddl(_BACK))
+    found = dealt.groupBy("block").cogroup(edges.groupBy("block")).applyInArrow(_paths(k, m), ddl(_PATHS))
     # a path has one row a block, so the rows of one path are at most as many as the blocks
     first = F.struct(F.col("doc")[0].alias("doc"), F.col("start")[0].alias("start"))
     return found.withColumn("source", F.min(first).over(Window.partitionBy("path")))
@@ -262,10 +262,10 @@ def repeated_spans(docs: DataFrame, k: int = 13, m: int = 5) -> DataFrame:
     return rows.filter(F.col("doc") > F.col("source.doc")).select(F.col("doc").alias("doc_id"), "start", (F.col("start") + F.col("words")).alias("end"), F.col("source.doc").alias("source_doc"), F.col("source.start").alias("source_start"))
 
 
-_KEPT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
+KEPT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
 
 
-def _kept(digest: bool):
+def kept_words(digest: bool):
     """Each document of a block without its repeated spans."""
 
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
@@ -287,7 +287,7 @@ def _kept(digest: bool):
             n_removed.append(len(words) - len(left))
             joined = b" ".join(left)
             kept.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip((ids, n_words, n_removed, kept), _KEPT.values(), strict=True)], names=list(_KEPT))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip((ids, n_words, n_removed, kept), KEPT.values(), strict=True)], names=list(KEPT))
 
     return run
 
@@ -300,7 +300,7 @@ def without_repeats(docs: DataFrame, k: int = 13, m: int = 5, digest: bool = Fal
     """
     dealt, total = blocks(docs, BLOCK_BYTES)
     found = paths(dealt, total, k, m).select("block", "doc", "row", "start", "words", F.col("source.doc").alias("source_doc"))
-    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_kept(digest), _ddl(_KEPT))
+    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(kept_words(digest), ddl(KEPT))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
