@@ -12,9 +12,10 @@ band with probability 2e-10 (1e-7 at 0.8).
 2. A shingle that no other candidate has cannot be shared, so m, a set's other shingles, bounds every similarity by
    min(m) / (n + n' - min(m)). Sets that cannot reach the threshold with anything leave.
 3. In every band the set with the largest share of m is the pivot; all others are compared with it exactly.
-4. What this has linked is one component. Pairs of one band that are still in different components and within the
-   bound are compared exactly too, each in the first band that both share. So no link that matters is lost, and a
-   group of n copies costs about n comparisons rather than n^2.
+4. What this has linked is one component. Where a band still holds several, all sets that such bands connect (a
+   cluster) are compared with one another in tiles of TILE x TILE sets, each tile one small matrix product in a task
+   that returns only the links that join components. So no link is lost, no pair is a row, and a group of n close
+   copies costs about n comparisons rather than n^2.
 
 Defined results: a text of fewer words than a shingle has its whole word sequence as its one shingle; null texts and
 texts without words have no set and are linked with nothing. Rows with a null id are not linked either (component null, kept).
@@ -36,6 +37,8 @@ from quire.llm.textkit import SPACED, U64, Words, buffers, gathered, lists, mix,
 
 LIMIT = 2_000_000
 BANDS, ROWS = 30, 4
+#: Sets on one side of a tile.
+TILE = 48
 _EMPTY = U64(2**64 - 1)
 
 
@@ -124,6 +127,55 @@ def _verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return two.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def _tile(percent: int):
+    """Links between the components of a tile, as few as join them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets_, n = table.column("x").combine_chunks(), np.asarray(table.column("n")).astype(np.int64)
+        ids, component, side = (np.asarray(table.column(c)).astype(np.int64) for c in ("doc_id", "component", "side"))
+        owner = np.repeat(np.arange(len(n)), n)
+        _, place, count = np.unique(np.asarray(sets_.flatten()), return_inverse=True, return_counts=True)
+        both = count[place] > 1
+        column, owner = (np.cumsum(count > 1) - 1)[place[both]], owner[both]
+        common = np.zeros((len(n), len(n)))
+        for at in range(0, int((count > 1).sum()), 16384):
+            here = (column >= at) & (column < at + 16384)
+            part = np.zeros((len(n), 16384), np.float32)
+            part[owner[here], column[here] - at] = 1
+            common += part @ part.T
+        link = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        link &= component[:, None] != component[None, :]
+        if table.column("i")[0] != table.column("j")[0]:
+            link &= side[:, None] != side[None, :]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                c = root[c]
+            return c
+
+        found = []
+        for a, b in np.argwhere(np.triu(link, 1)).tolist():
+            x, y = find(int(component[a])), find(int(component[b]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                found.append((int(ids[a]), int(ids[b])))
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    return run
+
+
+def _tiled(rest: DataFrame, clusters: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one cluster."""
+    rows = rest.join(clusters.withColumnRenamed("component", "cluster"), rest["doc_id"] == clusters["node"]).select("doc_id", rest["component"], "cluster")
+    tiles = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("tiles"))
+    rows = rows.join(tiles, "cluster").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    rows = rows.select("doc_id", "component", "cluster", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    full = rows.join(shingles.select("doc_id", "n", "x"), "doc_id")
+    return full.groupBy("cluster", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """For every row of ``docs`` (doc_id long, text): doc_id, n_shingles, component_id, kept.
 
@@ -133,16 +185,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rows = written(docs.mapInArrow(_features(shingle), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "sketches")
     linkable = rows.filter("n > 0 and doc_id is not null")
     classes = written(linkable.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("n", "f1", "f2", F.col("r.doc_id").alias("rep"), "r.bands"), "classes")
-    banded = classes.select("rep", "bands", F.posexplode("bands").alias("k", "h"))
+    banded = classes.select("rep", F.explode("bands").alias("h"))
     shared = banded.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("h")
-    members = written(banded.select("rep", "k", "h").join(shared, "h"), "members")
+    members = written(banded.join(shared, "h"), "members")
     # sets of the candidates, and how much of each another candidate has as well
     shingles = written(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInArrow(_shingles(shingle), "doc_id long, f1 long, n long, x array<long>"), "shingles")
     alone = shingles.select("doc_id", "f1", F.explode("x").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "f1")).alias("d")).filter("c = 1")
     alone = alone.groupBy(F.col("d.doc_id").alias("_d"), F.col("d.f1").alias("_f")).agg(F.count(F.lit(1)).alias("alone"))
     sizes = shingles.select("doc_id", "f1", "n").distinct().join(alone, (F.col("doc_id") == F.col("_d")) & (F.col("f1") == F.col("_f")), "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
     sizes = sizes.filter(100 * F.col("m") >= percent * F.col("n"))
-    members = written(members.join(sizes, members["rep"] == sizes["doc_id"]).select("h", "k", "doc_id", "n", "m"), "members")
+    members = written(members.join(sizes, members["rep"] == sizes["doc_id"]).select("h", "doc_id", "n", "m"), "members")
     # links with the pivot of each band
     pivots = members.groupBy("h").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("minus"), "n", "m")).alias("p"))
     pivots = pivots.select("h", (-F.col("p.minus")).alias("doc_id"), F.col("p.n").alias("n"), F.col("p.m").alias("m"))
@@ -150,14 +202,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     pairs = pairs.select(F.col("s.doc_id").alias("a"), F.col("p.doc_id").alias("b")).distinct()
     found = written(_verified(pairs, shingles, percent), "links")
     labels = written(components(found), "components")
-    # pairs of one band that are still apart
-    labelled = members.join(labels, members["doc_id"] == labels["node"], "left").select("h", "k", "doc_id", "n", "m", F.coalesce("component", "doc_id").alias("component"))
-    apart = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    bands = classes.select(F.col("rep").alias("_r"), "bands")
-    rest = written(labelled.join(apart, "h").join(bands, F.col("doc_id") == F.col("_r")).drop("_r"), "apart")
-    earlier = F.arrays_overlap(F.expr("slice(s.bands, 1, s.k)"), F.expr("slice(p.bands, 1, p.k)"))
-    pairs = rest.alias("s").join(rest.alias("p"), (F.col("s.h") == F.col("p.h")) & (F.col("s.component") < F.col("p.component")) & _within("s", "p", percent) & ~earlier)
-    more = _verified(pairs.select(F.col("s.doc_id").alias("a"), F.col("p.doc_id").alias("b")), shingles, percent)
+    # bands whose members are still apart: all pairs of their clusters, tile by tile
+    labelled = members.join(labels, members["doc_id"] == labels["node"], "left").select("h", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    apart = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("first")).filter("lo < hi").select("h", "first")
+    rest = written(labelled.join(apart, "h").select("doc_id", "component", "first").distinct(), "apart")
+    clusters = components(rest.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    more = _tiled(rest.select("doc_id", "component").distinct(), clusters, shingles, percent)
     # rows that share an id link the sets they belong to
     belongs = linkable.select("doc_id", "n", "f1", "f2").join(classes.drop("bands"), ["n", "f1", "f2"]).select("doc_id", "rep")
     belongs = written(belongs.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.collect_set("rep").alias("all")), "belongs")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quire.llm.components import components
+from quire.llm import neardup
 from quire.llm.neardup import near_duplicates, sketch
 
 
@@ -38,8 +39,9 @@ def edited(rng, words, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
-def test_matches_brute_force(spark, k, percent):
+@pytest.mark.parametrize("k,percent,tile", [(3, 85, 48), (5, 80, 48), (3, 85, 5)])
+def test_matches_brute_force(spark, monkeypatch, k, percent, tile):
+    monkeypatch.setattr(neardup, "TILE", tile)
     rng = random.Random(k)
     rows = []
     for g in range(4):
