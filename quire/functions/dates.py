@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import DATE_FORMATS, DATE_SHAPES, JAVA_WS
-from .text import col_of
 
 
 def normalise_spaces(s: Column) -> Column:
@@ -16,20 +15,21 @@ def normalise_spaces(s: Column) -> Column:
     return F.regexp_replace(s, F.lit("[" + JAVA_WS + "]+"), F.lit(" "))
 
 
-def parse_invoice_date(s: Column | str, formats: list[str] | None = None, shapes: list[str] | None = None) -> Column:
-    """First format that parses wins (day-first before month-first); NULL when none does.
+def parse_normalised_date(n: Column, formats: list[str] | None = None, shapes: list[str] | None = None) -> Column:
+    """First format that parses wins (day-first before month-first); NULL when none does. One parse per format.
 
-    The shape guard enforces what strptime enforces and the Java parser does not: a 4-digit year, 1–2 digit day
-    and month, nothing else in the string. Year 0 does not exist for strptime either.
+    ``n`` is a bound column of :func:`normalise_spaces`. The shape guard enforces what strptime enforces and the Java
+    parser does not: a 4-digit year, 1–2 digit day and month, nothing else in the string; only strings of that shape
+    are parsed. Year 0 does not exist for strptime either.
     """
-    fmts = formats or DATE_FORMATS
-    shps = shapes or DATE_SHAPES
-    n = normalise_spaces(col_of(s))
-    tries = []
-    for fmt, shape in zip(fmts, shps):
-        d = F.try_to_date(n, fmt)
-        tries.append(F.when(n.rlike(shape) & (F.year(d) >= 1), d))
-    return F.coalesce(*tries)
+    tries = [F.when(n.rlike(shape), F.try_to_date(n, fmt)) for fmt, shape in zip(formats or DATE_FORMATS, shapes or DATE_SHAPES)]
+    return F.when(~n.rlike(r"(?:^|[^0-9])0000(?:$|[^0-9])"), F.coalesce(*tries))
+
+
+def with_parsed_date(df: DataFrame, source: str = "invoice_date", name: str = "invoice_date_parsed") -> DataFrame:
+    """V6: ``df`` with the parsed date; whitespace is normalised once, in a projection of its own."""
+    return df.withColumn("_date", normalise_spaces(F.col(source).cast("string"))).withColumn(
+        name, parse_normalised_date(F.col("_date"))).drop("_date")
 
 
 def as_of_col(as_of: _dt.date | str | None) -> Column:

@@ -42,6 +42,30 @@ FIELD_PATTERNS: dict[str, list[str]] = {
 # ---- FIXED VALUES: line-item pattern (case-sensitive): description, quantity, unit price, total ---------------
 LINE_ITEM_PATTERN = r"([A-Za-z\s]+)\s+(\d+)\s+\$?([\d,]+\.?\d*)\s+\$?([\d,]+\.?\d*)"
 
+# The same first matches without backtracking over runs of whitespace or digits. After ``\\s*`` the next character can
+# never be whitespace, so possessive runs lose nothing; the amount, number and date groups stand last or before a
+# character they cannot contain. Patterns that hold an earlier pattern of their list inside (``invoice number``,
+# ``invoice date``, ``grand total``, ``sales tax``) can never be reached and are left out. The supplier group is
+# either one line from its first non-space on, or nothing but space before a line end (an empty value); ``{c}`` is
+# its class without the line feed. ``tests/test_linear_patterns.py`` compares all of them with the fixed values.
+_GAP = r"\s*+(?::\s*+)?"
+_AMOUNT = _GAP + r"(?:\$\s*+)?([\d,]++\.?+\d*+)"
+_NUMBER = r"\s*+(?:#\s*+)?(?::\s*+)?([A-Z0-9-]++)"
+_SUPPLIER = r"(?:" + _GAP + r"([A-Za-z&.,]{c}*+)(?:\n|$)|\s*+:\s\s*?(?:\n|$)|\s\s*?(?:\n|$))"
+SEARCH_PATTERNS: dict[str, list[str]] = {
+    "invoice_number": ["invoice" + _NUMBER, "inv" + _NUMBER],
+    "invoice_date": [
+        "date" + _GAP + r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
+        r"(\d{1,2}\s++(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*+\s++\d{2,4})",
+    ],
+    "supplier": ["from" + _SUPPLIER, "vendor" + _SUPPLIER, "supplier" + _SUPPLIER],
+    "total": ["total" + _AMOUNT, r"amount\s++due" + _AMOUNT],
+    "vat": ["vat" + _AMOUNT, "tax" + _AMOUNT],
+    "subtotal": ["subtotal" + _AMOUNT, "sub-total" + _AMOUNT],
+}
+# A description ends with its last whitespace (stripped later), so it needs no give-back.
+SEARCH_ITEM = r"([A-Za-z\s]++)(?<=[A-Za-z\s]\s)(\d++)\s++\$?+([\d,]++\.?+\d*+)\s++\$?+([\d,]++\.?+\d*+)"
+
 # ---- FIXED VALUES: scores and tolerances ------------------------------------------------------------------------
 CONFIDENCE_SCORE = 0.8
 CALCULATION_TOLERANCE = 0.01
@@ -90,13 +114,10 @@ MSG_SUPPLIER_MISSING = "Supplier information is missing"
 MSG_HIGH_VAT_RATE = "VAT rate is unusually high: {rate}%"
 MSG_CONVERSION = "could not convert string to float: '{raw}'"
 MSG_OCR_FAILED = "OCR extraction failed"
-MSG_NOT_CONNECTED = "Not connected to ERP system"
-MSG_PUSHED = "Invoice pushed to {target}"
 ANOMALY_TYPES = ["statistical_outlier", "suspicious_pattern", "duplicate_items", "missing_critical_field",
                  "unusual_rate"]
 SEVERITIES = ["low", "medium", "high"]
 VALIDATION_STATUS_DEFAULT = "unknown"
-ERP_REFERENCE_PREFIX = "ERP-"
 TARGET_LABELS = {"generic": "Generic", "sap": "SAP", "oracle": "Oracle"}
 SAP_CONSTANTS = {"BUKRS": "CompanyCode", "WAERS": "USD", "BSART": "ZINV"}
 ORACLE_CONSTANTS = {"currency_code": "USD", "invoice_type_lookup_code": "STANDARD", "description_prefix": "Invoice "}
@@ -150,11 +171,12 @@ def to_java(p: str) -> str:
 
 
 def java_field_pattern(p: str) -> str:
-    return FIELD_FLAGS + to_java(p)
+    line = "[A-Za-z" + JAVA_WS.replace(r"\n", "", 1) + "&.,]"
+    return FIELD_FLAGS + to_java(p.replace("{c}", "\0")).replace("\0", line)
 
 
-def java_item_pattern(guarded: bool = True) -> str:
-    return ITEM_FLAGS + to_java((ITEM_GUARD if guarded else "") + LINE_ITEM_PATTERN)
+def java_item_pattern(guarded: bool = True, pattern: str = SEARCH_ITEM) -> str:
+    return ITEM_FLAGS + to_java((ITEM_GUARD if guarded else "") + pattern)
 
 
 FIELD_ORDER = ["invoice_number", "invoice_date", "supplier", "total", "vat", "subtotal"]

@@ -1,123 +1,61 @@
 """A3: exact quantiles (numpy ``percentile``, linear interpolation) without funnelling a group into one task.
 
 ``F.percentile`` is exact but its final aggregation holds every distinct value of a group in one buffer; for a
-single global history that is the whole column in one task. Here the value at a given rank is found by
-histogram refinement instead:
+single global history that is the whole column in one task. Here the values are sorted once over the cluster:
 
-1. per group: ``n``, ``min``, ``max`` (partial + final aggregation);
-2. targets: the two ranks around ``(n-1)·p`` for every probability, each with a candidate range ``[lo, hi]`` and
-   the count of values below ``lo``;
-3. each round scans the values once, buckets those inside a target's range into ``buckets`` equal-width buckets
-   (map-side partial counts, min, max), and keeps the bucket holding the rank — its observed min/max become the
-   new range. Only bucket counts are shuffled; the values never move;
-4. once a target's range holds at most ``final_limit`` values (default 1M doubles, ~8 MB) or a single value,
-   they are gathered and sorted — a group bounded by ``final_limit``, not by the data.
+1. range partitions by (group, value, row), so that neither a large group nor a value shared by many rows stays in
+   one task; the sorted rows are written with their partition and place;
+2. one row per group and partition counts them, and running sums of those counts give the rank at which each
+   partition begins;
+3. a wanted rank is then one known row, found by an equi-join on (partition, place).
 
-The targets table is tiny for a global profile (4 rows) and one row per group and target otherwise; it is joined
-to the values by the group key, broadcast when the group count is known to be small.
+The number of jobs does not depend on the values. Infinite values are values like any other, sorted last (or first);
+between a finite and an infinite neighbour the interpolation is numpy's (infinite, or NaN at weight 0).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-BROADCAST_TARGET_ROWS = 200_000
+from .stage import materialize
 
 
 def _lerp(a: Column, b: Column, t: Column) -> Column:
     """numpy's interpolation: ``a + (b-a)*t``, or ``b - (b-a)*(1-t)`` when ``t >= 0.5``."""
     diff = b - a
-    return F.when(t >= 0.5, b - diff * (1 - t)).otherwise(a + diff * t)
-
+    return F.when(a == b, a).when(t >= 0.5, b - diff * (1 - t)).otherwise(a + diff * t)
 
-def _join_targets(vals: DataFrame, targets: DataFrame, by: list[str], small: bool) -> DataFrame:
-    t = F.broadcast(targets) if small else targets
-    if not by:
-        return vals.crossJoin(t)
-    return vals.join(t, by)
 
-
-def exact_quantiles(
-    values: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    by: list[str] | tuple[str, ...] = (),
-    buckets: int = 4096,
-    final_limit: int = 1_000_000,
-    max_rounds: int = 40,
-) -> DataFrame:
+def exact_quantiles(values: DataFrame, value: str, probs: dict[str, float], by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """One row per group: ``by…`` plus one DOUBLE column per entry of ``probs`` (name → probability).
 
     ``values`` must hold only the values to rank (no NULLs). Groups with no values do not appear.
     """
     by = list(by)
-    ensure_checkpoint_dir(values.sparkSession)
-    vals = values.select(*by, F.col(value).cast("double").alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = vals.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
-    n_groups = stats.count() if by else 1
-    small = n_groups * 2 * len(probs) <= BROADCAST_TARGET_ROWS
-
-    # ranks needed: floor and floor+1 of (n-1)*p, capped at n-1
-    pos_rows = []
+    rows = values.select(*by, F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("_tie"))
+    ordered = rows.repartitionByRange(*by, "v", "_tie").sortWithinPartitions(*by, "v", "_tie").drop("_tie")
+    ordered = materialize(ordered.withColumn("_part", F.spark_partition_id())
+                          .withColumn("_place", F.monotonically_increasing_id()), "sorted-values")
+    counts = ordered.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    # at most one row per group and partition from here on
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_rank", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
+        "_total", F.sum("_n").over(Window.partitionBy(*by)))
+    wanted = []
     for name, p in probs.items():
-        pos = (F.col("n") - 1) * F.lit(float(p))
-        r0 = F.floor(pos).cast("bigint")
-        pos_rows.append(F.struct(F.lit(name).alias("q"), F.lit(0).alias("side"), r0.alias("rank"),
-                                 (pos - r0).alias("frac")))
-        pos_rows.append(F.struct(F.lit(name).alias("q"), F.lit(1).alias("side"),
-                                 F.least(r0 + 1, F.col("n") - 1).alias("rank"), (pos - r0).alias("frac")))
-    wanted = stats.select(*by, "n", "vmin", "vmax", F.explode(F.array(*pos_rows)).alias("t")).select(
-        *by, "n", "vmin", "vmax", "t.*")
-    # distinct ranks per group are what we search for
-    state = (wanted.select(*by, "rank", "n", "vmin", "vmax").distinct()
-             .select(*by, "rank", F.col("vmin").alias("lo"), F.col("vmax").alias("hi"),
-                     F.lit(0).cast("bigint").alias("below"), F.col("n").alias("cnt")))
-    state = state.checkpoint(eager=True)
-
-    key = by + ["rank"]
-    for _ in range(max_rounds):
-        open_ = state.where((F.col("lo") < F.col("hi")) & (F.col("cnt") > final_limit))
-        if open_.limit(1).count() == 0:
-            break
-        j = _join_targets(vals, open_.select(*key, "lo", "hi", "below"), by, small)
-        j = j.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        width = (F.col("hi") - F.col("lo")) / buckets
-        b = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(buckets - 1)).cast("int")
-        hist = j.groupBy(*key, "below", b.alias("b")).agg(
-            F.count("*").alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
-        w = Window.partitionBy(*key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        hist = hist.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)).cast("bigint"))
-        pick = hist.where((F.col("below") + F.col("before") <= F.col("rank"))
-                          & (F.col("rank") < F.col("below") + F.col("before") + F.col("c")))
-        refined = pick.select(*key, F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
-                              (F.col("below") + F.col("before")).alias("below"), F.col("c").alias("cnt"))
-        done = state.join(open_.select(*key), key, "left_anti")
-        state = done.unionByName(refined).checkpoint(eager=True)
-
-    # resolve: single-valued ranges directly; the rest by sorting their (bounded) candidates. Ranks of one group
-    # that share a range (always so when the group was small from the start) share one sorted candidate list.
-    single = state.where(F.col("lo") == F.col("hi")).select(*key, F.col("lo").alias("x"))
-    rest = state.where(F.col("lo") < F.col("hi"))
-    rng = by + ["lo", "hi", "below"]
-    ranges = rest.select(*rng).distinct()
-    cand = _join_targets(vals, ranges, by, small).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-    sorted_ranges = cand.groupBy(*rng).agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    resolved = rest.join(sorted_ranges, rng).select(
-        *key, F.element_at("vs", (F.col("rank") - F.col("below") + 1).cast("int")).alias("x"))
-    found = single.unionByName(resolved)
-
-    w2 = wanted.join(found, key).groupBy(*by, "q").agg(
-        F.max(F.when(F.col("side") == 0, F.col("x"))).alias("a"),
-        F.max(F.when(F.col("side") == 1, F.col("x"))).alias("b"),
-        F.first("frac").alias("frac"))
-    out = w2.groupBy(*by).agg(*[
-        F.max(F.when(F.col("q") == name, _lerp(F.col("a"), F.col("b"), F.col("frac")))).alias(name)
-        for name in probs
-    ])
-    result = out.checkpoint(eager=True)
-    vals.unpersist()
-    return result
+        pos = (F.col("_total") - 1) * F.lit(float(p))
+        low = F.floor(pos).cast("bigint")
+        for side, rank in ((0, low), (1, F.least(low + 1, F.col("_total") - 1))):
+            wanted.append(F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), rank.alias("rank"),
+                                   (pos - low).alias("frac")))
+    wanted = counts.select("*", F.explode(F.array(*wanted)).alias("w")).filter(
+        (F.col("w.rank") >= F.col("_rank")) & (F.col("w.rank") < F.col("_rank") + F.col("_n")))
+    wanted = wanted.select(*by, F.col("_part").alias("_p"), (F.col("_first") + F.col("w.rank") - F.col("_rank")).alias("_at"),
+                           "w.q", "w.side", "w.frac")
+    found = wanted.join(ordered.select("_part", "_place", "v"), (F.col("_p") == F.col("_part")) & (F.col("_at") == F.col("_place")))
+    ends = found.groupBy(*by, "q").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"),
+                                       F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"),
+                                       F.first("frac").alias("frac"))
+    return ends.groupBy(*by).agg(*[
+        F.max(F.when(F.col("q") == name, _lerp(F.col("a"), F.col("b"), F.col("frac")))).alias(name) for name in probs])

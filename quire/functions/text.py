@@ -6,13 +6,23 @@ All of these are native Spark expressions (codegen'd, JVM-side); none is a Pytho
 from __future__ import annotations
 
 import re
+import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import PY_WHITESPACE
 
 
+def _digits() -> tuple[str, str]:
+    found = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.digit(c)) for c in found)
+
+
+#: Digits beyond ASCII (category Nd) and the ASCII digits of their values.
+DIGITS = _digits()
+
+
 def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -22,31 +32,44 @@ def ustrip(c: Column | str) -> Column:
     return F.trim(col_of(c), F.lit(PY_WHITESPACE))
 
 
-def search_group(text: Column | str, pattern: str, group: int = 1) -> Column:
-    """Group of the first match of ``pattern`` in ``text``; NULL when nothing matches.
+def first_of(rows: DataFrame, text: str, patterns: dict[str, list[str]]) -> DataFrame:
+    """``rows`` with one column per field: group 1 of the first match of its first matching pattern, stripped.
 
-    One scan of the text: the first element of ``regexp_extract_all`` is the first match's group (``''`` for an
-    empty group), and an empty array — no match — gives NULL. (``regexp_extract`` alone cannot tell a miss from
-    an empty group, and ``regexp_substr`` is rewritten to a ``nullif`` that evaluates its scan twice.)
+    The n-th patterns of all fields are searched in the n-th projection, and only where the earlier ones found
+    nothing. A search stops at its first match; a second, cheap match on that short string takes its group. No
+    pattern matches an empty string, so an empty result of the search is a miss. An empty group (after stripping)
+    is NULL and does not fall through to a later pattern.
     """
-    return F.get(F.regexp_extract_all(col_of(text), F.lit(pattern), group), 0)
+    keep = rows.columns
+    hits: list[str] = []
+    for n in range(max(map(len, patterns.values()))):
+        # NULL where an earlier pattern has found something: the condition compares with its empty result only
+        cols = {f"_hit{n}_{f}": F.regexp_extract(text, ps[n], 0) if n == 0 else
+                F.when(F.col(f"_hit{n - 1}_{f}") == "", F.regexp_extract(text, ps[n], 0))
+                for f, ps in patterns.items() if n < len(ps)}
+        rows = rows.select(*keep, *hits, *[c.alias(h) for h, c in cols.items()])
+        hits += cols
 
+    def group(f: str) -> Column:
+        found = [F.when(F.col(f"_hit{n}_{f}") != "", F.regexp_extract(f"_hit{n}_{f}", p, 1)) for n, p in enumerate(patterns[f])]
+        return F.nullif(ustrip(F.coalesce(*found)), F.lit(""))
 
-def first_match(text: Column | str, patterns: list[str]) -> Column:
-    """The first pattern that matches wins; its group 1 is stripped; an empty result is NULL.
+    return rows.select(*keep, *[group(f).alias(f) for f in patterns])
 
-    An empty group from an earlier pattern does not fall through to a later one: the cascade runs on the raw
-    groups and only the winner is stripped.
-    """
-    raw = F.coalesce(*[search_group(text, p, 1) for p in patterns]) if len(patterns) > 1 else search_group(
-        text, patterns[0], 1
-    )
-    return F.nullif(ustrip(raw), F.lit(""))
+
+def ascii_digits(s: Column) -> Column:
+    """Decimal digits of every script as 0-9, as ``int`` and ``float`` read them; other characters stay."""
+    return F.when(s.rlike(r"[^\x00-\x7F]"), F.translate(s, DIGITS[0], DIGITS[1])).otherwise(s)
 
 
 def parse_double(s: Column) -> Column:
     """``float(s)`` for the strings the amount patterns can capture; NULL instead of an exception."""
-    return s.try_cast("double")
+    return ascii_digits(s).try_cast("double")
+
+
+def parse_whole(s: Column) -> Column:
+    """``int(s)`` of a run of digits, up to 38 of them; NULL beyond."""
+    return ascii_digits(s).try_cast("decimal(38,0)")
 
 
 def parse_amount(s: Column) -> Column:

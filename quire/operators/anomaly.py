@@ -26,6 +26,7 @@ from ..functions.patterns import (
     Z_SCORE_THRESHOLD,
 )
 from ..functions.quantile import exact_quantiles
+from ..functions.stage import materialize
 from ..functions.text import template
 from .validate import gt, vat_rate
 
@@ -45,10 +46,13 @@ def profile(history: DataFrame, by: list[str] | tuple[str, ...] = (), total: str
 
     ``n_rows`` counts history rows before A1's filter (the A8 gate). Totals and VATs keep only truthy values.
     Quartiles are exact (numpy linear interpolation) unless ``approx`` (then ``percentile_approx``).
-    An empty global history still yields one row (n_rows = 0).
+    An empty global history still yields one row (n_rows = 0). Amounts that are not numbers are left out.
+
+    The finished profile is written once (see ``materialize``): whatever joins it, streams included, reads those few
+    rows and never the history again. This is the one step of the library that runs jobs when it is called.
     """
     by = list(by)
-    h = history.select(*by, F.col(total).cast("double").alias("_t"), F.col(vat).cast("double").alias("_v"))
+    h = history.select(*by, F.col(total).try_cast("double").alias("_t"), F.col(vat).try_cast("double").alias("_v"))
     for k in by:  # a NULL key never joins an invoice, so it has no profile
         h = h.where(F.col(k).isNotNull())
     t_ok, v_ok = _truthy(F.col("_t")), _truthy(F.col("_v"))
@@ -69,8 +73,8 @@ def profile(history: DataFrame, by: list[str] | tuple[str, ...] = (), total: str
     else:
         base = h.groupBy(*by).agg(*aggs)
         q = exact_quantiles(h.where(t_ok), "_t", {"q1_total": 0.25, "q3_total": 0.75}, by)
-        base = base.crossJoin(q) if not by else base.join(q, by, "left")
-    return base.select(*by, *PROFILE_COLUMNS)
+        base = base.join(q, by, "left") if by else base.withColumn("_one", F.lit(1)).join(q.withColumn("_one", F.lit(1)), "_one", "left")
+    return materialize(base.select(*by, *PROFILE_COLUMNS), "profile")
 
 
 def z_score(value: Column, n: Column, mean: Column, std: Column) -> Column:
@@ -134,6 +138,7 @@ def detect_anomalies(invoices: DataFrame, history_profile: DataFrame | None = No
                      mode: str | None = "statistical") -> DataFrame:
     """Appends ``anomalies``, ``scores``, ``has_anomalies``, ``total_anomalies``, ``anomaly_error``.
 
+    ``history_rows`` holds the number of history rows behind each invoice's profile (statistical mode).
     ``mode``: ``statistical`` (profile + rules; rules only when the profile is missing or has < 2 rows),
     ``rule_based`` (rules only; a non-numeric total is an ``anomaly_error`` that fails the invoice), or ``None``
     (nothing appended). ``history_profile`` comes from :func:`profile` with the same ``by``.
@@ -146,6 +151,9 @@ def detect_anomalies(invoices: DataFrame, history_profile: DataFrame | None = No
     by = list(by)
     use_stats = mode == "statistical" and history_profile is not None
     if use_stats:
+        keys = [c for c in history_profile.columns if c not in PROFILE_COLUMNS]
+        if sorted(keys) != sorted(by):
+            raise ValueError(f"the profile is keyed by {keys}, the invoices are to be joined by {by}")
         prof = history_profile.select(*by, *[F.col(c).alias("_p_" + c) for c in PROFILE_COLUMNS])
         df = df.crossJoin(F.broadcast(prof)) if not by else df.join(prof, by, "left")
 
@@ -186,6 +194,7 @@ def detect_anomalies(invoices: DataFrame, history_profile: DataFrame | None = No
     empty = F.array().cast(f"array<{ANOMALY}>")
     out = df.select(
         *[c for c in df.columns if not c.startswith("_p_")],
+        *([F.col("_p_n_rows").alias("history_rows")] if use_stats else []),
         F.when(failed, empty).otherwise(anomalies).alias("anomalies"),
         F.when(failed, empty_scores).otherwise(scores).alias("scores"),
         err.alias("anomaly_error"),

@@ -15,19 +15,19 @@ from ..functions.patterns import (
     AMOUNT_FIELDS,
     CONFIDENCE_SCORE,
     FIELD_ORDER,
-    FIELD_PATTERNS,
+    SEARCH_PATTERNS,
     java_field_pattern,
     java_item_pattern,
 )
-from ..functions.text import col_of, first_match, parse_amount, parse_double, ustrip
+from ..functions.text import col_of, first_of, parse_amount, parse_double, parse_whole, ustrip
 
-ITEM_STRUCT = "struct<item_no:int,description:string,quantity:bigint,unit_price:double,total:double>"
+ITEM_STRUCT = "struct<item_no:int,description:string,quantity:decimal(38,0),unit_price:double,total:double>"
 
 
-def field_columns(text: Column | str, patterns: dict[str, list[str]] | None = None) -> dict[str, Column]:
-    """One column per field, each the E0 cascade over that field's patterns."""
-    pats = patterns or FIELD_PATTERNS
-    return {f: first_match(text, [java_field_pattern(p) for p in pats[f]]) for f in pats}
+def with_fields(docs: DataFrame, text_col: str = "text", patterns: dict[str, list[str]] | None = None) -> DataFrame:
+    """``docs`` with one column per field (amounts as captured, ``<field>_raw``), each by the E0 cascade."""
+    pats = {f: [java_field_pattern(p) for p in ps] for f, ps in (patterns or SEARCH_PATTERNS).items()}
+    return first_of(docs, text_col, {f if f not in AMOUNT_FIELDS else f + "_raw": ps for f, ps in pats.items()})
 
 
 def line_item_matches(text: Column | str, guarded: bool = True) -> Column:
@@ -50,17 +50,17 @@ def line_items_column(text: Column | str, guarded: bool = True) -> Column:
     groups = "$1" + GROUP_SEP + "$2" + GROUP_SEP + "$3" + GROUP_SEP + "$4"
     rows = F.split(F.regexp_replace(joined, F.lit(java_item_pattern(guarded=False)), F.lit(groups)), ITEM_SEP)
 
-    def item(row: Column, i: Column) -> Column:
-        g = F.split(row, GROUP_SEP)
+    def item(g: Column, i: Column) -> Column:
         return F.struct(
             (i + 1).cast("int").alias("item_no"),
             ustrip(g[0]).alias("description"),
-            g[1].try_cast("bigint").alias("quantity"),
+            parse_whole(g[1]).alias("quantity"),
             parse_amount(g[2]).alias("unit_price"),
             parse_amount(g[3]).alias("total"),
         )
 
-    return F.transform(F.filter(rows, lambda r: r != ""), item)
+    groups_of = F.transform(F.filter(rows, lambda r: r != ""), lambda r: F.split(r, GROUP_SEP))
+    return F.transform(groups_of, item)
 
 
 def confidence_column(fields: dict[str, Column | str]) -> Column:
@@ -89,14 +89,10 @@ def extract_fields(
     convert in that order and the first failure stops the rest. An amount left unconverted is read later as a
     plain number (``float(raw)`` without removing commas), which is what ``total``/``vat``/``subtotal`` hold.
     """
-    text = F.col(text_col)
-    fields = field_columns(text, patterns)
+    fields = list(patterns or SEARCH_PATTERNS)
     keep = [c for c in docs.columns if keep_text or c != text_col]
-    stage1 = docs.select(
-        *keep,
-        *[fields[f].alias(f if f not in AMOUNT_FIELDS else f + "_raw") for f in fields],
-        line_items_column(text, guarded).alias("_items"),
-    )
+    found = with_fields(docs.withColumn("_items", line_items_column(text_col, guarded)), text_col, patterns)
+    stage1 = found.select(*keep, *[f if f not in AMOUNT_FIELDS else f + "_raw" for f in fields], "_items")
     items_ok = F.forall("_items", lambda x: x["unit_price"].isNotNull() & x["total"].isNotNull())
     stage2 = stage1.withColumn("items_ok", items_ok)
 

@@ -1,137 +1,115 @@
-"""Target-system layouts (generic, SAP, Oracle) and the push outbox, as projections.
+"""Target-system layouts (generic, SAP, Oracle) and their outbox, as projections.
 
-A target is a function ``DataFrame -> DataFrame``; several targets fan out from one (cached or written) frame.
+A target gives the columns of one layout for an invoice frame; several targets fan out from one written frame.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import (
-    ERP_REFERENCE_PREFIX,
-    MSG_NOT_CONNECTED,
-    MSG_PUSHED,
-    ORACLE_CONSTANTS,
-    SAP_CONSTANTS,
-    TARGET_LABELS,
-    VALIDATION_STATUS_DEFAULT,
-)
+from ..functions.patterns import ORACLE_CONSTANTS, SAP_CONSTANTS, TARGET_LABELS, VALIDATION_STATUS_DEFAULT
 
-Target = Callable[[DataFrame], DataFrame]
+Layout = Callable[[DataFrame], list[Column]]
 
 
-def _opt(df: DataFrame, name: str, default):
-    """``invoice.get(name, default)``: the default applies only when the key is absent; NULLs pass through."""
+def _of(df: DataFrame, name: str, default) -> Column:
+    """A field of the record: the default applies only when the column is absent; NULLs pass through."""
     return F.col(name) if name in df.columns else F.lit(default)
 
 
-def generic(df: DataFrame) -> DataFrame:
+def generic(df: DataFrame) -> list[Column]:
     """I1."""
     conf = F.col("confidence") if "confidence" in df.columns else F.create_map().cast("map<string,double>")
-    status = _opt(df, "validation_status", VALIDATION_STATUS_DEFAULT)
     flags = F.col("anomaly_flags") if "anomaly_flags" in df.columns else F.array().cast("array<string>")
-    return df.select(
-        *(["doc_id"] if "doc_id" in df.columns else []),
-        _opt(df, "supplier", "").alias("vendor"),
-        _opt(df, "invoice_number", "").alias("invoice_number"),
-        _opt(df, "invoice_date", "").alias("invoice_date"),
-        _opt(df, "subtotal", 0.0).alias("subtotal"),
-        _opt(df, "vat", 0.0).alias("tax_amount"),
-        _opt(df, "total", 0.0).alias("total_amount"),
-        _opt(df, "line_items", None).alias("line_items"),
-        F.struct(conf.alias("extraction_confidence"), status.alias("validation_status"),
+    return [
+        _of(df, "supplier", "").alias("vendor"),
+        _of(df, "invoice_number", "").alias("invoice_number"),
+        _of(df, "invoice_date", "").alias("invoice_date"),
+        _of(df, "subtotal", 0.0).alias("subtotal"),
+        _of(df, "vat", 0.0).alias("tax_amount"),
+        _of(df, "total", 0.0).alias("total_amount"),
+        _of(df, "line_items", None).alias("line_items"),
+        F.struct(conf.alias("extraction_confidence"),
+                 _of(df, "validation_status", VALIDATION_STATUS_DEFAULT).alias("validation_status"),
                  flags.alias("anomaly_flags")).alias("metadata"),
-    )
+    ]
 
 
-def sap(df: DataFrame) -> DataFrame:
+def sap(df: DataFrame) -> list[Column]:
     """Tax and subtotal are not part of the layout."""
-    g = generic(df)
-    return g.select(
-        *(["doc_id"] if "doc_id" in g.columns else []),
-        F.lit(SAP_CONSTANTS["BUKRS"]).alias("BUKRS"), F.col("vendor").alias("LIFNR"),
-        F.col("invoice_date").alias("BLDAT"), F.col("total_amount").alias("WRBTR"),
-        F.lit(SAP_CONSTANTS["WAERS"]).alias("WAERS"), F.col("invoice_number").alias("XBLNR"),
-        F.lit(SAP_CONSTANTS["BSART"]).alias("BSART"), F.col("line_items").alias("ITEMS"),
-    )
+    return [
+        F.lit(SAP_CONSTANTS["BUKRS"]).alias("BUKRS"), _of(df, "supplier", "").alias("LIFNR"),
+        _of(df, "invoice_date", "").alias("BLDAT"), _of(df, "total", 0.0).alias("WRBTR"),
+        F.lit(SAP_CONSTANTS["WAERS"]).alias("WAERS"), _of(df, "invoice_number", "").alias("XBLNR"),
+        F.lit(SAP_CONSTANTS["BSART"]).alias("BSART"), _of(df, "line_items", None).alias("ITEMS"),
+    ]
 
 
-def oracle(df: DataFrame) -> DataFrame:
+def oracle(df: DataFrame) -> list[Column]:
     """``description`` is ``Invoice <number>`` (NULL when the number is NULL)."""
-    g = generic(df)
-    return g.select(
-        *(["doc_id"] if "doc_id" in g.columns else []),
-        F.col("vendor").alias("vendor_id"), F.col("invoice_number").alias("invoice_num"), F.col("invoice_date"),
-        F.col("total_amount").alias("invoice_amount"), F.col("tax_amount"),
-        F.lit(ORACLE_CONSTANTS["currency_code"]).alias("currency_code"),
+    number = _of(df, "invoice_number", "")
+    return [
+        _of(df, "supplier", "").alias("vendor_id"), number.alias("invoice_num"),
+        _of(df, "invoice_date", "").alias("invoice_date"), _of(df, "total", 0.0).alias("invoice_amount"),
+        _of(df, "vat", 0.0).alias("tax_amount"), F.lit(ORACLE_CONSTANTS["currency_code"]).alias("currency_code"),
         F.lit(ORACLE_CONSTANTS["invoice_type_lookup_code"]).alias("invoice_type_lookup_code"),
-        F.concat(F.lit(ORACLE_CONSTANTS["description_prefix"]), F.col("invoice_number")).alias("description"),
-        F.col("line_items").alias("lines"),
-    )
+        F.concat(F.lit(ORACLE_CONSTANTS["description_prefix"]), number).alias("description"),
+        _of(df, "line_items", None).alias("lines"),
+    ]
 
 
-TARGETS: dict[str, tuple[str, Target]] = {"generic": (TARGET_LABELS["generic"], generic),
-                                          "sap": (TARGET_LABELS["sap"], sap),
-                                          "oracle": (TARGET_LABELS["oracle"], oracle)}
+LAYOUTS: dict[str, Layout] = {"generic": generic, "sap": sap, "oracle": oracle}
 
 
 class TargetRegistry:
     """Several named targets."""
 
     def __init__(self) -> None:
-        self._targets: dict[str, Target] = {}
+        self._targets: dict[str, Layout] = {}
 
-    def register(self, name: str, target: Target) -> None:
-        self._targets[name] = target
+    def register(self, name: str, layout: Layout) -> None:
+        self._targets[name] = layout
 
-    def get(self, name: str) -> Target | None:
+    def get(self, name: str) -> Layout | None:
         return self._targets.get(name)
 
     def names(self) -> list[str]:
         return list(self._targets)
 
     def fan_out(self, df: DataFrame) -> dict[str, DataFrame]:
-        return {n: t(df) for n, t in self._targets.items()}
+        return {n: _project(df, t) for n, t in self._targets.items()}
 
 
-def target(name: str) -> Target:
+def target(name: str) -> Layout:
     """Case-insensitive lookup; unknown names raise ``ValueError``."""
-    hit = TARGETS.get(name.lower())
+    hit = LAYOUTS.get(name.lower())
     if hit is None:
         raise ValueError(f"Unknown ERP type: {name}")
-    return hit[1]
+    return hit
+
+
+def _project(df: DataFrame, layout: Layout) -> DataFrame:
+    return df.select(*(["doc_id"] if "doc_id" in df.columns else []), *layout(df))
 
 
 def to_target(df: DataFrame, name: str) -> DataFrame:
-    return target(name)(df)
+    return _project(df, target(name))
 
 
-ID_COLUMN = {"generic": "invoice_number", "sap": "XBLNR", "oracle": "invoice_num"}
+def target_record(df: DataFrame, name: str) -> Column:
+    """The target's layout of each row as one struct column."""
+    return F.struct(*target(name)(df))
 
 
-def outbox(df: DataFrame, name: str, connected: bool = True) -> DataFrame:
-    """I4: the push result per invoice next to its JSON payload (one row per invoice; written, not sent).
+def outbox(df: DataFrame, name: str) -> DataFrame:
+    """I4: what is to be sent to a target, one row per invoice: ``target, label, document_id, payload`` (JSON).
 
-    ``success, message, invoice_id, erp_reference`` when connected; ``success=false, error`` otherwise. The id is
-    the invoice number for every target (the SAP/Oracle ``ERP-None`` quirk is not reproduced); a NULL number
-    gives a NULL reference. One projection over the payload — no join.
+    The id is the invoice number for every target. Nothing is sent; whoever sends the rows records the outcome.
     """
-    key = name.lower()
-    fn = target(name)
-    label = TARGETS[key][0]
-    payload = fn(df)
-    cols = [c for c in payload.columns if c != "doc_id"]
-    num = F.col(ID_COLUMN[key])
-    if connected:
-        res = [F.lit(True).alias("success"), F.lit(MSG_PUSHED.format(target=label)).alias("message"),
-               num.alias("invoice_id"), F.concat(F.lit(ERP_REFERENCE_PREFIX), num).alias("erp_reference"),
-               F.lit(None).cast("string").alias("error")]
-    else:
-        res = [F.lit(False).alias("success"), F.lit(None).cast("string").alias("message"),
-               F.lit(None).cast("string").alias("invoice_id"), F.lit(None).cast("string").alias("erp_reference"),
-               F.lit(MSG_NOT_CONNECTED).alias("error")]
-    return payload.select(*(["doc_id"] if "doc_id" in payload.columns else []), F.lit(key).alias("target"), *res,
-                          F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("payload"))
+    return df.select(
+        *(["doc_id"] if "doc_id" in df.columns else []), F.lit(name.lower()).alias("target"),
+        F.lit(TARGET_LABELS[name.lower()]).alias("label"), _of(df, "invoice_number", "").alias("document_id"),
+        F.to_json(target_record(df, name), {"ignoreNullFields": "false"}).alias("payload"))

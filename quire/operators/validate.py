@@ -12,8 +12,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import as_of_col, parse_invoice_date
-from ..functions.text import template
+from ..functions.dates import as_of_col, with_parsed_date
+from ..functions.text import parse_double, template
 from ..functions.patterns import (
     MSG_DATE_FUTURE,
     MSG_DATE_OLD,
@@ -30,6 +30,7 @@ from ..functions.patterns import (
     DEFAULT_REQUIRED_FIELDS,
     DEFAULT_VAT_RATES,
     OLD_DATE_DAYS,
+    PY_WHITESPACE,
     VAT_RATE_TOLERANCE,
 )
 
@@ -124,13 +125,10 @@ def item_findings(items: Column | str = "line_items") -> Column:
                              finding(ITEM_TOTAL_MISMATCH, "total", msg, item_no=n, observed=t, expected=exp)))
         return F.array(*checks)
 
-    return F.filter(F.flatten(F.transform(F.coalesce(items, F.array().cast(f"array<{_ITEM}>")), per_item)),
+    return F.filter(F.flatten(F.coalesce(F.transform(items, per_item), F.array().cast(f"array<{FINDINGS}>"))),
                     lambda f: f.isNotNull())
 
 
-_ITEM = "struct<item_no:int,description:string,quantity:bigint,unit_price:double,total:double>"
-
-
 def vat_rate(vat: Column | None = None, subtotal: Column | None = None) -> Column:
     """``vat / subtotal * 100`` when ``subtotal > 0``; NULL otherwise (no division by zero under ANSI)."""
     vat = F.col("vat") if vat is None else vat
@@ -169,6 +167,20 @@ def _compact(cols: list[Column]) -> Column:
     return F.filter(F.array(*cols), lambda f: f.isNotNull())
 
 
+def _typed(df: DataFrame) -> DataFrame:
+    """Structured input may carry amounts as text: those that are no numbers become NULL next to their text.
+
+    ``<amount>_raw`` keeps what was given, so that V2 reports them; text is read as ``float`` reads it (no commas).
+    """
+    kinds = dict(df.dtypes)
+    for f in AMOUNT_FIELDS:
+        if kinds.get(f) == "string":
+            if f + "_raw" not in kinds:
+                df = df.withColumn(f + "_raw", F.col(f))
+            df = df.withColumn(f, parse_double(F.trim(F.col(f), F.lit(PY_WHITESPACE))))
+    return df
+
+
 def validate(
     invoices: DataFrame,
     required_fields: list[str] | None = None,
@@ -179,7 +191,7 @@ def validate(
     """``errors``, ``warnings``, ``valid``; V11 strict mode moves warnings into errors."""
     req = DEFAULT_REQUIRED_FIELDS if required_fields is None else required_fields
     rates = DEFAULT_VAT_RATES if vat_rates is None else vat_rates
-    df = invoices.withColumn("invoice_date_parsed", parse_invoice_date("invoice_date"))
+    df = with_parsed_date(_typed(invoices))
     errors = F.concat(
         _compact(required_findings(df, req) + numeric_findings(df)),
         item_findings("line_items") if "line_items" in df.columns else F.array().cast(FINDINGS),

@@ -12,16 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.anomaly import PROFILE_COLUMNS, detect_anomalies, iqr_outlier, profile, z_score
-from ..operators.extract import (extract_fields, extract_line_items, field_columns, line_item_matches,
-                                 merge_entities)
+from ..operators.extract import (extract_fields, extract_line_items, line_items_column, merge_entities,
+                                 with_fields)
 from ..operators.targets import outbox, to_target
+from ..functions.stage import materialize, scratch_path
 from ..operators.validate import findings_as_rows, validate, vat_rate
 from ..options import Options
-from ..sinks.writers import flatten_for_csv, line_item_rows
+from ..sinks.writers import (CSV_READ_OPTIONS, flatten_for_csv, line_item_rows, output_names, to_record, union_item_tables,
+                            write_csv, write_json)
 from ..sources.files import assemble_pages, extension, is_supported_file
 from ..sources.fixtures import entity_table, rendered_invoices
 from ..sources.tables import read_table, spread
-from .run import materialize, report, run_invoices, summarize
+from .run import report, run_invoices, summarize
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +64,8 @@ def e_fields(spark, d):
     "SELECT doc_id, item_no, description, quantity, unit_price, total FROM items"))
 def e_line_items(spark, d):
     return extract_line_items(invoices(spark, d)).select(
-        "doc_id", F.col("item_no").cast("bigint").alias("item_no"), "description", "quantity", "unit_price", "total")
+        "doc_id", F.col("item_no").cast("bigint").alias("item_no"), "description", F.col("quantity").cast("bigint").alias("quantity"),
+        "unit_price", "total")
 
 
 # ---- validation -------------------------------------------------------------------------------------------------
@@ -393,12 +396,10 @@ gstat AS (
     _GATE_SQL))
 def a_history_gate(spark, d):
     inv = invoices_once(spark, d)
-    prof = materialize(profile(inv, by=["supplier"]), "supplier_profile")  # used twice below; one row per key
-    det = detect_anomalies(inv, prof, by=["supplier"])
+    det = detect_anomalies(inv, profile(inv, by=["supplier"]), by=["supplier"])
     a = _anom("statistical_outlier", "total")
-    return det.join(prof.select("supplier", "n_rows"), "supplier", "left").select(
-        "doc_id", "n_rows", (F.coalesce(F.col("n_rows"), F.lit(0)) >= 2).alias("gate"),
-        _r6(F.col("scores")["total_z_score"]).alias("z_total"), a.isNotNull().alias("total_outlier"))
+    return det.select("doc_id", F.col("history_rows").alias("n_rows"), (F.coalesce("history_rows", F.lit(0)) >= 2).alias("gate"),
+                      _r6(F.col("scores")["total_z_score"]).alias("z_total"), a.isNotNull().alias("total_outlier"))
 
 
 # ---- extraction extras: confidence, documents table, entity merge -----------------------------------------------
@@ -412,12 +413,13 @@ def a_history_gate(spark, d):
     "CASE WHEN invoice_date IS NOT NULL THEN 'invoice_date' END, CASE WHEN supplier IS NOT NULL THEN 'supplier' END, "
     "CASE WHEN total_raw IS NOT NULL THEN 'total' END, CASE WHEN vat_raw IS NOT NULL THEN 'vat' END, "
     "CASE WHEN subtotal_raw IS NOT NULL THEN 'subtotal' END) AS fields, "
-    "true AS all_scores_08 FROM inv"))
+    "round(0.8 * ((invoice_number IS NOT NULL)::INT + (invoice_date IS NOT NULL)::INT + (supplier IS NOT NULL)::INT + "
+    "(total_raw IS NOT NULL)::INT + (vat_raw IS NOT NULL)::INT + (subtotal_raw IS NOT NULL)::INT), 3)::DOUBLE AS sum_scores FROM inv"))
 def e_confidence_count(spark, d):
     c = F.col("confidence")
     return invoices(spark, d).select(
         "doc_id", F.size(c).cast("bigint").alias("n_confidence"), F.array_join(F.map_keys(c), ",").alias("fields"),
-        F.forall(F.map_values(c), lambda v: v == 0.8).alias("all_scores_08"))
+        F.round(F.aggregate(F.map_values(c), F.lit(0.0), lambda x, v: x + v), 3).alias("sum_scores"))
 
 
 _DOC_FIELDS_SQL = ("WITH " + ",\n".join([
@@ -428,17 +430,23 @@ _DOC_FIELDS_SQL = ("WITH " + ",\n".join([
 @register("e_documents_fields", _DOC_FIELDS_SQL)
 def e_documents_fields(spark, d):
     docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
-    cols = field_columns("text")
-    return docs.select("doc_id", *[cols[f].alias(f if f not in ("total", "vat", "subtotal") else f + "_raw")
-                                   for f in cols])
+    return with_fields(docs).drop("text")
 
 
+# each text, followed by one line with a quantity and two amounts made of its own numbers
 @register("e_documents_line_items", "WITH " + ",\n".join(
-    ["rendered AS (SELECT doc_id, text FROM documents)", O.ITEM_ROWS_CTE.strip()])
-    + "\nSELECT doc_id, CAST(len(m1) AS BIGINT) AS n_matches FROM item_matches")
+    ["rendered AS (SELECT doc_id, coalesce(text, '') || chr(10) || 'Closing line  ' || n_chars || '  $' || doc_id || '.50  $1,' || n_chars "
+     "AS text FROM documents)", O.ITEM_ROWS_CTE.strip()])
+    + "\nSELECT m.doc_id, CAST(len(m1) AS BIGINT) AS n_matches, CAST(m2[-1] AS BIGINT) AS last_quantity, "
+      "CAST(replace(m3[-1], ',', '') AS DOUBLE) AS last_price, CAST(replace(m4[-1], ',', '') AS DOUBLE) AS last_total FROM item_matches m")
 def e_documents_line_items(spark, d):
-    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.size(line_item_matches("text")).cast("bigint").alias("n_matches"))
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text", "n_chars"))
+    line = F.concat(F.lit("\nClosing line  "), F.col("n_chars").cast("string"), F.lit("  $"), F.col("doc_id").cast("string"),
+                    F.lit(".50  $1,"), F.col("n_chars").cast("string"))
+    found = docs.select("doc_id", line_items_column(F.concat(F.coalesce("text", F.lit("")), line)).alias("items"))
+    last = F.get(F.col("items"), F.size("items") - 1)
+    return found.select("doc_id", F.size("items").cast("bigint").alias("n_matches"), last["quantity"].cast("bigint").alias("last_quantity"),
+                        last["unit_price"].alias("last_price"), last["total"].alias("last_total"))
 
 
 @register("e_entity_fallback", O.with_base(
@@ -467,13 +475,20 @@ def s_page_assembly(spark, d):
     return assemble_pages(pages)
 
 
+# file paths made of the page addresses: eight endings (one of them not supported) in lower, upper and mixed case
+_ENDINGS = [".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".txt"]
+_CASED = _ENDINGS + [e.upper() for e in _ENDINGS] + [e[:2].upper() + e[2:] for e in _ENDINGS]
+
+
 @register("s_extension_predicate",
-          "SELECT page_id, lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) AS extension, "
-          "lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) IN "
-          "('.pdf', '.png', '.jpg', '.jpeg', '.tiff', '.tif', '.bmp') AS supported FROM pages")
+          "WITH p AS (SELECT page_id, rtrim(url, '/') || [" + ", ".join(f"'{e}'" for e in _CASED) + "][CAST(page_id % 24 AS INT) + 1] AS path FROM pages) "
+          "SELECT page_id, lower('.' || split_part(path, '.', -1)) AS extension, split_part(lower(path), '.', -1) IN "
+          "('pdf', 'png', 'jpg', 'jpeg', 'tiff', 'tif', 'bmp') AS supported FROM p")
 def s_extension_predicate(spark, d):
     pages = read_table(spark, d, "pages").select("page_id", "url")
-    return pages.select("page_id", extension("url").alias("extension"), is_supported_file("url").alias("supported"))
+    cased = F.array(*[F.lit(e) for e in _CASED])
+    paths = pages.select("page_id", F.concat(F.rtrim("url", F.lit("/")), F.element_at(cased, (F.col("page_id") % 24 + 1).cast("int"))).alias("path"))
+    return paths.select("page_id", extension("path").alias("extension"), is_supported_file("path").alias("supported"))
 
 
 # ---- sinks (layouts) ----------------------------------------------------------------------------------------------
@@ -485,18 +500,83 @@ _CONF = ", ".join(
 
 
 @register("x_flat_header", O.with_base(
-    "SELECT doc_id, invoice_number, invoice_date, supplier, total, vat, subtotal, CAST(n_items AS INTEGER) AS "
+    "SELECT doc_id, invoice_number, invoice_date, supplier, CASE WHEN conv_total THEN total END AS total, "
+    "CASE WHEN NOT conv_total THEN total_raw END AS total_text, CASE WHEN conv_vat THEN vat END AS vat, "
+    "CASE WHEN NOT conv_vat THEN vat_raw END AS vat_text, CAST(n_items AS INTEGER) AS "
     f"line_items_count, {_CONF} FROM inv"))
 def x_flat_header(spark, d):
-    inv = invoices(spark, d).select("doc_id", "invoice_number", "invoice_date", "supplier", "total", "vat",
-                                    "subtotal", "line_items", "confidence")
-    return flatten_for_csv(inv)
+    rec = to_record(invoices(spark, d))
+    kinds = rec.select("doc_id", *[F.col(f)["text"].isNotNull().alias(f"_{f}_text") for f in ("total", "vat")])
+    flat = flatten_for_csv(rec).join(kinds, "doc_id")
+    return flat.select("doc_id", "invoice_number", "invoice_date", "supplier", *[c for f in ("total", "vat") for c in (
+        F.when(~F.col(f"_{f}_text"), F.col(f)).cast("double").alias(f), F.when(F.col(f"_{f}_text"), F.col(f)).alias(f"{f}_text"))],
+        "line_items_count", *[c for c in flat.columns if c.startswith("confidence_")])
 
 
 @register("x_line_items", O.with_base(
     "SELECT doc_id, CAST(item_no AS INTEGER) AS item_no, description, quantity, total, unit_price FROM items"))
 def x_line_items(spark, d):
-    return line_item_rows(invoices(spark, d))
+    return line_item_rows(to_record(invoices(spark, d))).withColumn("quantity", F.col("quantity").cast("bigint"))
+
+
+_RECORD_SQL = ("SELECT i.invoice_number, invoice_date, supplier, CASE WHEN conv_total THEN i.total END AS total, "
+               "CASE WHEN NOT conv_total THEN total_raw END AS total_text, CASE WHEN conv_vat THEN vat END AS vat, "
+               "CASE WHEN NOT conv_vat THEN vat_raw END AS vat_text, CAST(n_items AS INTEGER) AS n_items, ")
+
+
+@register("x_json_roundtrip", O.with_base(
+    _RECORD_SQL + "f.description AS first_description, CAST(f.quantity AS BIGINT) AS first_quantity, f.total AS first_total, "
+    "CAST((i.invoice_number IS NOT NULL)::INT + (invoice_date IS NOT NULL)::INT + (supplier IS NOT NULL)::INT + (total_raw IS NOT NULL)::INT "
+    "+ (vat_raw IS NOT NULL)::INT + (subtotal_raw IS NOT NULL)::INT AS INTEGER) AS n_scores "
+    "FROM inv i LEFT JOIN items f ON i.doc_id = f.doc_id AND f.item_no = 1"))
+def x_json_roundtrip(spark, d):
+    """Records written as JSON in the shared folder and read back as any reader would: amounts are numbers or text."""
+    path = scratch_path(spark, "json-records")
+    write_json(to_record(invoices(spark, d)), path)
+    item = "struct<description:string,quantity:bigint,unit_price:double,total:double>"
+    back = spark.read.schema("invoice_number string, invoice_date string, supplier string, total string, vat string, subtotal string, "
+                             f"line_items array<{item}>, confidence_scores map<string,double>, _raw string").json(path)
+    lines = spark.read.text(path)
+    kind = lambda f: F.get_json_object("value", f"$.{f}")
+    quoted = lines.select(F.get_json_object("value", "$.invoice_number").alias("_n"), *[
+        (kind(f).isNotNull() & F.col("value").rlike(f'"{f}": "')).alias(f"_{f}_text") for f in ("total", "vat")])
+    both = back.join(quoted, F.col("invoice_number") == F.col("_n"))
+    first = F.get("line_items", 0)
+    return both.select(
+        "invoice_number", "invoice_date", "supplier", *[c for f in ("total", "vat") for c in (
+            F.when(~F.col(f"_{f}_text"), F.col(f)).try_cast("double").alias(f), F.when(F.col(f"_{f}_text"), F.col(f)).alias(f"{f}_text"))],
+        F.size("line_items").alias("n_items"), first["description"].alias("first_description"), first["quantity"].alias("first_quantity"),
+        first["total"].alias("first_total"), F.size("confidence_scores").alias("n_scores"))
+
+
+@register("x_csv_roundtrip", O.with_base(
+    "SELECT i.doc_id, i.invoice_number, supplier, total_raw IS NOT NULL AS has_total, CAST(n_items AS INTEGER) AS line_items_count, "
+    "CAST(f.item_no AS INTEGER) AS item_no, f.description, f.quantity, f.total AS item_total, f.unit_price "
+    "FROM inv i LEFT JOIN items f ON i.doc_id = f.doc_id"))
+def x_csv_roundtrip(spark, d):
+    """Both CSV tables written in the shared folder and read back; first descriptions hold a line break."""
+    path = scratch_path(spark, "csv-records")
+    write_csv(materialize(to_record(invoices(spark, d)), "records"), path)
+    read = lambda name, schema: spark.read.options(**CSV_READ_OPTIONS).schema(schema).csv(f"{path}/{name}")
+    scores = ", ".join(f"confidence_{f} double" for f in ("invoice_number", "invoice_date", "supplier", "total", "vat", "subtotal"))
+    head = read("invoices", "doc_id long, invoice_number string, invoice_date string, supplier string, total string, vat string, "
+                            f"subtotal string, line_items_count int, {scores}")
+    items = read("line_items", "doc_id long, item_no int, description string, quantity long, total double, unit_price double")
+    return head.select("doc_id", "invoice_number", "supplier", F.col("total").isNotNull().alias("has_total"), "line_items_count").join(
+        items.withColumnRenamed("total", "item_total"), "doc_id", "left")
+
+
+@register("x_item_union", O.with_base(
+    "SELECT doc_id, CAST(item_no AS INTEGER) AS item_no, description, CASE WHEN doc_id % 2 = 0 THEN CAST(quantity AS BIGINT) END AS quantity, "
+    "CASE WHEN doc_id % 2 = 1 THEN unit_price END AS unit_price FROM items"))
+def x_item_union(spark, d):
+    items = line_item_rows(to_record(invoices(spark, d))).withColumn("quantity", F.col("quantity").cast("bigint")).drop("total")
+    return union_item_tables(items.filter("doc_id % 2 = 0").drop("unit_price"), items.filter("doc_id % 2 = 1").drop("quantity"))
+
+
+@register("x_output_names", "SELECT url AS path, 'invoice_' || row_number() OVER (ORDER BY url) AS output_name FROM pages")
+def x_output_names(spark, d):
+    return output_names(read_table(spark, d, "pages").select(F.col("url").alias("path")))
 
 
 # ---- targets ------------------------------------------------------------------------------------------------------
@@ -534,14 +614,24 @@ def i_oracle(spark, d):
 
 
 @register("i_outbox", O.with_base(
-    "SELECT doc_id, t.target, true AS success, 'Invoice pushed to ' || t.label AS message, "
-    "invoice_number AS invoice_id, 'ERP-' || invoice_number AS erp_reference FROM inv CROSS JOIN "
-    "(VALUES ('generic', 'Generic'), ('sap', 'SAP'), ('oracle', 'Oracle')) t(target, label)"))
+    "SELECT i.doc_id, t.target, invoice_number AS document_id, t.label, supplier AS vendor, i.total AS amount, invoice_date AS issued, "
+    "CAST(n_items AS INTEGER) AS n_items, f.description AS first_description, f.total AS first_total "
+    "FROM inv i CROSS JOIN (VALUES ('generic', 'Generic'), ('sap', 'SAP'), ('oracle', 'Oracle')) t(target, label) "
+    "LEFT JOIN items f ON i.doc_id = f.doc_id AND f.item_no = 1"))
 def i_outbox(spark, d):
+    """Payloads as they would be sent, read back from their JSON."""
     inv = invoices_once(spark, d)  # I5 fan-out: one written frame, one projection per target
-    parts = [outbox(inv, t) for t in ("generic", "sap", "oracle")]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select("doc_id", "target", "success", "message", "invoice_id", "erp_reference")
+    names = {"generic": ("vendor", "total_amount", "invoice_date", "line_items"), "sap": ("LIFNR", "WRBTR", "BLDAT", "ITEMS"),
+             "oracle": ("vendor_id", "invoice_amount", "invoice_date", "lines")}
+    out = None
+    for t, (vendor, amount, issued, items) in names.items():
+        at = lambda path: F.get_json_object("payload", f"$.{path}")
+        parsed = F.from_json(at(items), "array<struct<description:string,total:double>>")
+        one = outbox(inv, t).select("doc_id", "target", "document_id", "label", at(vendor).alias("vendor"), at(amount).cast("double").alias("amount"),
+                                    at(issued).alias("issued"), F.size(parsed).alias("n_items"), F.get(parsed, 0)["description"].alias("first_description"),
+                                    F.get(parsed, 0)["total"].alias("first_total"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ---- end-to-end runs ----------------------------------------------------------------------------------------------
@@ -572,9 +662,7 @@ def p_batch_summary(spark, d):
     "FROM inv i LEFT JOIN ocr o ON i.doc_id = o.doc_id JOIN rules r ON i.doc_id = r.doc_id",
     _BATCH_SQL + _RULES_SQL))
 def p_batch_summary_rules(spark, d):
-    opts = Options()
-    opts.anomaly_detection.algorithms = ["rule_based"]
-    return summarize(run_invoices(batch_docs(spark, d), options=opts, as_of=AS_OF))
+    return summarize(run_invoices(batch_docs(spark, d), options=Options(anomaly_mode="rule_based"), as_of=AS_OF))
 
 
 @register("p_stage_status", O.with_base(
@@ -619,6 +707,84 @@ def p_report(spark, d):
     return report(run_invoices(batch_docs(spark, d), as_of=AS_OF))
 
 
+@register("p_failed_rows", O.with_base(
+    "SELECT coalesce(o.ocr_ok, true) AS ocr_ok, CAST(count(*) AS BIGINT) AS n, "
+    "CAST(sum(CASE WHEN coalesce(o.ocr_ok, true) THEN v.n_err + v.n_warn ELSE 0 END) AS BIGINT) AS n_findings, "
+    "CAST(sum(CASE WHEN coalesce(o.ocr_ok, true) AND coalesce(i.supplier, f.org) IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_suppliers, "
+    "CAST(sum(CASE WHEN coalesce(o.ocr_ok, true) THEN 1 ELSE 0 END) AS BIGINT) AS n_exported "
+    "FROM inv i LEFT JOIN ocr o ON i.doc_id = o.doc_id JOIN verdict2 v ON i.doc_id = v.doc_id "
+    "LEFT JOIN (SELECT doc_id, arg_min(text, ord) AS org FROM entities WHERE label = 'ORG' GROUP BY doc_id) f ON i.doc_id = f.doc_id GROUP BY 1",
+    _BATCH_SQL + [O.ENTITIES_SQL] + O.val_ctes(AS_OF) + ["""
+verdict2 AS (
+  SELECT v.doc_id, v.n_err - CASE WHEN i.supplier IS NULL AND f.org IS NOT NULL THEN 1 ELSE 0 END AS n_err, v.n_warn
+  FROM verdict v JOIN inv i ON v.doc_id = i.doc_id
+  LEFT JOIN (SELECT doc_id, arg_min(text, ord) AS org FROM entities WHERE label = 'ORG' GROUP BY doc_id) f ON v.doc_id = f.doc_id)"""]))
+def p_failed_rows(spark, d):
+    """A failed scan yields no record: no finding, no supplier from its entities, no export."""
+    ents = entity_table(read_table(spark, d, "orders"), read_table(spark, d, "customer"))
+    r = run_invoices(batch_docs(spark, d), options=Options(use_entities=True), as_of=AS_OF, entities=ents)
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return r.groupBy(F.col("stages.ocr.success").alias("ocr_ok")).agg(
+        F.count("*").alias("n"), F.sum(n("errors") + n("warnings")).alias("n_findings"), F.count("supplier").alias("n_suppliers"),
+        F.count_if(F.coalesce(F.col("stages.export.success"), F.lit(False))).alias("n_exported"))
+
+
+@register("p_run_history", O.with_base(
+    "SELECT i.doc_id, i.supplier, p.n_rows AS history_rows, CAST(coalesce(o.n, 0) AS BIGINT) AS n_organizations, "
+    "i.invoice_number AS sent_number FROM inv2_ i LEFT JOIN sprof p ON i.supplier = p.supplier "
+    "LEFT JOIN (SELECT doc_id, count(*) AS n FROM entities WHERE label = 'ORG' GROUP BY doc_id) o ON i.doc_id = o.doc_id",
+    [O.ENTITIES_SQL] + O.profile_ctes("sprof", "inv", "total", "vat", ["supplier"]) + ["""
+inv2_ AS (
+  SELECT i.* EXCLUDE (supplier), coalesce(i.supplier, f.org) AS supplier
+  FROM inv i LEFT JOIN (SELECT doc_id, arg_min(text, ord) AS org FROM entities WHERE label = 'ORG' GROUP BY doc_id) f ON i.doc_id = f.doc_id)"""]))
+def p_run_history(spark, d):
+    """A run with a history by supplier, entities and a target."""
+    ents = entity_table(read_table(spark, d, "orders"), read_table(spark, d, "customer"))
+    r = run_invoices(rendered_invoices(spark, d), history=invoices_once(spark, d), by=["supplier"], entities=ents, as_of=AS_OF,
+                     options=Options(use_entities=True, target="sap"), materialize_extracted=True)
+    return r.select("doc_id", "supplier", "history_rows", F.size("organizations").cast("bigint").alias("n_organizations"),
+                    F.col("stages.erp_integration.XBLNR").alias("sent_number"))
+
+
+# ---- structured input: amounts as text, items with absent keys ----------------------------------------------------
+
+@register("v_structured_amounts", """
+WITH s AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'abc' WHEN 1 THEN '1,234.00' WHEN 2 THEN '-' || o_custkey ELSE ' ' || o_custkey || '.5 ' END AS total,
+                  CASE WHEN o_orderkey % 3 = 0 THEN -1.0 * o_custkey WHEN o_orderkey % 3 = 1 THEN NULL ELSE o_custkey END AS vat FROM orders)
+SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 'total' ELSE '' END AS not_a_number,
+       concat_ws(',', CASE WHEN doc_id % 4 = 2 AND try_cast(total AS DOUBLE) < 0 THEN 'total' END, CASE WHEN vat < 0 THEN 'vat' END) AS negative,
+       CASE WHEN doc_id % 4 >= 2 THEN CAST(trim(total) AS DOUBLE) END AS total FROM s""")
+def v_structured_amounts(spark, d):
+    k = F.col("o_orderkey")
+    cust = F.col("o_custkey").cast("string")
+    rows = read_table(spark, d, "orders").select(
+        k.alias("doc_id"), F.lit("Supplier").alias("supplier"), F.lit(None).cast("string").alias("invoice_date"), F.lit(None).cast("double").alias("subtotal"),
+        F.when(k % 4 == 0, F.lit("abc")).when(k % 4 == 1, F.lit("1,234.00")).when(k % 4 == 2, F.concat(F.lit("-"), cust)).otherwise(
+            F.concat(F.lit(" "), cust, F.lit(".5 "))).alias("total"),
+        F.when(k % 3 == 0, -F.col("o_custkey")).when(k % 3 == 2, F.col("o_custkey")).cast("double").alias("vat"))
+    v = validate(rows, required_fields=[], as_of=AS_OF)
+    return v.select("doc_id", _fields_of("errors", "not_a_number").alias("not_a_number"), _fields_of("errors", "negative").alias("negative"), "total")
+
+
+@register("v_item_missing", """
+WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber, l_quantity, l_extendedprice,
+                  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS item_no FROM lineitem)
+SELECT doc_id, item_no, 'description' AS field FROM l WHERE l_linenumber = 2
+UNION ALL SELECT doc_id, item_no, 'quantity' FROM l WHERE l_quantity >= 40
+UNION ALL SELECT doc_id, item_no, 'unit_price' FROM l WHERE doc_id % 7 = 0
+UNION ALL SELECT doc_id, item_no, 'total' FROM l WHERE l_extendedprice < 5000""")
+def v_item_missing(spark, d):
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.struct(
+        F.when(F.col("l_linenumber") != 2, F.lit("part")).alias("description"), F.when(F.col("l_quantity") < 40, F.col("l_quantity")).alias("quantity"),
+        F.when(F.col("l_orderkey") % 7 != 0, F.lit(1.0)).alias("unit_price"), F.when(F.col("l_extendedprice") >= 5000, F.col("l_extendedprice")).alias("total")).alias("item"))
+    rows = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias("line_items"))
+    none = {c: F.lit(None).cast(t) for c, t in (("supplier", "string"), ("invoice_date", "string"), ("total", "double"), ("vat", "double"), ("subtotal", "double"))}
+    v = validate(rows.withColumns(none), required_fields=[], as_of=AS_OF)
+    return v.select("doc_id", F.explode_outer(_codes("errors", "item_field_missing")).alias("f")).where(F.col("f").isNotNull()).select(
+        "doc_id", F.col("f.item_no").cast("bigint").alias("item_no"), F.col("f.field").alias("field"))
+
+
 def flagship(spark, d) -> DataFrame:
     """Invoices whose stated total disagrees with subtotal + VAT, with their error/warning/anomaly counts."""
     # written once before filtering: a filter on derived columns would otherwise inline every regex it depends on

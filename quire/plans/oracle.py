@@ -7,16 +7,30 @@ planning happens here.
 
 from __future__ import annotations
 
-from ..functions.patterns import (
-    AMOUNT_FIELDS,
-    CALCULATION_TOLERANCE,
-    DEFAULT_VAT_RATES,
-    FIELD_PATTERNS,
-    LINE_ITEM_PATTERN,
-    PY_WHITESPACE,
-)
 from ..sources.fixtures import ENTITIES_SQL, RENDERED_SQL
 
+# ---- FIXED VALUES, written out again on this side so that a slip on the other one shows -------------------------
+AMOUNT_FIELDS = ("total", "vat", "subtotal")
+CALCULATION_TOLERANCE = 0.01
+DEFAULT_VAT_RATES = (0.0, 5.0, 10.0, 20.0)
+FIELD_PATTERNS = {
+    "invoice_number": [r"invoice\s*#?\s*:?\s*([A-Z0-9-]+)", r"inv\s*#?\s*:?\s*([A-Z0-9-]+)",
+                       r"invoice\s+number\s*:?\s*([A-Z0-9-]+)"],
+    "invoice_date": [r"date\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
+                     r"invoice\s+date\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
+                     r"(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{2,4})"],
+    "supplier": [r"from\s*:?\s*([A-Za-z\s&.,]+?)(?:\n|$)", r"vendor\s*:?\s*([A-Za-z\s&.,]+?)(?:\n|$)",
+                 r"supplier\s*:?\s*([A-Za-z\s&.,]+?)(?:\n|$)"],
+    "total": [r"total\s*:?\s*\$?\s*([\d,]+\.?\d*)", r"amount\s+due\s*:?\s*\$?\s*([\d,]+\.?\d*)",
+              r"grand\s+total\s*:?\s*\$?\s*([\d,]+\.?\d*)"],
+    "vat": [r"vat\s*:?\s*\$?\s*([\d,]+\.?\d*)", r"tax\s*:?\s*\$?\s*([\d,]+\.?\d*)",
+            r"sales\s+tax\s*:?\s*\$?\s*([\d,]+\.?\d*)"],
+    "subtotal": [r"subtotal\s*:?\s*\$?\s*([\d,]+\.?\d*)", r"sub-total\s*:?\s*\$?\s*([\d,]+\.?\d*)"],
+}
+LINE_ITEM_PATTERN = r"([A-Za-z\s]+)\s+(\d+)\s+\$?([\d,]+\.?\d*)\s+\$?([\d,]+\.?\d*)"
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+                 "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 WS = "(" + " || ".join(f"chr({ord(c)})" for c in PY_WHITESPACE) + ")"
 
 

@@ -1,26 +1,27 @@
-"""The whole document → invoice → validation → anomalies chain as one lazy plan, and its summary.
+"""The whole document → invoice → validation → anomalies → export → target chain, and its summary.
 
 ``run_invoices(docs)`` takes ``(doc_id, text[, ocr_success, ocr_error, path])`` and returns one row per document
-with the extracted record, ``errors/warnings/valid``, anomaly columns, per-stage status and ``success``. Rows
-whose OCR failed are kept (stages after OCR are NULL, ``error = 'OCR extraction failed'``); validation never
-gates later stages. Nothing is collected; ``summarize`` is a one-row aggregate.
+with the extracted record, ``errors/warnings/valid``, anomaly columns, per-stage status and ``success``. A row whose
+OCR failed is kept with its status alone: no record, finding, anomaly or export. Validation never gates later
+stages. Nothing is collected and, but for the history profile, nothing runs when the plan is made; ``summarize`` is
+a one-row aggregate.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import FIELD_ORDER, MSG_OCR_FAILED
+from ..functions.stage import materialize
 from ..operators.anomaly import detect_anomalies, profile
 from ..operators.extract import extract_fields, merge_entities
+from ..operators.targets import target_record
 from ..operators.validate import validate
 from ..options import Options
-from ..session import ensure_checkpoint_dir
-from ..sources.tables import spread
+from ..sinks.writers import write_invoices
 
 RECORD_KEYS = FIELD_ORDER + ["line_items", "confidence_scores"]
 NER_KEYS = ["organizations", "dates", "money"]
@@ -34,15 +35,18 @@ def run_invoices(
     by: list[str] | tuple[str, ...] = (),
     entities: DataFrame | None = None,
     materialize_extracted: bool = False,
+    min_partitions: int | None = None,
 ) -> DataFrame:
     """Every stage for every document; ``history`` (invoice-shaped, ``total``/``vat``) feeds the profile.
 
     ``materialize_extracted`` writes the extracted invoices once (parquet under ``spark.checkpoint.dir``) and
     runs validation and detection from that table: the stage boundary for large runs — later filters cannot
-    re-run the regex scans, and a lost executor re-reads the table instead of the text.
+    re-run the regex scans, and a lost executor re-reads the table instead of the text. ``min_partitions`` deals
+    the documents out first, for inputs of fewer partitions than the cluster has cores.
     """
-    opts = options or Options.default()
-    d = spread(docs)
+    opts = options or Options()
+    given = [c for c in docs.columns if c != "text"]
+    d = docs.repartition(min_partitions) if min_partitions else docs
     ocr_ok = F.col("ocr_success") if "ocr_success" in d.columns else F.lit(True)
     d = d.withColumn("_ocr_ok", F.coalesce(ocr_ok, F.lit(False))).withColumn(
         "_text_length", F.coalesce(F.length("text"), F.lit(0)))
@@ -51,16 +55,17 @@ def run_invoices(
     inv = extract_fields(d)
     if materialize_extracted:
         inv = materialize(inv, "extracted")
-    ner = opts.extraction.model_type == "spacy_ner" and entities is not None
+    ner = opts.use_entities and entities is not None
     if ner:
         inv = merge_entities(inv, entities, with_lists=True)
-    v = opts.validation
-    inv = validate(inv, required_fields=v.required_fields, vat_rates=v.vat_rates, strict=v.strict_mode, as_of=as_of)
-    mode = opts.anomaly_detection.mode()
+    inv = validate(inv, required_fields=list(opts.required_fields), vat_rates=list(opts.vat_rates), strict=opts.strict, as_of=as_of)
+    mode = opts.anomaly_mode
     prof = profile(history, by=by) if (history is not None and mode == "statistical") else None
     out = detect_anomalies(inv, prof, by=by, mode=mode)
 
     ok = F.col("_ocr_ok")
+    own = [*given, "_ocr_ok", "_text_length"]
+    out = out.select(*own, *[F.when(ok, F.col(c)).alias(c) for c in out.columns if c not in own])
     keys = RECORD_KEYS + (NER_KEYS if ner else [])
     stages = [
         F.struct(ok.alias("success"), F.col("_text_length").alias("text_length")).alias("ocr"),
@@ -70,30 +75,21 @@ def run_invoices(
     ]
     failed_anomaly = F.lit(False)
     if mode is not None:
-        stages.append(F.when(ok, F.struct("has_anomalies", "total_anomalies")).alias("anomaly_detection"))
-        if mode == "rule_based":
+        if mode == "rule_based":  # a raised rule ends the run before this stage reports
             failed_anomaly = F.col("anomaly_error").isNotNull()
+        stages.append(F.when(ok & ~failed_anomaly, F.struct("has_anomalies", "total_anomalies")).alias("anomaly_detection"))
     success = ok & ~failed_anomaly
-    error = (F.when(~ok, F.lit(MSG_OCR_FAILED))
-             .when(failed_anomaly, F.col("anomaly_error")))
+    stages.append(F.when(success, F.struct(F.lit(True).alias("success"))).alias("export"))
+    if opts.target is not None:
+        stages.append(F.when(success, target_record(out, opts.target)).alias("erp_integration"))
+    error = F.when(~ok, F.lit(MSG_OCR_FAILED)).when(failed_anomaly, F.col("anomaly_error"))
     return out.withColumn("stages", F.struct(*stages)).withColumn("success", success).withColumn(
         "error", error).drop("_ocr_ok", "_text_length")
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as a parquet table under the shared ``spark.checkpoint.dir`` and continue from it.
-
-    The boundary to put after extraction: a filter placed directly on extracted or derived columns is pushed
-    below the projection and inlines the regex expressions (once per reference); reading the written table
-    evaluates them exactly once. It cuts the lineage (a lost executor re-reads the table instead of re-scanning
-    the text), and parquet is columnar and carries size statistics for the optimizer — faster to read back than
-    an RDD checkpoint of nested rows.
-    """
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/quire-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+def export_run(results: DataFrame, base: str, formats: list[str] | tuple[str, ...] = ("json", "csv"), pretty_json: bool = False) -> bool:
+    """Stage 5: the records of the documents that succeeded, written in every format; failed ones write nothing."""
+    return write_invoices(results.filter("success"), base, formats, pretty_json)
 
 
 def summarize(results: DataFrame) -> DataFrame:
@@ -113,7 +109,7 @@ def report(results: DataFrame, name_col: str = "doc_id") -> DataFrame:
     return results.select(
         F.col(name_col).alias("name"),
         F.when(F.col("success"), F.lit("success")).otherwise(F.lit("failed")).alias("status"),
-        "supplier", "total", F.size("line_items").cast("bigint").alias("n_line_items"),
+        "supplier", "total", F.coalesce(F.size("line_items"), F.lit(0)).cast("bigint").alias("n_line_items"),
         F.coalesce(n_anom, F.lit(0)).cast("bigint").alias("n_anomalies"),
         stages["validation"]["valid"].alias("valid"),
     )

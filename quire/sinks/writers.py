@@ -1,8 +1,9 @@
-"""JSON and CSV sinks, multi-format fan-out, batch output naming.
+"""The exported record, JSON and CSV sinks, multi-format fan-out, batch output naming.
 
-Sinks are DataFrame writers (distributed, one file per partition). The CSV layout flattens the record the
-same way as the per-invoice CSV: ``line_items`` → ``line_items_count``, ``confidence`` → ``confidence_<field>``,
-other nested values → JSON text; line items go to a child table keyed by ``doc_id``.
+An invoice is exported as the record of its eight keys: the six fields, ``line_items`` and ``confidence_scores``. An
+amount that was not converted stays the text that was captured. Sinks are DataFrame writers (distributed, one file
+per partition). Fields with quotes, commas or line breaks are quoted with doubled quotes, as CSV readers expect; read
+the files back with ``multiLine`` and ``escape='"'``.
 """
 
 from __future__ import annotations
@@ -10,55 +11,72 @@ from __future__ import annotations
 import logging
 import os
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.patterns import FIELD_ORDER
+from ..functions.patterns import AMOUNT_FIELDS, FIELD_ORDER
+from ..functions.stage import materialize
 from ..operators.extract import explode_items
 
 LOG = logging.getLogger(__name__)
 FORMATS = ("json", "csv")
 ITEM_CSV_COLUMNS = ["description", "quantity", "total", "unit_price"]  # sorted key names
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_READ_OPTIONS = {**CSV_OPTIONS, "multiLine": "true"}
+_KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-def json_records(df: DataFrame, pretty: bool = True) -> DataFrame:
-    """X1 as text: one JSON document per row, nulls kept (``pretty`` indents with 2 spaces)."""
-    opts = {"ignoreNullFields": "false"}
-    if pretty:
-        opts["pretty"] = "true"
-    return df.select(F.to_json(F.struct(*df.columns), opts).alias("value"))
-
-
-def write_json(df: DataFrame, path: str, pretty: bool = False, mode: str = "overwrite") -> None:
-    """JSON lines (or pretty documents) with NULL fields written, UTF-8."""
-    if pretty:
-        json_records(df, pretty=True).write.mode(mode).text(path)
-    else:
-        df.write.mode(mode).option("ignoreNullFields", "false").json(path)
-
-
-def flatten_for_csv(df: DataFrame, confidence_fields: list[str] | None = None) -> DataFrame:
-    """Scalar columns as they are; ``line_items`` → count; ``confidence`` → one column per field; other
-    arrays/maps/structs → JSON strings."""
-    fields = confidence_fields or FIELD_ORDER
-    cols = []
-    for f in df.schema.fields:
-        if f.name == "line_items":
-            cols.append(F.coalesce(F.size("line_items"), F.lit(0)).alias("line_items_count"))
-        elif f.name == "confidence":
-            cols += [F.col("confidence")[k].alias(f"confidence_{k}") for k in fields]
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            cols.append(F.to_json(F.col(f.name)).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+def to_record(inv: DataFrame) -> DataFrame:
+    """``doc_id`` and the eight keys. Amounts are a struct: ``number`` when converted, else ``text`` as captured."""
+    kinds = dict(inv.dtypes)
+
+    def amount(f: str) -> Column:
+        raw = F.col(f + "_raw") if f + "_raw" in kinds else F.lit(None).cast("string")
+        done = F.col("converted")[f] if "converted" in kinds else F.col(f).isNotNull()
+        return F.when(done, F.struct(F.col(f).alias("number"), F.lit(None).cast("string").alias("text"))).when(
+            raw.isNotNull(), F.struct(F.lit(None).cast("double").alias("number"), raw.alias("text")))
+
+    item = lambda x: F.struct(*[x[c].alias(c) for c in ("description", "quantity", "unit_price", "total")])
+    return inv.select(
+        "doc_id", *[amount(f).alias(f) if f in AMOUNT_FIELDS else F.col(f) for f in FIELD_ORDER],
+        F.transform("line_items", item).alias("line_items"), F.col("confidence").alias("confidence_scores"))
+
+
+def _json(c: Column) -> Column:
+    """Any value as JSON text, ``null`` for NULL."""
+    text = F.to_json(F.array(c), _KEEP_NULLS)
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def json_records(records: DataFrame, pretty: bool = True) -> DataFrame:
+    """X1 as text: one JSON document per record, nulls kept; ``pretty`` puts each key on a line of its own."""
+    value = {f: _json(F.col(f)) for f in records.columns if f != "doc_id"}
+    for f in AMOUNT_FIELDS:
+        value[f] = F.coalesce(_json(F.col(f)["number"]), F.lit("null"))
+        value[f] = F.when(F.col(f)["text"].isNotNull(), _json(F.col(f)["text"])).otherwise(value[f])
+    gap, end = (",\n  ", "\n}") if pretty else (", ", "}")
+    parts = [F.concat(F.lit(f'"{k}": '), v) for k, v in value.items()]
+    return records.select(F.concat(F.lit("{" + gap[1:]), F.concat_ws(gap, *parts), F.lit(end)).alias("value"))
+
+
+def write_json(records: DataFrame, path: str, pretty: bool = False, mode: str = "error") -> None:
+    """One record per line (or pretty documents), NULL fields written, UTF-8."""
+    json_records(records, pretty).write.mode(mode).text(path)
+
+
+def flatten_for_csv(records: DataFrame) -> DataFrame:
+    """Scalar keys as they are; ``line_items`` → ``line_items_count``; ``confidence_scores`` → a column per field."""
+    amounts = {f: F.coalesce(F.col(f)["text"], F.col(f)["number"].cast("string")) for f in AMOUNT_FIELDS}
+    return records.select(
+        "doc_id", *[amounts.get(f, F.col(f)).alias(f) for f in FIELD_ORDER],
+        F.coalesce(F.size("line_items"), F.lit(0)).alias("line_items_count"),
+        *[F.col("confidence_scores")[f].alias(f"confidence_{f}") for f in FIELD_ORDER])
 
 
 def line_item_rows(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """The child table, columns in sorted key order after the parent key and item number."""
-    return explode_items(df.select(key, "line_items"), "line_items").select(key, "item_no", *ITEM_CSV_COLUMNS)
+    numbered = F.transform("line_items", lambda x, i: F.struct((i + 1).cast("int").alias("item_no"), *[x[c].alias(c) for c in ITEM_CSV_COLUMNS]))
+    return explode_items(df.select(key, numbered.alias("line_items")), "line_items")
 
 
 def union_item_tables(*tables: DataFrame) -> DataFrame:
@@ -69,19 +87,19 @@ def union_item_tables(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv(records: DataFrame, path: str, mode: str = "error") -> None:
     """X2 + X3: ``path/invoices`` (flattened header row per invoice) and ``path/line_items`` (child rows)."""
-    flatten_for_csv(df).write.mode(mode).option("header", True).csv(os.path.join(path, "invoices"))
-    if "line_items" in df.columns:
-        line_item_rows(df).write.mode(mode).option("header", True).csv(os.path.join(path, "line_items"))
+    for name, table in (("invoices", flatten_for_csv(records)), ("line_items", line_item_rows(records))):
+        table.write.mode(mode).options(**CSV_OPTIONS).csv(os.path.join(path, name))
 
 
-def write_invoices(df: DataFrame, base: str, formats: list[str] | tuple[str, ...] = FORMATS, pretty_json: bool = True,
-                   mode: str = "overwrite") -> bool:
+def write_invoices(df: DataFrame, base: str, formats: list[str] | tuple[str, ...] = FORMATS, pretty_json: bool = False,
+                   mode: str = "error") -> bool:
     """One write per known format under ``base/format=<fmt>``; unknown formats are skipped.
 
-    A single unknown format raises ``ValueError`` (X6). The frame is persisted across the writes so the plan
-    runs once. Returns True when every known format was written.
+    A single unknown format raises ``ValueError`` (X6). The records are written once as a table, from which every
+    format is written, so the extraction runs once and an executor lost midway costs no regex. True when all
+    formats asked for were written, False when one was unknown. An existing output is an error unless ``mode`` says so.
     """
     formats = list(formats)
     if len(formats) == 1 and formats[0] not in FORMATS:
@@ -90,18 +108,16 @@ def write_invoices(df: DataFrame, base: str, formats: list[str] | tuple[str, ...
     for f in formats:
         if f not in FORMATS:
             LOG.warning("Unknown export format: %s", f)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK) if len(known) > 1 else df
-    try:
-        for fmt in known:
-            target = os.path.join(base, f"format={fmt}")
-            if fmt == "json":
-                write_json(cached, target, pretty=pretty_json, mode=mode)
-            else:
-                write_csv(cached, target, mode=mode)
-    finally:
-        if cached is not df:
-            cached.unpersist()
-    return True
+    records = to_record(df)
+    if len(known) > 1 or "csv" in known:  # csv alone is two tables
+        records = materialize(records, "records")
+    for fmt in known:
+        target = os.path.join(base, f"format={fmt}")
+        if fmt == "json":
+            write_json(records, target, pretty=pretty_json, mode=mode)
+        else:
+            write_csv(records, target, mode=mode)
+    return len(known) == len(formats)
 
 
 def output_names(paths: DataFrame, path_col: str = "path") -> DataFrame:
@@ -110,12 +126,12 @@ def output_names(paths: DataFrame, path_col: str = "path") -> DataFrame:
     A distributed sort (range partitioning) orders the paths; each partition's row count gives its offset (a
     table with one row per partition, broadcast); the position is offset + rank inside the partition.
     """
-    ordered = (paths.select(path_col).orderBy(path_col)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
+    ordered = materialize(paths.select(path_col).orderBy(path_col)
+                          .withColumn("_pid", F.spark_partition_id())
+                          .withColumn("_mid", F.monotonically_increasing_id()), "ordered-paths")
     counts = ordered.groupBy("_pid").agg(F.count("*").alias("_n"), F.min("_mid").alias("_mid0"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    pos = ordered.join(F.broadcast(offsets.select("_pid", "_off", "_mid0")), "_pid")
+    pos = ordered.join(offsets.select("_pid", "_off", "_mid0"), "_pid")
     n = F.col("_off") + (F.col("_mid") - F.col("_mid0")) + 1
     return pos.select(path_col, F.concat(F.lit("invoice_"), n.cast("string")).alias("output_name"))

@@ -41,7 +41,9 @@ def find_invoices(spark: SparkSession, directory: str) -> DataFrame:
               .option("pathGlobFilter", "*.{" + ",".join(exts) + "}")
               .option("recursiveFileLookup", "false")
               .load(directory))
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], FILES_SCHEMA)
     return df.select("path", "length", "modificationTime").orderBy("path")
 

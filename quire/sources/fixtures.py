@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import few_files, read_table
 
 HEADER_LINE = "Description  Qty  Price  Amount"
 
@@ -60,7 +60,7 @@ def render_invoices(orders: DataFrame, lineitem: DataFrame, part: DataFrame) ->
     spark = lineitem.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    few = li.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    few = few_files(lineitem)
     if few:
         li = li.repartition(n_parts, "l_orderkey")
     joined = li.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")
@@ -133,11 +133,12 @@ def entity_table(orders: DataFrame, customer: DataFrame) -> DataFrame:
     """NER-style entities per order document: ``(doc_id, ord, label, text)`` in document order.
 
     ord 0 DATE (order date), ord 1 ORG (customer name, absent for the AUTOMOBILE segment), ord 2 ORG (segment),
-    ord 3 MONEY (order total from integer cents). Orders with ``k % 5 == 0`` have no entities.
+    ord 3 MONEY (order total from integer cents). Every order is read; where ``k % 5 == 0`` the scan is taken to have
+    named no entity, so its flag leaves the entities out.
     """
     j = (
         orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-        .where(F.col("o_orderkey") % 5 != 0)
+        .withColumn("_named", F.col("o_orderkey") % 5 != 0)
         .join(customer.select("c_custkey", "c_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     )
     cents = F.floor(F.col("o_totalprice") * 100 + 0.5).cast("bigint")
@@ -154,8 +155,8 @@ def entity_table(orders: DataFrame, customer: DataFrame) -> DataFrame:
         )
     )
     return (
-        j.select(F.col("o_orderkey").alias("doc_id"), ent.alias("e"))
-        .where(F.col("e").isNotNull())
+        j.select(F.col("o_orderkey").alias("doc_id"), "_named", ent.alias("e"))
+        .where(F.col("_named") & F.col("e").isNotNull())
         .select("doc_id", F.col("e.ord").alias("ord"), F.col("e.label").alias("label"), F.col("e.text").alias("text"))
     )
 
@@ -189,7 +190,7 @@ rendered_lines AS (
   FROM rendered_items2
 ),
 rendered_orders AS (
-  SELECT k, string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS block,
+  SELECT k, string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, line) AS block,
          CAST(sum(item_total) AS BIGINT) AS sub
   FROM rendered_lines GROUP BY k
 ),

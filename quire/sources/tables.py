@@ -15,14 +15,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy per-row work (regex extraction) at least one task per core.
+def few_files(df: DataFrame) -> bool:
+    """Is ``df`` read from fewer files than the cluster has cores? Metadata only: nothing runs."""
+    return len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
 
-    Only when the input arrives in fewer partitions than the cluster has cores (a few large files) is it
-    round-robin repartitioned; inputs of many files are left as they are, so at scale this adds no shuffle.
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work (regex extraction) on a table scan at least one task per core.
+
+    Only a scan of fewer files than cores is dealt out; tables of many files stay as they are, so at scale this adds
+    no shuffle.
     """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism) if few_files(scan) else scan

@@ -5,12 +5,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import pyoracle
-from quire.functions.dates import parse_invoice_date
+import duck
+from quire.functions.dates import with_parsed_date
 from quire.functions.quantile import exact_quantiles
 from quire.operators.anomaly import detect_anomalies, profile
 from quire.operators.extract import extract_fields
 from quire.operators.validate import validate
+from quire.plans import catalog
+from quire.plans import oracle as O
 from test_extract import random_texts
 
 AS_OF = dt.date(2024, 6, 30)
@@ -27,30 +29,19 @@ def codes(arr):
     return [(f.code, f.item_no if f.code.startswith("item") else f.field) for f in arr]
 
 
-def test_random_validation_matches_row_oracle(spark):
-    texts = random_texts(1500, seed=11)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r.doc_id: r for r in validate(extract_fields(df), as_of=AS_OF).collect()}
-    bad = []
-    for i, t in enumerate(texts):
-        e, w = pyoracle.validate(pyoracle.extract(t), AS_OF)
-        ge, gw = codes(got[i].errors), codes(got[i].warnings)
-        if (ge, gw) != (e, w):
-            bad.append((t, ge, e, gw, w))
-    assert not bad, bad[:2]
-
-
-def test_random_rules_match_row_oracle(spark):
-    texts = random_texts(1500, seed=13)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r.doc_id: r for r in detect_anomalies(extract_fields(df), mode="rule_based").collect()}
-    for i, t in enumerate(texts):
-        exp = pyoracle.rules(pyoracle.extract(t))
-        g = got[i]
-        if exp is None:
-            assert g.anomaly_error is not None, t
-        else:
-            assert g.anomaly_error is None and [a.type for a in g.anomalies] == exp, t
+def test_random_texts_match_the_sql(spark):
+    texts = random_texts(3000, seed=21)
+    inv = extract_fields(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {r.doc_id: r for r in detect_anomalies(validate(inv, as_of=AS_OF), mode="rule_based").collect()}
+    for r in duck.rows(texts, "SELECT doc_id, n_err, n_warn FROM verdict", O.val_ctes(str(AS_OF))):
+        g = got[r["doc_id"]]
+        assert (len(g.errors), len(g.warnings)) == (r["n_err"], r["n_warn"]), texts[r["doc_id"]]
+    flags = ("round_total", "duplicate_items", "missing_supplier", "high_vat_rate")
+    types = ("suspicious_pattern", "duplicate_items", "missing_critical_field", "unusual_rate")
+    for r in duck.rows(texts, "SELECT * FROM rules", catalog._RULES_SQL):
+        g = got[r["doc_id"]]
+        want = [] if r["failed"] else [t for f, t in zip(flags, types, strict=True) if r[f]]
+        assert (g.anomaly_error is not None, [a.type for a in g.anomalies]) == (r["failed"], want), texts[r["doc_id"]]
 
 
 def test_boundaries(spark):
@@ -88,9 +79,8 @@ def test_strict_mode(spark):
 ])
 def test_date_cases(spark, s, expected):
     df = spark.createDataFrame([(s,)], "s string")
-    got = df.select(F.date_format(parse_invoice_date("s"), "yyyy-MM-dd").alias("d")).collect()[0].d
-    py = pyoracle.parse_date(s)
-    assert got == expected and (py.isoformat() if py else None) == expected
+    got = with_parsed_date(df, "s", "d").select(F.date_format("d", "yyyy-MM-dd").alias("d")).collect()[0].d
+    assert got == expected
 
 
 def test_date_range(spark):
@@ -114,8 +104,7 @@ def test_exact_quantiles_match_numpy(spark):
         for _ in range(n):
             rows.append((g, float(rnd.choice([rnd.randint(1, 9), rnd.random() * 1e3, -rnd.random()]))))
     df = spark.createDataFrame(rows, "g int, v double")
-    got = {r.g: (r.q1, r.q3) for r in exact_quantiles(df, "v", {"q1": 0.25, "q3": 0.75}, by=["g"], buckets=4,
-                                                          final_limit=3).collect()}
+    got = {r.g: (r.q1, r.q3) for r in exact_quantiles(df, "v", {"q1": 0.25, "q3": 0.75}, by=["g"]).collect()}
     for g in range(6):
         vals = [v for k, v in rows if k == g]
         assert got[g] == pytest.approx(numpy_quartiles(vals), abs=0, rel=1e-15), g
@@ -124,7 +113,7 @@ def test_exact_quantiles_match_numpy(spark):
 def test_global_quantiles_with_heavy_ties(spark):
     vals = [5.0] * 300 + [1.0, 2.0, 9.0, 1e9]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
-    r = exact_quantiles(df, "v", {"q1": 0.25, "q3": 0.75}, buckets=2, final_limit=1).collect()[0]
+    r = exact_quantiles(df, "v", {"q1": 0.25, "q3": 0.75}).collect()[0]
     assert (r.q1, r.q3) == numpy_quartiles(vals)
 
 
@@ -198,13 +187,12 @@ def test_profile_by_key(spark):
 
 
 def test_keyed_quantiles_with_a_hot_key(spark):
-    # one key holds most rows (forcing refinement rounds on it), the others are tiny
+    # one key holds most rows, the others are tiny
     rnd = random.Random(9)
     rows = [("hot", float(rnd.randint(0, 50))) for _ in range(3000)] + [("hot", 1e6)]
     rows += [(f"k{i}", float(i + j)) for i in range(20) for j in range(3)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: (r.q1, r.q3) for r in exact_quantiles(df, "v", {"q1": 0.25, "q3": 0.75}, by=["k"], buckets=8,
-                                                          final_limit=50).collect()}
+    got = {r.k: (r.q1, r.q3) for r in exact_quantiles(df, "v", {"q1": 0.25, "q3": 0.75}, by=["k"]).collect()}
     for key in {k for k, _ in rows}:
         assert got[key] == numpy_quartiles([v for k, v in rows if k == key]), key
 
@@ -225,3 +213,29 @@ def test_duplicates_differing_in_case(spark):
     inv = inv_df(spark, [(1, "A", None, "S", 2.0, None, None, items), (2, "A", None, "S", 2.0, None, None, distinct)])
     out = {r.doc_id: [a.type for a in r.anomalies] for r in detect_anomalies(inv, mode="rule_based").collect()}
     assert out == {1: ["duplicate_items"], 2: []}
+
+
+def test_infinite_values_cost_no_more_jobs(spark):
+    def jobs(vals):
+        spark.sparkContext.setJobGroup("quantiles", "")
+        got = exact_quantiles(spark.createDataFrame([(v,) for v in vals], "v double"), "v", {"q1": 0.25, "q3": 0.75}).collect()[0]
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup("quantiles"))
+        spark.sparkContext.setJobGroup("other", "")
+        return n, (got.q1, got.q3)
+
+    vals = [float(v) for v in range(1, 2001)]
+    plain, with_inf = jobs(vals), jobs([*vals, float("inf")])
+    assert with_inf[1] == numpy_quartiles([*vals, float("inf")])
+    assert with_inf[0] == 2 * plain[0]  # the group counts both calls: the second ran as many jobs as the first
+
+
+def test_profile_is_written_once_and_must_fit_its_key(spark):
+    hist = spark.createDataFrame([("a", "1.0", 2.0), ("a", "abc", 3.0), ("b", "1,234.00", None)], "supplier string, total string, vat double")
+    p = profile(hist, by=["supplier"])
+    assert {r.supplier: (r.n_rows, r.n_total) for r in p.collect()} == {"a": (2, 1), "b": (1, 0)}
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "Aggregate" not in plan and "Relation" in plan
+    with pytest.raises(ValueError):
+        detect_anomalies(inv_df(spark, []), p)
+    with pytest.raises(ValueError):
+        detect_anomalies(inv_df(spark, []), profile(hist), by=["supplier"])
