@@ -1,42 +1,16 @@
-"""Tables that an operator writes once and reads again, under the folder the cluster names in spark.checkpoint.dir."""
+"""Helpers that several operators share."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from quire.functions.stage import clear_tables as clear
+from quire.functions.stage import materialize as written
 
-from quire.session import ensure_checkpoint_dir
-
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quire-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear() -> None:
-    """Delete what ``written`` has left; run it when the results that read those tables are no longer needed."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session has ended, and its JVM with it
-            return
-
-
-atexit.register(clear)
+__all__ = ["clear", "text_bytes", "written"]
 
 
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts: one aggregate, from which partition and block counts follow."""
-    from pyspark.sql import functions as F
-
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
