@@ -36,8 +36,10 @@ def run_invoices(
     entities: DataFrame | None = None,
     materialize_extracted: bool = False,
     min_partitions: int | None = None,
+    history_profile: DataFrame | None = None,
 ) -> DataFrame:
-    """Every stage for every document; ``history`` (invoice-shaped, ``total``/``vat``) feeds the profile.
+    """Every stage for every document; ``history`` (invoice-shaped, ``total``/``vat``) feeds the profile, or
+    ``history_profile`` is one made before (streams).
 
     ``materialize_extracted`` writes the extracted invoices once (parquet under ``spark.checkpoint.dir``) and
     runs validation and detection from that table: the stage boundary for large runs — later filters cannot
@@ -60,7 +62,9 @@ def run_invoices(
         inv = merge_entities(inv, entities, with_lists=True)
     inv = validate(inv, required_fields=list(opts.required_fields), vat_rates=list(opts.vat_rates), strict=opts.strict, as_of=as_of)
     mode = opts.anomaly_mode
-    prof = profile(history, by=by) if (history is not None and mode == "statistical") else None
+    prof = history_profile
+    if prof is None and history is not None and mode == "statistical":
+        prof = profile(history, by=by)
     out = detect_anomalies(inv, prof, by=by, mode=mode)
 
     ok = F.col("_ocr_ok")

@@ -1,7 +1,6 @@
-"""Streaming form of the stateless chain.
+"""Streaming form of a run.
 
-Extraction, validation, rules and target projections are row-local, so the same functions run on a
-``readStream`` frame. Statistics use a profile computed once from the (static) history and joined to every
+Every stage of ``run_invoices`` is row-local, so the same function runs on a ``readStream`` frame, statuses included. Statistics use a profile computed once from the (static) history and joined to every
 micro-batch by broadcast (one row, or one row per key): a stream–static join, no state store, no watermark.
 Each micro-batch is written with ``foreachBatch`` to the batch sinks; the checkpoint location makes the
 query restartable after an executor or driver loss.
@@ -15,9 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.anomaly import detect_anomalies
-from ..operators.extract import extract_fields
-from ..operators.validate import validate
+from ..options import Options
+from ..plans.run import run_invoices
 
 DOC_SCHEMA = "doc_id bigint, text string"
 
@@ -37,8 +35,7 @@ def parquet_batch_sink(base: str, columns: list[str] | None = None) -> Callable[
 
 def stream_chain(stream: DataFrame, history_profile: DataFrame | None = None, by=(), as_of: _dt.date | str | None = None,
                  mode: str | None = "statistical") -> DataFrame:
-    inv = validate(extract_fields(stream), as_of=as_of)
-    return detect_anomalies(inv, history_profile, by=by, mode=mode)
+    return run_invoices(stream, options=Options(anomaly_mode=mode), as_of=as_of, by=by, history_profile=history_profile)
 
 
 def start_invoice_stream(

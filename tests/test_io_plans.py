@@ -178,13 +178,13 @@ def test_streaming_equals_batch(spark, scratch):
     hist = invoices(spark, SF_SMALL)
     prof = profile(hist)
     out_dir = os.path.join(scratch, "out")
-    sink = parquet_batch_sink(out_dir, ["doc_id", "total", "valid", "total_anomalies"])
+    sink = parquet_batch_sink(out_dir, ["doc_id", "total", "valid", "total_anomalies", "success", "stages"])
     q = start_invoice_stream(spark, src, os.path.join(scratch, "ckpt"), sink, history_profile=prof,
                              as_of="2005-06-30", max_files_per_trigger=2)
     q.awaitTermination(300)
     streamed = spark.read.parquet(out_dir).drop("batch")
     batch = stream_chain(spark.read.parquet(src), prof, as_of="2005-06-30").select(
-        "doc_id", "total", "valid", "total_anomalies")
+        "doc_id", "total", "valid", "total_anomalies", "success", "stages")
     assert streamed.count() == batch.count() > 0
     assert streamed.exceptAll(batch).count() == 0
 
