@@ -34,6 +34,9 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_BYTES, CHUNK_ROWS = 8_000_000, 60_000
 #: The end of a text, as a word that no text can hold.
 END = ""
+_ROW = {"chunk": "long", "word": "string", "c": "long", "places": "binary", "docs": "binary"}
+#: What a chunk's own row says of each of its documents.
+_DOC = np.dtype([("id", "<i8"), ("has_id", "?"), ("train", "?"), ("tokens", "<i8")])
 
 
 def _chunk(table: pa.Table, name: int) -> Iterator[pa.RecordBatch]:
@@ -52,15 +55,11 @@ def _chunk(table: pa.Table, name: int) -> Iterator[pa.RecordBatch]:
     places = np.concatenate([text, every]).astype(np.uint16)
     off = np.append(0, np.cumsum(np.append(size, len(table)))) * 2
     n = len(words)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, name)), words, pa.array(count), as_binary(places.view(np.uint8), off), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_())), pa.nulls(n, pa.list_(pa.int64()))],
-        names=["chunk", "word", "c", "places", "ids", "trained", "tokens"],
-    )
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([name]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
-         pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([train.astype(bool)], pa.list_(pa.bool_())), pa.array([w.n + 1], pa.list_(pa.int64()))],
-        names=["chunk", "word", "c", "places", "ids", "trained", "tokens"],
-    )
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), words, pa.array(count), as_binary(places.view(np.uint8), off), pa.nulls(n, pa.binary())], names=list(_ROW))
+    ids = table.column("doc_id").combine_chunks()
+    own = np.zeros(len(table), _DOC)
+    own["id"], own["has_id"], own["train"], own["tokens"] = np.asarray(ids.fill_null(0)), ~np.asarray(ids.is_null()), train, w.n + 1
+    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([own.tobytes()], pa.binary())], names=list(_ROW))
 
 
 def word_rows(docs: DataFrame, train: Column) -> DataFrame:
@@ -74,7 +73,7 @@ def word_rows(docs: DataFrame, train: Column) -> DataFrame:
                 name += 1
 
     rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train"))
-    return written(rows.mapInArrow(run, "chunk long, word string, c long, places binary, ids array<long>, trained array<boolean>, tokens array<long>"), "words")
+    return written(rows.mapInArrow(run, ", ".join(map(" ".join, _ROW.items()))), "words")
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
@@ -138,14 +137,14 @@ def word_scores(counts: DataFrame, model: Model) -> DataFrame:
 
 def _summed(table: pa.Table) -> pa.Table:
     """Scores of a chunk's documents from those of its words."""
-    docs = table.filter(pa.compute.is_valid(table.column("ids")))
-    words = table.filter(pa.compute.is_null(table.column("ids")))
-    ids = docs.column("ids")[0].values
-    n = len(ids)
-    data, off = buffers(words.column("places"))
+    places = table.column("places")
+    (mine,) = [x for x in table.column("docs").to_pylist() if x]
+    docs = np.frombuffer(mine, _DOC)
+    data, off = buffers(places)
     place, size = data.view(np.uint16).astype(np.int64), np.diff(off) // 2
-    sums = [np.bincount(place, np.repeat(np.asarray(words.column(c).combine_chunks(), float), size), minlength=n) for c in ("known", "base", "lattice")]
-    return pa.Table.from_arrays([ids, docs.column("trained")[0].values, docs.column("tokens")[0].values, pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "trained", "n_tokens", "n_known", "base_score", "score"])
+    sums = [np.bincount(place, np.repeat(np.asarray(table.column(c).combine_chunks(), float), size), minlength=len(docs)) for c in ("known", "base", "lattice")]
+    ids = pa.array(docs["id"], mask=~docs["has_id"])
+    return pa.Table.from_arrays([ids, pa.array(docs["train"]), pa.array(docs["tokens"]), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "trained", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score(docs: DataFrame, train: Column, pieces: str = PIECES) -> DataFrame:
@@ -155,8 +154,9 @@ def score(docs: DataFrame, train: Column, pieces: str = PIECES) -> DataFrame:
     model = fit(counts, pieces)
     known = word_scores(counts, model).select(F.col("word").alias("_w"), F.col("c").alias("_c"), "base", "lattice")
     words = rows.filter("word is not null").select("chunk", "word", "places").join(known, F.col("word") == F.col("_w"))
-    words = words.select("chunk", "places", (F.col("_c") > 0).cast("double").alias("known"), "base", "lattice", *(F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("trained", "array<boolean>"), ("tokens", "array<long>"))))
-    own = rows.filter("word is null").select("chunk", F.lit(None).cast("binary").alias("places"), *(F.lit(None).cast("double").alias(c) for c in ("known", "base", "lattice")), "ids", "trained", "tokens")
+    nothing = F.lit(b"")
+    words = words.select("chunk", "places", (F.col("_c") > 0).cast("double").alias("known"), "base", "lattice", nothing.alias("docs"))
+    own = rows.filter("word is null").select("chunk", nothing.alias("places"), *(F.lit(0.0).alias(c) for c in ("known", "base", "lattice")), "docs")
     out = words.union(own).groupBy("chunk").applyInArrow(_summed, "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
