@@ -18,10 +18,19 @@ from quire.llm import decontaminate, langid, mixing, neardup, pii
 from quire.llm.shared import written
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The text beside all other columns as one, out of the way of an operator's own names."""
+    return docs.select("text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.select("text", "lang"))
-    found = langid.classify(docs, model, keep=tuple(docs.columns))
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    found = langid.classify(_packed(docs), model, keep=("text", "row"))
+    return _unpacked(found.filter(~F.col("rejected")), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = decontaminate.contaminated(docs, benchmark, keep=tuple(docs.columns))
-    return found.filter(F.size("spans") == 0).select(*docs.columns)
+    found = decontaminate.contaminated(_packed(docs), benchmark, keep=("text", "row"))
+    return _unpacked(found.filter(F.size("spans") == 0), docs)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.shared import written
+from quire.llm.shared import long_rows, written
 from quire.llm.textkit import LETTERED, Words, buffers, gathered, window_hashes
 
 LIMIT = 2_000_000
@@ -151,16 +151,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingl
     Each block of windows is one pass over the documents that adds its spans and items; between passes the rows are
     written, so that no task and no driver holds more than one block.
     """
-    rows = docs.select(*keep, F.col("text").alias("_text"), F.array().cast(SPAN).alias("spans"), F.array().cast("array<string>").alias("items"))
+    others = [c for c in keep if c != "text"]
+    rows = long_rows(docs).select(*others, F.col("text").alias("_text"), F.array().cast(SPAN).alias("spans"), F.array().cast("array<string>").alias("items"))
     waiting = None
     for block in blocks(docs, benchmark, window, shingle, block_windows):
         if waiting is not None:
-            rows = written(_pass(rows, waiting, keep), "decontaminate").drop("n_words")
+            rows = written(_pass(rows, waiting, others), "decontaminate").drop("n_words")
         waiting = block
-    return _pass(rows, waiting, keep).drop("_text")
+    rows = _pass(rows, waiting, others)
+    return rows.withColumnRenamed("_text", "text").select(*keep, "spans", "items", "n_words")
 
 
-def _pass(rows: DataFrame, block: Block | None, keep: tuple[str, ...]) -> DataFrame:
+def _pass(rows: DataFrame, block: Block | None, keep: list[str]) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(block)
     names = [*keep, "_text", "spans", "items", "n_words"]
 

@@ -10,7 +10,7 @@ Defined results: a text that is null or has no letter is ``und`` with score 0 an
 language with more labelled rows, then to the first in code-point order. A margin (gap between the two smallest sizes,
 relative to the smallest) under ``min_margin`` is rejected; a single learned language always wins with score 1.
 Without any labelled row every text is ``und``. Null ids and repeated rows are treated as any others; columns besides
-``keep`` are ignored.
+``keep`` are ignored, and a ``keep`` column named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.shared import long_rows
+
 UNKNOWN = "und"
 CARRIER = bytes(128)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -81,15 +83,15 @@ def sizes(text: str, encoders: list, piece_bytes: int) -> np.ndarray:
 def classify(docs: DataFrame, model: dict[str, bytes], min_margin: float = 0.02, level: int = 7, piece_bytes: int = 4096, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with lang_pred, score (0 to 1), margin and rejected for every row of ``docs``."""
     names = list(model)
-    if len(set(keep) & {"lang_pred", "score", "margin", "rejected"}):
-        raise ValueError("keep holds a column that classify returns")
+    keep = tuple(c for c in keep if c.lower() not in ("lang_pred", "score", "margin", "rejected"))
+
+    others = [c for c in keep if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = _encoders(model, level, piece_bytes)
         for batch in batches:
-            texts, has = batch.column(len(keep)), batch.column(len(keep) + 1).to_pylist()
             pred, score, margin = [], [], []
-            for text, letters in zip(texts, has, strict=True):
+            for text, letters in zip(batch.column("_text"), batch.column("_letters").to_pylist(), strict=True):
                 if not letters or not names:
                     pred.append(UNKNOWN), score.append(0.0), margin.append(0.0)
                     continue
@@ -99,11 +101,14 @@ def classify(docs: DataFrame, model: dict[str, bytes], min_margin: float = 0.02,
                 gap = float((rest.min() - s[best]) / max(1.0, s[best])) if len(rest) else 1.0
                 pred.append(names[best]), margin.append(gap)
                 score.append(1.0 - 0.5 * math.exp(-gap / min_margin) if len(rest) else 1.0)
-            out = [*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())]
+            out = [batch.column("_text" if c == "text" else c) for c in keep]
+            out += [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())]
             yield pa.RecordBatch.from_arrays(out, names=[*keep, "lang_pred", "score", "margin"])
+        pa.default_memory_pool().release_unused()
 
-    used = docs.select(*keep, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    schema = used.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "margin": F.lit(0.0)}).schema
+    # the text travels once, whether it is kept or not
+    used = long_rows(docs).select(*others, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "margin": F.lit(0.0)}).schema
     found = used.mapInArrow(run, schema)
     return found.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("margin") < min_margin))
 

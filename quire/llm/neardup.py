@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import written
+from quire.llm.shared import long_rows, written
 from quire.llm.textkit import SPACED, U64, Words, buffers, gathered, lists, mix, window_hashes
 
 LIMIT = 2_000_000
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     Two documents are linked if 100 x intersection >= ``percent`` x union of their shingle sets.
     """
-    docs = docs.select("doc_id", "text")
+    docs = long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(docs.mapInArrow(_features(shingle), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "sketches")
     linkable = rows.filter("n > 0 and doc_id is not null")
     classes = written(linkable.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("n", "f1", "f2", F.col("r.doc_id").alias("rep"), "r.bands"), "classes")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.shared import written
+from quire.llm.shared import long_rows, written
 from quire.llm.textkit import LETTERED, SPACED, Words, buffers, gathered, mix, window_hashes
 
 LIMIT = 2_000_000
@@ -95,7 +95,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
             stats = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
             yield from pa.Table.from_arrays([*(table.column(c) for c in keep), stats], names=[*keep, "stats"]).to_batches()
 
-    used = docs.select(*keep, F.col("text").alias("_text"))
+    used = long_rows(docs).select(*keep, F.col("text").alias("_text"))
     return used.mapInArrow(run, T.StructType([*used.schema.fields[:-1], T.StructField("stats", T.ArrayType(T.DoubleType()))]))
 
 

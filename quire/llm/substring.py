@@ -8,7 +8,7 @@ their ids, and what travels is packed arrays and path rows:
    block sends its distinct minimisers (32 bits within a bucket); buckets return those seen in several documents.
 2. ``_edges``: k-mers with a returned minimiser are sent to buckets with the hashes of their neighbours. Buckets return
    the edges that occur in several documents, and whether the edge before and the edge after are the same wherever
-   it occurs.
+   it occurs (by 32 bits of their hashes, which decides where paths are cut, not what is a copy).
 3. ``_paths``: runs of returned edges are cut at branches into paths. One row for each path and block: first edge,
    length, a digest of all its words, the coordinates (document, first word). Equal rows are verified copies, and a
    Spark join with the smallest coordinate of each path finds the source.
@@ -234,6 +234,7 @@ def blocks(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
     """(doc_id, text, block), and the text bytes: documents dealt by a hash of their ids, about ``size`` bytes a block."""
     total = text_bytes(docs)
     n = max(1, math.ceil(total / size))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(n)).cast("long").alias("block")), total
 
 

@@ -96,6 +96,8 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iter
             size += int(off[-1])
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 class Words:

@@ -95,3 +95,18 @@ def test_mix(steps):
 def test_run_is_the_stages(spark, steps):
     got = cp.run(spark, SF).select("doc_id", "copy", "text").collect()
     assert sorted(got) == sorted(steps[5].select("doc_id", "copy", "text").collect())
+
+
+def test_odd_rows(spark, tmp_path):
+    spark.read.parquet(f"{SF}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    text = "le chat est sur la table et la maison avec le chien " * 4
+    rows = [(1, text, "fr", "s", 5, "x"), (1, text, "fr", "s", 5, "x"), (2, None, None, None, None, None), (None, text + "un autre", "fr", None, 3, "y"), (4, "", "en", "s", 0, "z"), (5, "mail a@b.co " + text, "fr", "t", 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string").withColumn("score", F.lit(1)).withColumn("found", F.lit(2)).withColumn("size", F.lit(7))
+    for some in (docs, docs.limit(0)):
+        now = some
+        for name, stage in cp.STAGES:
+            now = written(stage(spark, now, str(tmp_path)), f"odd-{name}")
+            if name != "mix":
+                assert now.columns == docs.columns
+        texts = {r.text for r in now.collect()}
+        assert all("a@b.co" not in t for t in texts)
