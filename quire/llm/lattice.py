@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from quire.llm.textkit import _BASE, _BYTE, U64, mix
+from quire.llm.textkit import _BASE, _BYTE, mix
 
 BATCH_BYTES = 400_000
 
