@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import duck
 from quire.operators.extract import extract_fields, extract_line_items, merge_entities
