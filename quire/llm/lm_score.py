@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.lattice import Lattice, batches, read_pieces
-from quire.llm.shared import written
+from quire.llm.lattice import BATCH_BYTES, Lattice, batches, read_pieces
+from quire.llm.shared import long_rows, written
 from quire.llm.textkit import SPACED, Words, as_binary, buffers, gathered
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -72,7 +72,7 @@ def word_rows(docs: DataFrame, train: Column) -> DataFrame:
                 yield from _chunk(table.slice(at, CHUNK_ROWS), name)
                 name += 1
 
-    rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train"))
+    rows = long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(True)).alias("train"))
     return written(rows.mapInArrow(run, ", ".join(map(" ".join, _ROW.items()))), "words")
 
 
@@ -96,9 +96,9 @@ def fit(counts: DataFrame, pieces: str = PIECES, smooth: float = 0.5) -> Model:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = read_pieces(pieces)
         total = np.zeros(len(p.names))
-        for part in parts:
-            c = np.asarray(part.column("c"), float)
-            for own, data, off in batches(part.column("word")):
+        for part in gathered(parts, "word", 4 * BATCH_BYTES):
+            c = np.asarray(part.column("c").combine_chunks(), float)
+            for own, data, off in batches(part.column("word").combine_chunks()):
                 total += Lattice(data, off, p).expected(p.start, c[own])
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["piece", "n"])
@@ -116,35 +116,38 @@ def fit(counts: DataFrame, pieces: str = PIECES, smooth: float = 0.5) -> Model:
 
 
 def word_scores(counts: DataFrame, model: Model) -> DataFrame:
-    """``counts`` with ``base`` and ``lattice``: log10 of a token's smoothed share and of its marginal probability."""
+    """``counts`` with ``lattice``: log10 of each token's marginal probability."""
     sent = counts.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         p = read_pieces(m.pieces)
-        for part in parts:
-            c = np.asarray(part.column("c"), float)
-            words = part.column("word")
-            lattice = np.empty(len(c))
+        for part in gathered(parts, "word", 4 * BATCH_BYTES):
+            words = part.column("word").combine_chunks()
+            lattice = np.empty(len(words))
             for own, data, off in batches(words):
                 lattice[own] = Lattice(data, off, p).probability(m.weight)
             lattice[np.asarray(pa.compute.equal(words, END))] = m.end
-            base = np.log10((c + 0.5) / (m.tokens + 0.5 * (m.distinct + 1)))
-            yield pa.RecordBatch.from_arrays([words, part.column("c"), pa.array(base), pa.array(lattice / np.log(10))], names=["word", "c", "base", "lattice"])
+            yield pa.RecordBatch.from_arrays([words, part.column("c").combine_chunks(), pa.array(lattice / np.log(10))], names=["word", "c", "lattice"])
 
-    return counts.select("word", "c").mapInArrow(run, "word string, c long, base double, lattice double")
+    return counts.select("word", "c").mapInArrow(run, "word string, c long, lattice double")
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """Scores of a chunk's documents from those of its words."""
-    places = table.column("places")
-    (mine,) = [x for x in table.column("docs").to_pylist() if x]
-    docs = np.frombuffer(mine, _DOC)
-    data, off = buffers(places)
-    place, size = data.view(np.uint16).astype(np.int64), np.diff(off) // 2
-    sums = [np.bincount(place, np.repeat(np.asarray(table.column(c).combine_chunks(), float), size), minlength=len(docs)) for c in ("known", "base", "lattice")]
-    ids = pa.array(docs["id"], mask=~docs["has_id"])
-    return pa.Table.from_arrays([ids, pa.array(docs["train"]), pa.array(docs["tokens"]), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "trained", "n_tokens", "n_known", "base_score", "score"])
+def _summed(tokens: int, distinct: int):
+    """Scores of a chunk's documents from those of its words; a word's base score follows from its count."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (mine,) = [x for x in table.column("docs").to_pylist() if x]
+        docs = np.frombuffer(mine, _DOC)
+        data, off = buffers(table.column("places"))
+        place, size = data.view(np.uint16).astype(np.int64), np.diff(off) // 2
+        c, lattice = (np.asarray(table.column(x).combine_chunks(), float) for x in ("c", "lattice"))
+        base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
+        known, base, lattice = (np.bincount(place, np.repeat(x, size), minlength=len(docs)) for x in ((c > 0).astype(float), base, lattice))
+        ids = pa.array(docs["id"], mask=~docs["has_id"])
+        return pa.Table.from_arrays([ids, pa.array(docs["train"]), pa.array(docs["tokens"]), pa.array(known.astype(np.int64)), pa.array(base), pa.array(lattice)], names=["doc_id", "trained", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
 
 
 def score(docs: DataFrame, train: Column, pieces: str = PIECES) -> DataFrame:
@@ -152,12 +155,12 @@ def score(docs: DataFrame, train: Column, pieces: str = PIECES) -> DataFrame:
     rows = word_rows(docs, train)
     counts = vocabulary(rows)
     model = fit(counts, pieces)
-    known = word_scores(counts, model).select(F.col("word").alias("_w"), F.col("c").alias("_c"), "base", "lattice")
+    known = word_scores(counts, model).select(F.col("word").alias("_w"), "c", "lattice")
     words = rows.filter("word is not null").select("chunk", "word", "places").join(known, F.col("word") == F.col("_w"))
     nothing = F.lit(b"")
-    words = words.select("chunk", "places", (F.col("_c") > 0).cast("double").alias("known"), "base", "lattice", nothing.alias("docs"))
-    own = rows.filter("word is null").select("chunk", nothing.alias("places"), *(F.lit(0.0).alias(c) for c in ("known", "base", "lattice")), "docs")
-    out = words.union(own).groupBy("chunk").applyInArrow(_summed, "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double")
+    words = words.select("chunk", "places", "c", "lattice", nothing.alias("docs"))
+    own = rows.filter("word is null").select("chunk", nothing.alias("places"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("lattice"), "docs")
+    out = words.union(own).groupBy("chunk").applyInArrow(_summed(model.tokens, model.distinct), "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
