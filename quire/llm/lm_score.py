@@ -31,7 +31,7 @@ from quire.llm.shared import long_rows, written
 from quire.llm.textkit import SPACED, Words, as_binary, buffers, gathered
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_BYTES, CHUNK_ROWS = 8_000_000, 60_000
+CHUNK_BYTES, CHUNK_ROWS = 14_000_000, 60_000
 #: The end of a text, as a word that no text can hold.
 END = ""
 _ROW = {"chunk": "long", "word": "string", "c": "long", "places": "binary", "docs": "binary"}
