@@ -27,4 +27,5 @@ ORACLE: dict[str, str] = {
     "op4_near_duplicates": neardup.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op8_substring_dedup": substring.OP8_SQL,
+    "op9_suffix_array_dedup": suffixes.OP9_SQL,
 }

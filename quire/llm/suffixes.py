@@ -6,11 +6,13 @@
    a block of documents are one row with several coordinates.
 2. The rows are sorted over the whole cluster by (minimiser, following words): range partitions, so that a
    passage found in a third of all documents is spread over tasks.
-3. Of all suffixes with smaller documents, the nearest above and below in this order share most words to the right,
-   and the nearest in the order of the words before share most to the left. Each suffix is compared with these
-   neighbours, left and right, word by word. A match of k words or more is a repeated span.
-4. A minimiser whose suffixes are cut by a partition border is compared once more, with the suffixes that are sources
-   in the other partitions.
+3. Neighbours in that order are compared word by word, and so are neighbours in the order of the words before. The
+   lengths they share split a minimiser's suffixes into classes for every split of k words into words before and
+   words from the minimiser on: suffixes of one class hold the same k words around it. The smallest document of a
+   class is the source; in all others these windows are repeated, and windows in a row make one span, extended to
+   the left and to the right.
+4. Minimisers whose suffixes a partition border has cut take part once more, window by window: one row for each window,
+   grouped by all its words.
 
 A word goes if such a span covers it, so the smallest document that holds a passage keeps it. Words are compared by 32
 bits each beside a common 64-bit minimiser, so that a false match of k words has a chance of 2^-32 a word.
@@ -22,11 +24,13 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +41,8 @@ from quire.llm.textkit import U64, mix, sliding_min, window_hashes
 
 _SUFFIX = {"seed": pa.int64(), "right": pa.binary(), "left": pa.binary(), "block": pa.int64(), "doc": pa.list_(pa.int64()), "row": pa.list_(pa.int32()), "at": pa.list_(pa.int32())}
 _SPAN = {"block": pa.int64(), "doc": pa.list_(pa.int64()), "row": pa.list_(pa.int32()), "start": pa.list_(pa.int32()), "words": pa.int32(), "source_doc": pa.int64(), "source_start": pa.int32()}
-_FOUND = {**_SPAN, "seed": pa.int64(), "right": pa.binary(), "left": pa.binary(), "at": pa.list_(pa.int32()), "is_source": pa.bool_()}
+_FOUND = {**_SPAN, "seed": pa.int64(), "right": pa.binary(), "left": pa.binary(), "at": pa.list_(pa.int32()), "part": pa.int32()}
+_WINDOW = {"window": pa.binary(), "block": pa.int64(), "doc": pa.int64(), "row": pa.int32(), "start": pa.int32()}
 
 
 def _selected(b: Block, k: int, m: int) -> np.ndarray:
@@ -85,31 +90,6 @@ def _suffixes(k: int, m: int, buckets: int):
     return run
 
 
-def _nearest_smaller(value: list[int], group: list[int]) -> np.ndarray:
-    """For each entry the place of the last smaller one before it in its group, -1 if there is none."""
-    out, stack, last = np.full(len(value), -1), [], None
-    for i, (v, g) in enumerate(zip(value, group, strict=True)):
-        if g != last:
-            stack, last = [], g
-        while stack and value[stack[-1]] >= v:
-            stack.pop()
-        if stack:
-            out[i] = stack[-1]
-        stack.append(i)
-    return out
-
-
-def _both_ways(order: np.ndarray, doc: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
-    """The nearest smaller documents above and below in the given order, as places."""
-    found = []
-    for o in (order, order[::-1]):
-        near = _nearest_smaller(doc[o].tolist(), group[o].tolist())
-        back = np.full(len(o), -1)
-        back[o] = np.where(near >= 0, o[near], -1)
-        found.append(back)
-    return found
-
-
 def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Equal words of two rows of hashes before the first that differs or is missing."""
     same = (a == b) & (a != 0)
@@ -121,7 +101,27 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint32).reshape(len(rows), -1)
 
 
-def _neighbours(k: int):
+def _sources(seed: np.ndarray, right: np.ndarray, left: np.ndarray, doc: np.ndarray, k: int, m: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number of words before the minimiser: (it, suffixes, a suffix of the smallest document of each one's class)."""
+    n = len(seed)
+    same = seed[1:] == seed[:-1]
+    to_right = np.where(same, _shared(right[:-1], right[1:]), -1)
+    group = np.cumsum(np.append(True, ~same))
+    by_left = np.argsort(np.ascontiguousarray(left).view(f"V{left.shape[1] * 4}").ravel(), kind="stable")
+    by_left = by_left[np.argsort(group[by_left], kind="stable")]
+    to_left = np.where(group[by_left[1:]] == group[by_left[:-1]], _shared(left[by_left[:-1]], left[by_left[1:]]), -1)
+    has_left, has_right = (left != 0).sum(axis=1), (right != 0).sum(axis=1)
+    left_class = np.empty(n, np.int64)
+    for before in range(k - m + 1):
+        left_class[by_left] = np.cumsum(np.append(True, to_left < before))
+        key = np.cumsum(np.append(True, to_right < k - before)) * (n + 1) + left_class
+        some = np.flatnonzero((has_left >= before) & (has_right >= k - before))
+        order = some[np.lexsort((doc[some], key[some]))]
+        begin = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(order) else order
+        yield before, order, np.repeat(order[begin], np.diff(np.append(begin, len(order))))
+
+
+def _neighbours(k: int, m: int):
     """Spans of a sorted partition, and the suffixes of its first and last minimiser."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,46 +132,50 @@ def _neighbours(k: int):
         seed, right, left = np.asarray(t.column("seed").combine_chunks()), _matrix(t.column("right")), _matrix(t.column("left"))
         docs, rows, places, block = (t.column(c).to_pylist() for c in ("doc", "row", "at", "block"))
         doc, place = np.array([x[0] for x in docs]), np.array([x[0] for x in places])
-        group = np.cumsum(np.append(True, seed[1:] != seed[:-1])) - 1
-        flat = np.ascontiguousarray(left)
-        by_left = np.argsort(flat.view(f"V{flat.shape[1] * 4}").ravel(), kind="stable")
-        by_left = by_left[np.argsort(group[by_left], kind="stable")]
-        out, resolved, used = [], np.zeros(len(doc), bool), np.zeros(len(doc), bool)
-        every = np.arange(len(doc))
-        pairs = {(int(i), int(j)) for near in (*_both_ways(every, doc, group), *_both_ways(by_left, doc, group)) for i, j in zip(every[near >= 0], near[near >= 0], strict=True)}
-        pairs |= {(i, i) for i, x in enumerate(docs) if x[-1] > x[0]}
-        order = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        for at in range(0, len(order), 20_000):
-            i, j = order[at : at + 20_000].T
-            r, s = _shared(right[i], right[j]), _shared(left[i], left[j])
-            for a, b, n, before in zip(*(x[r + s >= k].tolist() for x in (i, j, r, s)), strict=True):
-                mine = [x for x in range(len(docs[a])) if docs[a][x] > doc[b]]
-                out.append((block[a], [docs[a][x] for x in mine], [rows[a][x] for x in mine], [places[a][x] - before for x in mine], n + before, int(doc[b]), int(place[b]) - before, None, None, None, None, None))
-                used[b] = True
-                resolved[a] |= a != b
-        for a in np.flatnonzero((group == group[0]) | (group == group[-1])).tolist():
-            source = bool(used[a] and not resolved[a]) or bool(doc[a] == doc[group == group[a]].min())
-            out.append((block[a], docs[a], rows[a], None, None, None, None, int(seed[a]), right[a].tobytes(), left[a].tobytes(), places[a], source))
+        source = np.full((len(doc), k - m + 3), -1)  # with a free column on either side
+        for before, order, first in _sources(seed, right, left, doc, k, m):
+            source[order, before + 1] = np.where(doc[first] < doc[order], first, -1)
+        edge = np.diff((source >= 0).astype(np.int8), axis=1)
+        lows, highs = np.argwhere(edge == 1), np.argwhere(edge == -1)
+        out = []
+        for (a, low), (_, high) in zip(lows.tolist(), highs.tolist(), strict=True):
+            # windows with low to high - 1 words before the minimiser repeat; the row's first document holds them here
+            mine = [x for x in range(len(docs[a])) if docs[a][x] == docs[a][0]]
+            b = int(source[a, high])
+            out.append((block[a], [docs[a][0]] * len(mine), [rows[a][x] for x in mine], [places[a][x] - high + 1 for x in mine], k + high - 1 - low, int(doc[b]), int(place[b]) - high + 1, *[None] * 5))
+        before, after = (left != 0).sum(axis=1).tolist(), (right != 0).sum(axis=1).tolist()
+        for a, own in enumerate(docs):
+            if own[-1] > own[0] and before[a] + after[a] >= k:  # the row's other documents share all of it with the first
+                mine = [x for x in range(len(own)) if own[x] > own[0]]
+                out.append((block[a], [own[x] for x in mine], [rows[a][x] for x in mine], [places[a][x] - before[a] for x in mine], before[a] + after[a], own[0], places[a][0] - before[a], *[None] * 5))
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        for a in np.flatnonzero((seed == seed[0]) | (seed == seed[-1])).tolist():
+            out.append((block[a], docs[a], rows[a], None, None, None, None, int(seed[a]), right[a].tobytes(), left[a].tobytes(), places[a], part))
         yield from table_of(_FOUND, out).to_batches()
 
     return run
 
 
-_AGAIN = {"block": pa.int64(), "doc": pa.list_(pa.int64()), "row": pa.list_(pa.int32()), "at": pa.list_(pa.int32()), "right": pa.binary(), "left": pa.binary(), "source_doc": pa.int64(), "source_at": pa.int32(), "source_right": pa.binary(), "source_left": pa.binary()}
+def _windows(k: int, m: int):
+    """Every window around a suffix's minimiser, by a digest of its words, at every coordinate of the suffix."""
 
-
-def _again(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            r, s = (_shared(_matrix(t.column(x)), _matrix(t.column(f"source_{x}"))) for x in ("right", "left"))
+            right, left = _matrix(t.column("right")), _matrix(t.column("left"))
+            words = np.hstack([left[:, ::-1], right])  # the minimiser starts at column k
+            seed = t.column("seed").to_pylist()
+            docs, rows, places, block = (t.column(c).to_pylist() for c in ("doc", "row", "at", "block"))
             out = []
-            for x in np.flatnonzero(r + s >= k).tolist():
-                row = {c: t.column(c)[x].as_py() for c in ("block", "doc", "row", "at", "source_doc", "source_at")}
-                out.append((row["block"], row["doc"], row["row"], [p - int(s[x]) for p in row["at"]], int(r[x] + s[x]), row["source_doc"], row["source_at"] - int(s[x])))
-            yield from table_of(_SPAN, out).to_batches()
+            for a in range(len(seed)):
+                for before in range(k - m + 1):
+                    own = words[a, k - before : 2 * k - before]
+                    if own.all():
+                        name = hashlib.blake2b(own.tobytes(), digest_size=16, key=seed[a].to_bytes(8, "little", signed=True)).digest()
+                        out += [(name, block[a], d, r, p - before) for d, r, p in zip(docs[a], rows[a], places[a], strict=True)]
+            yield from table_of(_WINDOW, out).to_batches()
 
     return run
 
@@ -182,11 +186,15 @@ def spans(dealt: DataFrame, total: int, k: int, m: int) -> DataFrame:
     seeds = dealt.groupBy("block").applyInArrow(seeds_of(k, m, buckets), ddl(SEEDS)).groupBy("bucket").applyInArrow(seed_bucket, ddl(SEEDS))
     rows = dealt.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_suffixes(k, m, buckets), ddl(_SUFFIX))
     ordered = rows.repartitionByRange(buckets, "seed", "right", "left").sortWithinPartitions("seed", "right")
-    found = written(ordered.mapInArrow(_neighbours(k), ddl(_FOUND)), "suffix-spans")
-    cut = found.filter("seed is not null").select("seed", "right", "left", "block", "doc", "row", "at", "is_source")
-    sources = cut.filter("is_source").select("seed", F.col("doc")[0].alias("source_doc"), F.col("at")[0].alias("source_at"), F.col("right").alias("source_right"), F.col("left").alias("source_left")).distinct()
-    again = cut.join(sources, "seed").filter(F.col("doc")[0] > F.col("source_doc")).select(*_AGAIN)
-    return found.filter("seed is null").select(*_SPAN).union(again.mapInArrow(_again(k), ddl(_SPAN)))
+    found = written(ordered.mapInArrow(_neighbours(k, m), ddl(_FOUND)), "suffix-spans")
+    # minimisers that a border has cut
+    cut = found.filter("seed is not null").select("seed", "right", "left", "block", "doc", "row", "at", "part")
+    across = cut.groupBy("seed").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("seed")
+    windows = cut.join(across, "seed").drop("part").mapInArrow(_windows(k, m), ddl(_WINDOW))
+    first = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("source"), F.max("doc").alias("last")).filter(F.col("source.doc") < F.col("last")).drop("last")
+    again = windows.join(first, "window").filter(F.col("doc") > F.col("source.doc"))
+    again = again.select("block", F.array("doc").alias("doc"), F.array("row").alias("row"), F.array("start").alias("start"), F.lit(k).alias("words"), F.col("source.doc").alias("source_doc"), F.col("source.start").alias("source_start"))
+    return found.filter("seed is null").select(*_SPAN).union(again)
 
 
 def without_repeats(docs: DataFrame, k: int = 50, m: int = 8, digest: bool = False) -> DataFrame:
@@ -200,3 +208,15 @@ def op9(spark, sf_dir: str) -> DataFrame:
     """Words of every document that are left without passages of 50 words or more that smaller documents hold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return without_repeats(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 49], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM w WHERE len(w) >= 50)),
+rep AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY x) AS d FROM win) WHERE doc_id > d),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 50)) AS p FROM rep)),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w WHERE len(w) > 0),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
