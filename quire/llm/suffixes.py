@@ -11,8 +11,8 @@
    words from the minimiser on: suffixes of one class hold the same k words around it. The smallest document of a
    class is the source; in all others these windows are repeated, and windows in a row make one span, extended to
    the left and to the right.
-4. Minimisers whose suffixes a partition border has cut take part once more, window by window: one row for each window,
-   grouped by all its words.
+4. Minimisers whose suffixes a partition border has cut take part once more, window by window: each partition sends
+   the windows of which it holds no smaller document, and these are grouped by all their words.
 
 A word goes if such a span covers it, so the smallest document that holds a passage keeps it. Words are compared by 32
 bits each beside a common 64-bit minimiser, so that a false match of k words has a chance of 2^-32 a word.
@@ -39,10 +39,13 @@ from quire.llm.shared import written
 from quire.llm.substring import Block, KEPT, SEEDS, blocks, bucket_of, ddl, kept_words, seed_bucket, seeds_of, table_of
 from quire.llm.textkit import U64, mix, sliding_min, window_hashes
 
+#: Text bytes whose suffixes one partition of the sorted array holds.
+PART_BYTES = 8_000_000
+
 _SUFFIX = {"seed": pa.int64(), "right": pa.binary(), "left": pa.binary(), "block": pa.int64(), "doc": pa.list_(pa.int64()), "row": pa.list_(pa.int32()), "at": pa.list_(pa.int32())}
 _SPAN = {"block": pa.int64(), "doc": pa.list_(pa.int64()), "row": pa.list_(pa.int32()), "start": pa.list_(pa.int32()), "words": pa.int32(), "source_doc": pa.int64(), "source_start": pa.int32()}
-_FOUND = {**_SPAN, "seed": pa.int64(), "right": pa.binary(), "left": pa.binary(), "at": pa.list_(pa.int32()), "part": pa.int32()}
-_WINDOW = {"window": pa.binary(), "block": pa.int64(), "doc": pa.int64(), "row": pa.int32(), "start": pa.int32()}
+_FOUND = {**_SPAN, "seed": pa.int64(), "right": pa.binary(), "left": pa.binary(), "open": pa.int64(), "part": pa.int32()}
+_WINDOW = {"window": pa.binary(), "block": pa.int64(), "doc": pa.list_(pa.int64()), "row": pa.list_(pa.int32()), "start": pa.list_(pa.int32())}
 
 
 def _selected(b: Block, k: int, m: int) -> np.ndarray:
@@ -149,51 +152,62 @@ def _neighbours(k: int, m: int):
                 mine = [x for x in range(len(own)) if own[x] > own[0]]
                 out.append((block[a], [own[x] for x in mine], [rows[a][x] for x in mine], [places[a][x] - before[a] for x in mine], before[a] + after[a], own[0], places[a][0] - before[a], *[None] * 5))
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        # of a minimiser that may go on in another partition: windows whose smallest document here is the row's first
+        places_left = np.arange(k - m + 1)
+        has_left, has_right = (left != 0).sum(axis=1), (right != 0).sum(axis=1)
         for a in np.flatnonzero((seed == seed[0]) | (seed == seed[-1])).tolist():
-            out.append((block[a], docs[a], rows[a], None, None, None, None, int(seed[a]), right[a].tobytes(), left[a].tobytes(), places[a], part))
+            free = (source[a, 1:-1] < 0) & (has_left[a] >= places_left) & (has_right[a] >= k - places_left)
+            if free.any():
+                mine = [x for x in range(len(docs[a])) if docs[a][x] == docs[a][0]]
+                out.append((block[a], [docs[a][0]] * len(mine), [rows[a][x] for x in mine], [places[a][x] for x in mine], None, None, None, int(seed[a]), right[a].tobytes(), left[a].tobytes(), int(sum(1 << b for b in np.flatnonzero(free).tolist())), part))
         yield from table_of(_FOUND, out).to_batches()
 
     return run
 
 
 def _windows(k: int, m: int):
-    """Every window around a suffix's minimiser, by a digest of its words, at every coordinate of the suffix."""
+    """The open windows around a suffix's minimiser, by a digest of all their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            right, left = _matrix(t.column("right")), _matrix(t.column("left"))
-            words = np.hstack([left[:, ::-1], right])  # the minimiser starts at column k
-            seed = t.column("seed").to_pylist()
-            docs, rows, places, block = (t.column(c).to_pylist() for c in ("doc", "row", "at", "block"))
+            words = np.hstack([_matrix(t.column("left"))[:, ::-1], _matrix(t.column("right"))])  # the minimiser starts at column k
+            seed, free = t.column("seed").to_pylist(), t.column("open").to_pylist()
+            docs, rows, places, block = (t.column(c).to_pylist() for c in ("doc", "row", "start", "block"))
             out = []
             for a in range(len(seed)):
                 for before in range(k - m + 1):
-                    own = words[a, k - before : 2 * k - before]
-                    if own.all():
+                    if free[a] >> before & 1:
+                        own = words[a, k - before : 2 * k - before]
                         name = hashlib.blake2b(own.tobytes(), digest_size=16, key=seed[a].to_bytes(8, "little", signed=True)).digest()
-                        out += [(name, block[a], d, r, p - before) for d, r, p in zip(docs[a], rows[a], places[a], strict=True)]
+                        out.append((name, block[a], docs[a], rows[a], [p - before for p in places[a]]))
             yield from table_of(_WINDOW, out).to_batches()
 
     return run
 
 
 def spans(dealt: DataFrame, total: int, k: int, m: int) -> DataFrame:
-    """Repeated spans: block, doc, row, start (lists), words, source_doc, source_start."""
+    """Repeated spans: block, doc, row, start (lists), words, source_doc, source_start.
+
+    A window's place around its minimiser is one bit of a long, so k may exceed m by 61 at most.
+    """
+    if not 0 < m <= k <= m + 61:
+        raise ValueError("k must lie between m and m + 61")
     buckets = max(1, math.ceil(total / substring.BUCKET_BYTES))
     seeds = dealt.groupBy("block").applyInArrow(seeds_of(k, m, buckets), ddl(SEEDS)).groupBy("bucket").applyInArrow(seed_bucket, ddl(SEEDS))
     rows = dealt.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_suffixes(k, m, buckets), ddl(_SUFFIX))
-    ordered = rows.repartitionByRange(buckets, "seed", "right", "left").sortWithinPartitions("seed", "right")
+    ordered = rows.repartitionByRange(max(1, math.ceil(total / PART_BYTES)), "seed", "right", "left").sortWithinPartitions("seed", "right")
     found = written(ordered.mapInArrow(_neighbours(k, m), ddl(_FOUND)), "suffix-spans")
     # minimisers that a border has cut
-    cut = found.filter("seed is not null").select("seed", "right", "left", "block", "doc", "row", "at", "part")
+    cut = found.filter("seed is not null").select("seed", "right", "left", "block", "doc", "row", "start", "open", "part")
     across = cut.groupBy("seed").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("seed")
     windows = cut.join(across, "seed").drop("part").mapInArrow(_windows(k, m), ddl(_WINDOW))
-    first = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("source"), F.max("doc").alias("last")).filter(F.col("source.doc") < F.col("last")).drop("last")
-    again = windows.join(first, "window").filter(F.col("doc") > F.col("source.doc"))
-    again = again.select("block", F.array("doc").alias("doc"), F.array("row").alias("row"), F.array("start").alias("start"), F.lit(k).alias("words"), F.col("source.doc").alias("source_doc"), F.col("source.start").alias("source_start"))
+    own = F.struct(F.col("doc")[0].alias("doc"), F.col("start")[0].alias("start"))
+    first = windows.groupBy("window").agg(F.min(own).alias("source"), F.max(F.col("doc")[0]).alias("last")).filter(F.col("source.doc") < F.col("last")).drop("last")
+    again = windows.join(first, "window").filter(F.col("doc")[0] > F.col("source.doc"))
+    again = again.select("block", "doc", "row", "start", F.lit(k).alias("words"), F.col("source.doc").alias("source_doc"), F.col("source.start").alias("source_start"))
     return found.filter("seed is null").select(*_SPAN).union(again)
 
 

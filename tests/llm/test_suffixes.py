@@ -29,6 +29,7 @@ def corpus(seed, k, n=150):
 def test_matches_window_search(spark, monkeypatch, block, bucket, k, m):
     monkeypatch.setattr(substring, "BLOCK_BYTES", block)
     monkeypatch.setattr(substring, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(suffixes, "PART_BYTES", bucket)
     rows = corpus(k + bucket % 97, k)
     got = sorted((tuple(r) for r in suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), k, m).collect()), key=str)
     want = brute(rows, k)
