@@ -76,7 +76,7 @@ def _groups(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.empty(0, np.int64)
 
 
-def _packed(bucket: np.ndarray, buckets: int, columns: list[np.ndarray]) -> list[tuple[int, list[bytes]]]:
+def packed(bucket: np.ndarray, buckets: int, columns: list[np.ndarray]) -> list[tuple[int, list[bytes]]]:
     """Rows dealt to buckets (``bucket`` rises), each column as bytes."""
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     return [(b, [c[edges[b] : edges[b + 1]].tobytes() for c in columns]) for b in np.flatnonzero(np.diff(edges)).tolist()]
@@ -105,7 +105,7 @@ def seeds_of(k: int, m: int, buckets: int):
         seed, several = _distinct(b.seed, b.doc)
         bucket = bucket_of(seed, buckets)
         low = (mix(seed, 5) >> U64(32)).astype(np.uint32)
-        return table_of(SEEDS, [(n, block, c[0], c[1]) for n, c in _packed(bucket, buckets, [low, several.astype(np.uint8)])])
+        return table_of(SEEDS, [(n, block, c[0], c[1]) for n, c in packed(bucket, buckets, [low, several.astype(np.uint8)])])
 
     return run
 
@@ -164,7 +164,7 @@ def _edges(k: int, m: int, seed_buckets: int, buckets: int):
             flags |= (np.minimum.reduceat(before, at) != np.maximum.reduceat(before, at)) * SPLIT
             flags |= (np.minimum.reduceat(after, at) != np.maximum.reduceat(after, at)) * JOIN
         short = [(x[at] >> U64(32)).astype(np.uint32) for x in (before, after)]  # 0 stays 0
-        rows = _packed(bucket_of(edge[at], buckets), buckets, [edge[at], flags.astype(np.uint8), *short])
+        rows = packed(bucket_of(edge[at], buckets), buckets, [edge[at], flags.astype(np.uint8), *short])
         return table_of(_EDGES, [(n, docs.column("block")[0].as_py(), *c) for n, c in rows])
 
     return run

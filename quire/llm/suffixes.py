@@ -12,7 +12,8 @@
    class is the source; in all others these windows are repeated, and windows in a row make one span, extended to
    the left and to the right.
 4. Minimisers whose suffixes a partition border has cut take part once more, window by window: each partition sends
-   the windows of which it holds no smaller document, and these are grouped by all their words.
+   the windows of which it holds no smaller document, packed in buckets, and those that several partitions hold are
+   grouped by all their words.
 
 A word goes if such a span covers it, so the smallest document that holds a passage keeps it. Words are compared by 32
 bits each beside a common 64-bit minimiser, so that a false match of k words has a chance of 2^-32 a word.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import substring
 from quire.llm.shared import written
-from quire.llm.substring import Block, KEPT, SEEDS, blocks, bucket_of, ddl, kept_words, seed_bucket, seeds_of, table_of
+from quire.llm.substring import Block, KEPT, SEEDS, blocks, bucket_of, ddl, kept_words, packed, seed_bucket, seeds_of, table_of
 from quire.llm.textkit import U64, mix, sliding_min, window_hashes
 
 #: Text bytes whose suffixes one partition of the sorted array holds.
@@ -165,25 +166,53 @@ def _neighbours(k: int, m: int):
     return run
 
 
+def _open_windows(t: pa.Table, k: int, m: int) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """Digests of the open windows of a partition's suffixes, by all their words; and (suffix, words before) of each."""
+    words = np.hstack([_matrix(t.column("left"))[:, ::-1], _matrix(t.column("right"))])  # the minimiser starts at column k
+    names, at = [], []
+    for a, (seed, free) in enumerate(zip(t.column("seed").to_pylist(), t.column("open").to_pylist(), strict=True)):
+        key = seed.to_bytes(8, "little", signed=True)
+        for before in range(k - m + 1):
+            if free >> before & 1:
+                names.append(hashlib.blake2b(words[a, k - before : 2 * k - before].tobytes(), digest_size=16, key=key).digest())
+                at.append((a, before))
+    return names, at
+
+
+_KEYS = {"bucket": pa.int32(), "part": pa.int32(), "keys": pa.binary()}
+
+
+def _window_keys(k: int, m: int, buckets: int):
+    """The open windows of a partition, as 64 bits each, packed by bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, _ = _open_windows(table, k, m)
+        keys = np.unique(np.frombuffer(b"".join(x[:8] for x in names), np.uint64))
+        part = table.column("part")[0].as_py()
+        return table_of(_KEYS, [(n, part, c[0]) for n, c in packed(bucket_of(keys, buckets), buckets, [keys])])
+
+    return run
+
+
+def _in_two(table: pa.Table) -> pa.Table:
+    """Of a bucket's windows those that several partitions hold, for each of these."""
+    own = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    key, count = np.unique(np.concatenate(own), return_counts=True)
+    again = key[count > 1]
+    rows = [(table.column("bucket")[0].as_py(), part, x[np.isin(x, again)].tobytes()) for part, x in zip(table.column("part").to_pylist(), own, strict=True)]
+    return table_of(_KEYS, [r for r in rows if r[2]])
+
+
 def _windows(k: int, m: int):
-    """The open windows around a suffix's minimiser, by a digest of all their words."""
+    """One row for each window of a partition that other partitions hold too."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            words = np.hstack([_matrix(t.column("left"))[:, ::-1], _matrix(t.column("right"))])  # the minimiser starts at column k
-            seed, free = t.column("seed").to_pylist(), t.column("open").to_pylist()
-            docs, rows, places, block = (t.column(c).to_pylist() for c in ("doc", "row", "start", "block"))
-            out = []
-            for a in range(len(seed)):
-                for before in range(k - m + 1):
-                    if free[a] >> before & 1:
-                        own = words[a, k - before : 2 * k - before]
-                        name = hashlib.blake2b(own.tobytes(), digest_size=16, key=seed[a].to_bytes(8, "little", signed=True)).digest()
-                        out.append((name, block[a], docs[a], rows[a], [p - before for p in places[a]]))
-            yield from table_of(_WINDOW, out).to_batches()
+    def run(t: pa.Table, back: pa.Table) -> pa.Table:
+        if not len(t) or not len(back):
+            return table_of(_WINDOW, [])
+        again = {x[i : i + 8] for x in back.column("keys").to_pylist() for i in range(0, len(x), 8)}
+        docs, rows, places, block = (t.column(c).to_pylist() for c in ("doc", "row", "start", "block"))
+        found = [(name, *x) for name, x in zip(*_open_windows(t, k, m), strict=True) if name[:8] in again]
+        return table_of(_WINDOW, [(name, block[a], docs[a], rows[a], [p - before for p in places[a]]) for name, a, before in found])
 
     return run
 
@@ -203,7 +232,9 @@ def spans(dealt: DataFrame, total: int, k: int, m: int) -> DataFrame:
     # minimisers that a border has cut
     cut = found.filter("seed is not null").select("seed", "right", "left", "block", "doc", "row", "start", "open", "part")
     across = cut.groupBy("seed").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("seed")
-    windows = cut.join(across, "seed").drop("part").mapInArrow(_windows(k, m), ddl(_WINDOW))
+    cut = cut.join(across, "seed")
+    back = cut.groupBy("part").applyInArrow(_window_keys(k, m, buckets), ddl(_KEYS)).groupBy("bucket").applyInArrow(_in_two, ddl(_KEYS))
+    windows = cut.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_windows(k, m), ddl(_WINDOW))
     own = F.struct(F.col("doc")[0].alias("doc"), F.col("start")[0].alias("start"))
     first = windows.groupBy("window").agg(F.min(own).alias("source"), F.max(F.col("doc")[0]).alias("last")).filter(F.col("source.doc") < F.col("last")).drop("last")
     again = windows.join(first, "window").filter(F.col("doc")[0] > F.col("source.doc"))
