@@ -7,7 +7,8 @@
    and a group has a bounded number of rows however many documents it has.
 3. ``limits``: quartiles from the merged sketches; a value is an outlier beyond ``reach`` quartile distances from the
    quartiles, where a distance counts as ``least`` at least. A (language, source) with under ``least_rows`` documents takes
-   the merged sketch of its language, a language with fewer that of all documents.
+   the merged sketch of its language, a language with fewer that of all documents. Shares that are 0 in three quarters of
+   a group have the quartiles 0, so that their limit is the constant ``reach`` times ``least`` (README, ``op2``).
 4. ``judge`` joins the limits to the documents.
 
 Defined results: null texts count as empty; nulls in lang or source are groups of their own; repeated rows are judged
