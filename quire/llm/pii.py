@@ -5,8 +5,12 @@
    the plain ones (stated at PLAIN): they find the same matches, without backtracking over long runs.
 2. ``disclosing`` takes the values found as protected entities. A term t next to an entity e discloses the share
    PMI(e; t) / IC(e) of the information in e, with PMI = log(N n(e,t) / (n(e) n(t))) and IC = log(N / n(e)) over all N
-   documents. It counts if it stands in ``least_contexts`` different contexts of e, so that copies of one passage do not,
-   and if it discloses at least ``generalise_at``; from ``remove_at`` on it is to be removed.
+   documents; all counts are of whole documents. Terms are letter runs that stand next to e at least once. A term counts
+   if it meets e in ``least_contexts`` different contexts, or in fewer when so many are unlikely by chance: the first
+   meeting is how the pair was found, and the others have the probability L^k / k! at most (k = contexts - 1, L = contexts
+   of e times n(t) / N), which has to be under ``chance``. So rare entities have terms too, copies of one passage are one
+   context, and one context alone is no evidence. It has to disclose at least ``generalise_at``; from ``remove_at`` on it
+   is to be removed.
 3. ``spans`` adds those terms wherever they stand in a document that holds the entity.
 4. ``sanitise`` replaces spans by their kind and drops those to be removed.
 
@@ -38,7 +42,7 @@ FAST = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-_TERM = r"\p{L}{4,}"
+_TERM = r"\p{L}{2,}"
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 #: Prefix sums are made in stretches of this many entries.
 _STRETCH = 256
@@ -111,27 +115,56 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _terms(text: Column) -> Column:
+    """Distinct terms of a text in lower case."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)))
+
+
 def contexts(found: DataFrame, reach: int = 96) -> DataFrame:
-    """(doc, kind, value, context, term): terms within ``reach`` code points of an entity, and a hash of that context."""
+    """(doc, kind, value, context, terms): a hash of the ``reach`` code points around an entity, and the terms in them."""
     rows = found.filter(F.size("found") > 0).select(_key().alias("doc"), "text", F.explode("found").alias("s"))
     left = F.substring(F.col("text"), F.greatest(F.col("s.start") - reach, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(reach)))
     left = F.when(F.col("s.start") > reach, F.regexp_replace(left, r"^[^\x20\x09-\x0D]++", "")).otherwise(left)
     right = F.regexp_replace(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(reach)), r"[^\x20\x09-\x0D]+$", "")
     rows = rows.select("doc", "s.kind", "s.value", F.lower(F.concat(left, F.lit(" \n "), right)).alias("near"))
-    return rows.select("doc", "kind", "value", F.xxhash64("near").alias("context"), F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(_TERM), F.lit(0)))).alias("term"))
-
-
-def disclosing(docs: DataFrame, found: DataFrame, least_contexts: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
+    return rows.select("doc", "kind", "value", F.xxhash64("near").alias("context"), _terms(F.col("near")).alias("terms"))
+
+
+def _pairs(found: DataFrame, near: DataFrame) -> DataFrame:
+    """(kind, value, term, contexts, both): documents with entity and term, and different contexts of the entity in them.
+
+    Where the term stands next to the entity, those contexts count; where it stands elsewhere in the document, one does.
+    Each document brings its text once, whatever its entities, and pairs are added up in the map tasks first.
+    """
+    entity = F.struct("kind", "value")
+    places = near.groupBy("doc").agg(F.collect_list(F.struct(entity.alias("e"), "context", "terms")).alias("places"))
+    texts = found.filter(F.size("found") > 0).select(_key().alias("doc"), "text").dropDuplicates(["doc"])
+    rows = texts.join(places, "doc").select(_terms(F.lower("text")).alias("all"), "places", F.explode(F.array_distinct("places.e")).alias("e"))
+    rows = rows.select("e", "all", F.filter("places", lambda p: p["e"] == F.col("e")).alias("places"))
+    rows = rows.select("e", "places", F.explode("all").alias("term"))
+    beside = F.array_distinct(F.transform(F.filter("places", lambda p: F.array_contains(p["terms"], F.col("term"))), lambda p: p["context"]))
+    rows = rows.select("e", "term", beside.alias("beside"), F.array_min("places.context").alias("any"))
+    rows = rows.select("e", "term", (F.size("beside") > 0).alias("near"), F.posexplode(F.when(F.size("beside") > 0, F.col("beside")).otherwise(F.array("any"))).alias("nth", "context"))
+    once = rows.groupBy("e", "term", "context").agg(F.count_if(F.col("nth") == 0).alias("both"), F.max("near").alias("near"))
+    pairs = once.groupBy("e", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("both").alias("both"), F.max("near").alias("near"))
+    return pairs.filter("near").select("e.kind", "e.value", "term", "contexts", "both")
+
+
+def disclosing(docs: DataFrame, found: DataFrame, least_contexts: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95, chance: float = 0.05) -> DataFrame:
     """(kind, value, term, share, remove): terms that disclose an entity, counted over all documents."""
     near = written(contexts(found), "contexts")
-    pairs = near.groupBy("kind", "value", "term", "context").agg(F.count_distinct("doc").alias("docs"))
-    pairs = pairs.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("both")).filter(F.col("contexts") >= least_contexts)
-    entities = near.groupBy("kind", "value").agg(F.count_distinct("doc").alias("n_entity"))
+    entities = near.groupBy("kind", "value").agg(F.count_distinct("doc").alias("n_entity"), F.count_distinct("context").alias("n_contexts"))
+    # an entity of one context has no second meeting with any term
+    several = entities.filter(F.col("n_contexts") >= min(2, least_contexts))
+    pairs = _pairs(found, near.join(several.select("kind", "value"), ["kind", "value"])).filter(F.col("contexts") >= min(2, least_contexts))
     total = docs.count()
     # document frequency of every term of the corpus, added up in the map tasks first
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    rows = pairs.join(entities, ["kind", "value"]).join(terms, "term")
+    terms = docs.select(F.explode(_terms(F.lower("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    rows = pairs.join(several, ["kind", "value"]).join(terms, "term")
     n = F.lit(float(max(total, 1)))
+    again = F.least(F.col("contexts") - 1, F.lit(20)).cast("int")
+    by_chance = F.pow(F.col("n_contexts") * F.col("n_term") / n, again) / F.factorial(again)
+    rows = rows.filter((F.col("contexts") >= least_contexts) | (by_chance <= chance))
     both = F.least("both", "n_term", "n_entity")
     pmi, ic = F.log2(n * both / (F.col("n_entity") * F.col("n_term"))), F.log2(n / F.col("n_entity"))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
@@ -141,8 +174,9 @@ def disclosing(docs: DataFrame, found: DataFrame, least_contexts: int = 3, gener
 def spans(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with ``found`` (base spans) and ``spans`` (all spans; terms have the kind "term" or "removed")."""
     found = find(docs)
-    terms = disclosing(docs, found, **thresholds)
-    held = found.filter(F.size("found") > 0).select(_key().alias("doc"), F.explode("found").alias("s")).select("doc", "s.kind", "s.value").distinct()
+    personal = written(found.filter(F.size("found") > 0).select("doc_id", "text", "found"), "personal")
+    terms = disclosing(docs, personal, **thresholds)
+    held = personal.select(_key().alias("doc"), F.explode("found").alias("s")).select("doc", "s.kind", "s.value").distinct()
     named = held.join(terms, ["kind", "value"]).groupBy("doc", "term").agg(F.max("remove").alias("remove")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("_terms"))
     named = written(named.withColumnRenamed("doc", "_doc"), "terms")
     rows = found.withColumn("_key", _key()).join(named, F.col("_key") == F.col("_doc"), "left").drop("_key", "_doc")

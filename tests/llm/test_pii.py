@@ -87,6 +87,25 @@ def test_disclosing_terms(spark):
     assert all(clean[k] == t for k, t in corpus() if k > 8)
 
 
+def test_terms_of_rare_entities(spark):
+    rng = random.Random(5)
+    words = ["alpha", "bravo", "candle", "delta", "echoes"]
+    filler = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(300)]
+    # Li next to a@b.co once and far from it in another text; Xu in two contexts of another address; Oz in a copied passage
+    filler[0] = f"Li alpha a@b.co {filler[0]}"
+    filler[1] = f"bravo a@b.co {filler[1]} {filler[2]} Li"
+    filler[3], filler[4] = f"Xu alpha c@d.co {filler[3]}", f"bravo {filler[4]} c@d.co Xu"
+    filler[5] = filler[6] = f"Oz alpha e@f.co {filler[5]}"
+    docs = spark.createDataFrame(list(enumerate(filler)), "doc_id long, text string")
+    got = {(r.value, r.term): r.share for r in pii.disclosing(docs, pii.find(docs)).collect()}
+    assert got == {("a@b.co", "li"): pytest.approx(1.0), ("c@d.co", "xu"): pytest.approx(1.0)}
+    marks = {r.doc_id: [r.text[s.start : s.end] for s in r.spans] for r in pii.spans(docs).collect()}
+    assert marks[1] == ["a@b.co", "Li"] and marks[4] == ["c@d.co", "Xu"] and marks[5] == ["e@f.co"]
+    # a term of many documents meets an entity twice by chance
+    common = docs.withColumn("text", F.when(F.col("doc_id") % 10 < 5, F.concat("text", F.lit(" xu"))).otherwise(F.col("text")))
+    assert "xu" not in {r.term for r in pii.disclosing(common, pii.find(common), generalise_at=0.0).collect()}
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a@b.co", "x"), (4, "a@b.co", None), (4, "a@b.co", None), (5, "x 4041 8949 7460 8795", "y"), (6, "é\U0001f600 a@b.co é", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
