@@ -1,7 +1,7 @@
 """Language ID by compression: the language whose zstandard dictionary encodes a text in the fewest bytes.
 
-``fit`` takes a bounded sample of labelled documents per language (the ``per_language`` ones with the smallest seeded
-hash, up to ``dictionary_bytes`` of their letters) as a raw-content dictionary. ``classify`` reduces each whole text to
+``fit`` takes a bounded sample of labelled documents per language (the ``per_language`` distinct texts with the smallest
+seeded hash, an equal share of ``dictionary_bytes`` of letters from a hashed position of each) as a raw-content dictionary. ``classify`` reduces each whole text to
 its lower-cased runs of letters, cuts it into pieces of ``piece_bytes``, encodes each piece with each dictionary and
 sums the sizes, so long texts cost and count evenly: no prefix, no cap. Each piece stands behind a constant carrier,
 as an encoder leaves very short inputs as they are, which would make every size equal.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.shared import long_rows
+from quire.llm.shared import long_rows, written
 
 UNKNOWN = "und"
 CARRIER = bytes(128)
@@ -37,23 +38,37 @@ def letters(text: str) -> bytes:
     return f" {_NOT_LETTERS.sub(' ', text.lower())} ".encode("utf-8", "surrogatepass")
 
 
+def shares(lengths: list[int], size: int) -> list[int]:
+    """Equal shares of ``size``; what shorter ones leave goes to the others."""
+    out = [0] * len(lengths)
+    for done, k in enumerate(sorted(range(len(lengths)), key=lengths.__getitem__)):
+        out[k] = min(lengths[k], size // (len(lengths) - done))
+        size -= out[k]
+    return out
+
+
 def fit(labelled: DataFrame, per_language: int = 96, dictionary_bytes: int = 32_768, seed: str = "langid") -> dict[str, bytes]:
     """Dictionaries by language from ``labelled`` (text, lang), most frequent language first.
 
-    The model has languages x dictionary_bytes at most and is learned from languages x per_language rows. The ranking
-    that picks them is cut to ``per_language`` rows in every task before anything is shuffled.
+    The model has languages x dictionary_bytes at most and is learned from languages x per_language distinct texts. They
+    are ranked by their hashes alone, and only the parts of those picked leave the map tasks.
     """
-    order = Window.partitionBy("lang").orderBy("draw", "text")
     usable = labelled.select("lang", "text", F.xxhash64(F.lit(seed), F.col("text")).alias("draw"))
     usable = usable.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {lang: n for lang, n in usable.groupBy("lang").count().collect()}
-    rows = usable.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language)
+    drawn = written(usable.groupBy("lang", "draw").agg(F.count(F.lit(1)).alias("n")), "drawn")
+    counts = {lang: n for lang, n in drawn.groupBy("lang").agg(F.sum("n")).collect()}
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    picked = drawn.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("lang", "draw", "nth")
+    begin = F.pmod(F.xxhash64("draw"), F.greatest(F.length("text") - dictionary_bytes, F.lit(0)) + 1)
+    part = F.substring(F.col("text"), (begin + 1).cast("int"), F.lit(dictionary_bytes))
     found: dict[str, list[tuple[int, bytes]]] = {}
-    for lang, text, nth in rows.select("lang", F.substring("text", 1, dictionary_bytes).alias("text"), "nth").collect():
+    for lang, nth, text in usable.join(F.broadcast(picked), ["lang", "draw"]).groupBy("lang", "nth").agg(F.min(part)).collect():
         found.setdefault(lang, []).append((nth, letters(text)))
     model = {}
     for lang in sorted(found, key=lambda x: (-counts[x], x.encode())):
-        model[lang] = b"".join(text for _, text in sorted(found[lang], reverse=True))[-dictionary_bytes:]
+        parts = [text for _, text in sorted(found[lang], reverse=True)]
+        cut = [(x, n, zlib.crc32(x) % (len(x) - n + 1)) for x, n in zip(parts, shares([len(x) for x in parts], dictionary_bytes), strict=True)]
+        model[lang] = b"".join(x[at : at + n] for x, n, at in cut)
     return model
 
 

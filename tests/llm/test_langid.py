@@ -17,6 +17,15 @@ def test_held_out_accuracy_and_rerun(spark):
     assert sorted(rows.collect()) == sorted(rows.collect())
 
 
+def test_dictionary_stems_from_many_texts(spark):
+    long = [f"mot{c * 4} " * 6000 for c in "abcde"]
+    raw = langid.fit(spark.createDataFrame([(t, "fr") for t in long], "text string, lang string"))["fr"]
+    assert 32_000 < len(raw) <= 32_768 and all(abs(raw.count(c.encode() * 4) - 820) < 5 for c in "abcde")
+    # copies of a text are one text of the sample
+    copies = spark.createDataFrame([(f"mot{c * 4}", "fr") for c in "abcde" for _ in range(5)], "text string, lang string")
+    assert sum(c.encode() * 4 in langid.fit(copies, per_language=4)["fr"] for c in "abcde") == 4
+
+
 def test_odd_rows(spark):
     text = "le chat est sur la table et la maison " * 5
     other = "the cat is on the mat and in the house " * 5
