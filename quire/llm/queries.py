@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, langid, lm_score, mixing, neardup, pii, quality_model, quality_rules, substring, suffixes
+from quire.llm import (decontaminate, hard_negatives, inner_products, langid, lm_score, mixing, neardup, pii, prefix_trie, quality_model, quality_rules,
+                       substring, suffixes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1,
@@ -19,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring.op8,
     "op9_suffix_array_dedup": suffixes.op9,
     "op10_language_id": langid.op10,
+    "op11_hard_negatives": hard_negatives.op11,
+    "op12_top_k": inner_products.op12,
+    "op13_prefix_trie": prefix_trie.op13,
 }
 
 ORACLE: dict[str, str] = {
@@ -28,4 +32,7 @@ ORACLE: dict[str, str] = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op8_substring_dedup": substring.OP8_SQL,
     "op9_suffix_array_dedup": suffixes.OP9_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_top_k": inner_products.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
