@@ -15,7 +15,7 @@
 4. ``sanitise`` replaces spans by their kind and drops those to be removed.
 
 Defined results: null texts are empty; positions count code points; rows that are equal share their spans; null ids are treated
-like any other; empty tables give no rows; in ``sanitise`` nulls stay null, and all columns but text are passed on.
+like any other; empty tables give no rows; a text may hold any number of entities, at a cost in proportion to them; in ``sanitise`` nulls stay null, and all columns but text are passed on.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ _TERM = r"\p{L}{2,}"
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 #: Prefix sums are made in stretches of this many entries.
 _STRETCH = 256
+#: Texts are cut in pieces of so many code points.
+_PIECE = 4096
 
 
 def _valid(kind: str, x: Column) -> Column:
@@ -76,7 +78,8 @@ def _positions(rows: DataFrame, text: str, gate: Column, pattern: Column, name:
     none = F.array().cast("array<string>")
     rows = rows.withColumn(m, F.when(gate, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none))
     rows = rows.withColumn(parts, F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(none))
-    rows = rows.withColumn(size, F.transform(m, lambda x, i: F.length(F.get(F.col(parts), i)) + F.length(x))).drop(parts)
+    # arrays are walked side by side: one that a lambda names once is computed anew for every element
+    rows = rows.withColumn(size, F.zip_with(m, F.slice(parts, F.lit(1), F.size(m)), lambda x, p: F.length(p) + F.length(x))).drop(parts)
     count = F.ceil(F.size(size) / _STRETCH).cast("int")
     stretches = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda b: _sums(F.slice(F.col(size), b * _STRETCH + 1, _STRETCH)))).otherwise(F.array().cast("array<array<int>>"))
     rows = rows.withColumn(local, stretches).drop(size)
@@ -85,6 +88,23 @@ def _positions(rows: DataFrame, text: str, gate: Column, pattern: Column, name:
     return rows.withColumn(f"{name}_end", ends).drop(local, base)
 
 
+def _maxima(numbers: Column) -> Column:
+    """Inclusive running maxima."""
+    none = F.array().cast("array<int>")
+    return F.aggregate(numbers, none, lambda a, x: F.array_append(a, F.greatest(F.coalesce(F.get(a, F.size(a) - 1), x), x)))
+
+
+def _running(rows: DataFrame, numbers: Column, name: str) -> DataFrame:
+    """``rows`` with the inclusive running maxima of ``numbers``, made in stretches."""
+    rows = rows.withColumn("_numbers", numbers)
+    count = F.ceil(F.size("_numbers") / _STRETCH).cast("int")
+    stretches = F.transform(F.sequence(F.lit(0), count - 1), lambda b: _maxima(F.slice("_numbers", b * _STRETCH + 1, _STRETCH)))
+    rows = rows.withColumn("_local", F.when(count > 0, stretches).otherwise(F.array().cast("array<array<int>>"))).drop("_numbers")
+    rows = rows.withColumn("_base", _maxima(F.transform("_local", lambda s: F.get(s, F.size(s) - 1))))
+    whole = F.flatten(F.transform("_local", lambda s, b: F.transform(s, lambda x: F.greatest(x, F.coalesce(F.get(F.col("_base"), b - 1), F.lit(0))))))
+    return rows.withColumn(name, whole).drop("_local", "_base")
+
+
 def _gate(kind: str) -> Column:
     if kind == "email":
         return F.contains(F.col("_t"), F.lit("@"))
@@ -120,13 +140,31 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)))
 
 
+def _stretched(text: str) -> Column:
+    """A text in pieces of ``_PIECE`` code points, so that cutting something out of it does not count from its beginning."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / _PIECE)), lambda i: F.substring(F.col(text), (i * _PIECE + 1).cast("int"), F.lit(_PIECE)))
+
+
+def _between(text: str, pieces: str, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text: from two of its pieces unless they are many."""
+    at = F.floor(start / _PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(F.col(pieces), at), F.lit("")), F.coalesce(F.get(F.col(pieces), at + 1), F.lit("")))
+    return F.when(end - start <= _PIECE, F.substring(two, start - at * _PIECE + 1, end - start)).otherwise(F.substring(F.col(text), start + 1, end - start))
+
+
 def contexts(found: DataFrame, reach: int = 96) -> DataFrame:
     """(doc, kind, value, context, terms): a hash of the ``reach`` code points around an entity, and the terms in them."""
-    rows = found.filter(F.size("found") > 0).select(_key().alias("doc"), "text", F.explode("found").alias("s"))
-    left = F.substring(F.col("text"), F.greatest(F.col("s.start") - reach, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(reach)))
-    left = F.when(F.col("s.start") > reach, F.regexp_replace(left, r"^[^\x20\x09-\x0D]++", "")).otherwise(left)
-    right = F.regexp_replace(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(reach)), r"[^\x20\x09-\x0D]+$", "")
-    rows = rows.select("doc", "s.kind", "s.value", F.lower(F.concat(left, F.lit(" \n "), right)).alias("near"))
+    rows = found.filter(F.size("found") > 0).select(_key().alias("doc"), "text", "found", _stretched("text").alias("pieces"), F.length("text").alias("length"))
+
+    def around(s: Column) -> Column:
+        left = _between("text", "pieces", F.greatest(s["start"] - reach, F.lit(0)), s["start"])
+        right = _between("text", "pieces", s["end"], F.least(s["end"] + reach, F.col("length")))
+        return F.struct(s["kind"].alias("kind"), s["value"].alias("value"), (s["start"] > reach).alias("cut"), left.alias("left"), right.alias("right"))
+
+    rows = rows.select("doc", F.explode(F.transform("found", around)).alias("s")).select("doc", "s.*")
+    left = F.when(F.col("cut"), F.regexp_replace("left", r"^[^\x20\x09-\x0D]++", "")).otherwise(F.col("left"))
+    right = F.regexp_replace("right", r"[^\x20\x09-\x0D]+$", "")
+    rows = rows.select("doc", "kind", "value", F.lower(F.concat(left, F.lit(" \n "), right)).alias("near"))
     return rows.select("doc", "kind", "value", F.xxhash64("near").alias("context"), _terms(F.col("near")).alias("terms"))
 
 
@@ -136,12 +174,9 @@ def _pairs(found: DataFrame, near: DataFrame) -> DataFrame:
     Where the term stands next to the entity, those contexts count; where it stands elsewhere in the document, one does.
     Each document brings its text once, whatever its entities, and pairs are added up in the map tasks first.
     """
-    entity = F.struct("kind", "value")
-    places = near.groupBy("doc").agg(F.collect_list(F.struct(entity.alias("e"), "context", "terms")).alias("places"))
-    texts = found.filter(F.size("found") > 0).select(_key().alias("doc"), "text").dropDuplicates(["doc"])
-    rows = texts.join(places, "doc").select(_terms(F.lower("text")).alias("all"), "places", F.explode(F.array_distinct("places.e")).alias("e"))
-    rows = rows.select("e", "all", F.filter("places", lambda p: p["e"] == F.col("e")).alias("places"))
-    rows = rows.select("e", "places", F.explode("all").alias("term"))
+    places = near.groupBy("doc", F.struct("kind", "value").alias("e")).agg(F.collect_list(F.struct("context", "terms")).alias("places"))
+    texts = found.filter(F.size("found") > 0).select(_key().alias("doc"), "text").dropDuplicates(["doc"]).select("doc", _terms(F.lower("text")).alias("all"))
+    rows = texts.join(places, "doc").select("e", "places", F.explode("all").alias("term"))
     beside = F.array_distinct(F.transform(F.filter("places", lambda p: F.array_contains(p["terms"], F.col("term"))), lambda p: p["context"]))
     rows = rows.select("e", "term", beside.alias("beside"), F.array_min("places.context").alias("any"))
     rows = rows.select("e", "term", (F.size("beside") > 0).alias("near"), F.posexplode(F.when(F.size("beside") > 0, F.col("beside")).otherwise(F.array("any"))).alias("nth", "context"))
@@ -173,8 +208,9 @@ def disclosing(docs: DataFrame, found: DataFrame, least_contexts: int = 3, gener
 
 def spans(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with ``found`` (base spans) and ``spans`` (all spans; terms have the kind "term" or "removed")."""
-    found = find(docs)
-    personal = written(found.filter(F.size("found") > 0).select("doc_id", "text", "found"), "personal")
+    # written before any filter: a filter on what was found would be pushed below the search and repeat it for every use
+    found = written(find(docs), "found")
+    personal = found.filter(F.size("found") > 0).select("doc_id", "text", "found")
     terms = disclosing(docs, personal, **thresholds)
     held = personal.select(_key().alias("doc"), F.explode("found").alias("s")).select("doc", "s.kind", "s.value").distinct()
     named = held.join(terms, ["kind", "value"]).groupBy("doc", "term").agg(F.max("remove").alias("remove")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("_terms"))
@@ -199,14 +235,15 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     # all other columns travel as one, out of the way of the search's own names
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = spans(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_others")), **thresholds)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rows = _running(rows.withColumn("_pieces", _stretched("text")), F.transform("spans", lambda s: s["end"]), "_upto")
 
-    def step(a: Column, s: Column) -> Column:
+    def step(s: Column, at: Column) -> Column:
         label = F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        more = F.array(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), label)
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], more)).otherwise(a["out"]).alias("out"))
+        return F.when(s["start"] >= at, F.concat(_between("text", "_pieces", at, s["start"]), label)).otherwise(F.lit(""))
 
-    text = F.aggregate("spans", begin, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    rest = F.substring(F.col("text"), F.element_at("_upto", -1) + 1, F.length("text"))
+    before = F.slice(F.concat(F.array(F.lit(0)), F.col("_upto")), F.lit(1), F.size("spans"))
+    text = F.concat(F.array_join(F.zip_with("spans", before, step), ""), rest)
     return rows.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*[F.col(f"_others.`{c}`") if c in others else F.col(c) for c in docs.columns])
 
 

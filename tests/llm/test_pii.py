@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,29 @@ def test_odd_rows(spark):
     assert {(r.spans, r.found, r._t) for r in clash.collect()} == {(1, 2, 3)}
     plan = pii.spans(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_text_of_very_many_entities(spark):
+    """20,000 addresses in one text: cost in proportion, each text searched once, and the plan holds each pattern once."""
+    text = " ".join(f"user{k}@site{k % 7}.org said \u00e9 to" for k in range(20_000)) + " end"
+    docs = spark.createDataFrame([(1, text), (2, "nothing here"), (3, "+1 (386) 555-3733 a@b.co")], "doc_id long, text string")
+    found = pii.find(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == len(pii.KINDS)
+    began = time.time()
+    got = {r.doc_id: (len(r.found), len(r.spans)) for r in pii.spans(docs).collect()}
+    assert got == {1: (20_000, 20_000), 2: (0, 0), 3: (2, 2)}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[1] == "[EMAIL] said \u00e9 to " * 19_999 + "[EMAIL] said \u00e9 to end" and clean[3] == "[PHONE] [EMAIL]"
+    assert time.time() - began < 120
+
+
+def test_overlapping_spans_become_one(spark):
+    texts = ["1.2.3.4@5.6.7.8 x", "+4041894974608795 and 4041894974608795@a.b", "a@b.c" * 300, "x" * 5000 + " a@b.co " + "y" * 9000 + " 1.2.3.4", ""]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        out, at = "", 0
+        for start, _, end, kind in base(text):
+            if start >= at:
+                out += text[at:start] + f"[{kind.upper()}]"
+            at = max(at, end)
+        assert got[k] == out + text[at:]
