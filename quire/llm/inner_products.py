@@ -104,7 +104,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, partitions: int | None =
     by_length = vectors.select("vec_id", "v", F.sqrt(length).alias("length"))
     top = lambda v: {"top": [float(np.sqrt((v.astype(np.float64) ** 2).sum(1)).max())]}
     blocks = packed(by_length, [F.desc("length"), F.col("vec_id")], top, "top double", dim, n, ROWS, "by-length")
-    longest = blocks.orderBy(F.desc("top"), "ids").limit(SEED_BLOCKS).collect()
+    # the lengths first, so that only the wanted blocks' vectors travel
+    tops = [r["top"] for r in blocks.select("top").orderBy(F.desc("top")).limit(SEED_BLOCKS).collect()]
+    longest = blocks.filter(F.col("top") >= min(tops, default=0.0)).limit(SEED_BLOCKS).collect()
     seed_ids = np.concatenate([longs(r["ids"]) for r in longest] or [longs(b"")])
     seeds = np.concatenate([longs(r["data"]).reshape(-1, dim) for r in longest] or [longs(b"").reshape(0, dim)])
 

@@ -82,6 +82,7 @@ def numbered(conversations: DataFrame) -> DataFrame:
     role, text = (F.coalesce(F.col(x), F.lit("")) for x in ("role", "text"))
     digest = F.unhex(F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text)))
     turns = conversations.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("c"), "turn", digest.alias("digest"), n_words(text).alias("words"))
+    turns = written(turns, "digests")  # the sort reads its input twice, for its borders and for its rows: not the texts
     order = ["c", F.asc_nulls_first("turn"), "digest"]
     sort = turns.repartitionByRange(*order).sortWithinPartitions(*order).select("c", "digest", "words", F.spark_partition_id().alias("part"))
     packs = written(sort.mapInArrow(_pack, "c long, part int, before long, n long, digests binary, words binary"), "turns")

@@ -63,3 +63,13 @@ def test_odd_rows(spark):
     assert mixing.mix(docs, given_weights).count() == len(rows)
     clash = mixing.mix(docs.withColumn("target", F.lit("old")).withColumn("weight", F.lit("kept")).withColumn("Size", F.lit(0)))
     assert clash.columns.count("target") == 1 and clash.filter("doc_id = 5").first().size == 1 and clash.first().weight == "kept"
+
+
+def test_columns_named_like_internal_ones(spark):
+    names = ["part", "in", "whole", "extra", "before", "_c", "_k", "_s", "_d", "_draw", "_slice", "reach", "tie_size", "slice_size", "stop", "weight", "_others", "_"]
+    docs = spark.createDataFrame([(k, "x y " * k, "st"[k % 2]) for k in range(9)], "doc_id long, text string, source string")
+    got = mixing.mix(docs.withColumns({n: F.lit(n) for n in names}))
+    plain = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    rows = got.collect()
+    assert {r.doc_id: r.copies for r in rows} == plain
+    assert all(r[n] == n for r in rows for n in names)
