@@ -82,7 +82,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[float, .
     kept = [c for c in docs.columns if c.lower() not in ADDED]
     others = [c for c in kept if c not in ("doc_id", "text", "source")]
     # all other columns travel as one, out of the way of the names used here
-    packed = docs.select("doc_id", "text", "source", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_others"))
+    packed = docs.select("doc_id", "text", "source", F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"at{i}") for i, c in enumerate(others)]).alias("_others"))
     sized = packed.withColumn("size", n_words(F.col("text"))).withColumn("_draw", _draw(seed)).withColumn("_slice", F.substring("_draw", 1, DIGITS))
     # sums by source and slice: at most 4096 rows a source, made before the shuffle
     slices = written(sized.groupBy("source", "_slice").agg(F.sum("size").alias("slice_size")), "slices")
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[float, .
     out = out.join(ties, (F.col("d.source").eqNullSafe(F.col("_s"))) & F.col("part").isNull() & (F.col("d._draw") == F.col("_d")), "left")
     copies = F.col("whole") + F.coalesce(F.col("part"), F.col("in"), F.lit(0))
     out = out.withColumn("copies", F.when(F.col("source_size") > 0, F.least(copies, F.lit(math.ceil(max_epochs)))).otherwise(0).cast("long"))
-    return out.select(*[F.col(f"d._others.`{c}`") if c in others else F.col(f"d.{c}") for c in kept], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*[F.col(f"d._others.at{others.index(c)}").alias(c) if c in others else F.col(f"d.{c}") for c in kept], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -234,7 +234,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with the spans of each text replaced by their kind in brackets; overlapping spans become one."""
     # all other columns travel as one, out of the way of the search's own names
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = spans(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_others")), **thresholds)
+    rows = spans(docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"at{i}") for i, c in enumerate(others)]).alias("_others")), **thresholds)
     rows = _running(rows.withColumn("_pieces", _stretched("text")), F.transform("spans", lambda s: s["end"]), "_upto")
 
     def step(s: Column, at: Column) -> Column:
@@ -244,7 +244,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     rest = F.substring(F.col("text"), F.element_at("_upto", -1) + 1, F.length("text"))
     before = F.slice(F.concat(F.array(F.lit(0)), F.col("_upto")), F.lit(1), F.size("spans"))
     text = F.concat(F.array_join(F.zip_with("spans", before, step), ""), rest)
-    return rows.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*[F.col(f"_others.`{c}`") if c in others else F.col(c) for c in docs.columns])
+    return rows.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*[F.col(f"_others.at{others.index(c)}").alias(c) if c in others else F.col(c) for c in docs.columns])
 
 
 def _listed(column: str) -> Column:
