@@ -15,15 +15,34 @@ from ..functions.patterns import ORACLE_CONSTANTS, SAP_CONSTANTS, TARGET_LABELS,
 Layout = Callable[[DataFrame], list[Column]]
 
 
-def _of(df: DataFrame, name: str, default) -> Column:
-    """A field of the record: the default applies only when the column is absent; NULLs pass through."""
-    return F.col(name) if name in df.columns else F.lit(default)
+def _of(df: DataFrame, name: str, default, column: str | None = None) -> Column:
+    """A field of the record: the default applies where the key is absent; NULLs pass through.
+
+    Absent means no such column; in a frame with ``present`` (the keys of each record) also a key not listed there.
+    """
+    column = column or name
+    given = default if isinstance(default, Column) else F.lit(default)
+    if column not in df.columns:
+        return given
+    if "present" not in df.columns:
+        return F.col(column)
+    return F.when(F.array_contains("present", name), F.col(column)).otherwise(given)
+
+
+def _items(df: DataFrame) -> Column:
+    """The line items without their lists of keys; an absent key is an empty list."""
+    if "line_items" not in df.columns:
+        return F.array().cast("array<string>")
+    kind = df.schema["line_items"].dataType.elementType
+    fields = [f for f in kind.fieldNames() if f != "present"]
+    items = F.col("line_items") if len(fields) == len(kind.fieldNames()) else F.transform("line_items", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    return F.when(F.array_contains("present", "line_items"), items).otherwise(F.array()) if "present" in df.columns else items
 
 
 def generic(df: DataFrame) -> list[Column]:
     """I1."""
-    conf = F.col("confidence") if "confidence" in df.columns else F.create_map().cast("map<string,double>")
-    flags = F.col("anomaly_flags") if "anomaly_flags" in df.columns else F.array().cast("array<string>")
+    conf = _of(df, "confidence_scores", F.create_map().cast("map<string,double>"), "confidence")
+    flags = _of(df, "anomaly_flags", F.array().cast("array<string>"))
     return [
         _of(df, "supplier", "").alias("vendor"),
         _of(df, "invoice_number", "").alias("invoice_number"),
@@ -31,7 +50,7 @@ def generic(df: DataFrame) -> list[Column]:
         _of(df, "subtotal", 0.0).alias("subtotal"),
         _of(df, "vat", 0.0).alias("tax_amount"),
         _of(df, "total", 0.0).alias("total_amount"),
-        _of(df, "line_items", None).alias("line_items"),
+        _items(df).alias("line_items"),
         F.struct(conf.alias("extraction_confidence"),
                  _of(df, "validation_status", VALIDATION_STATUS_DEFAULT).alias("validation_status"),
                  flags.alias("anomaly_flags")).alias("metadata"),
@@ -44,7 +63,7 @@ def sap(df: DataFrame) -> list[Column]:
         F.lit(SAP_CONSTANTS["BUKRS"]).alias("BUKRS"), _of(df, "supplier", "").alias("LIFNR"),
         _of(df, "invoice_date", "").alias("BLDAT"), _of(df, "total", 0.0).alias("WRBTR"),
         F.lit(SAP_CONSTANTS["WAERS"]).alias("WAERS"), _of(df, "invoice_number", "").alias("XBLNR"),
-        F.lit(SAP_CONSTANTS["BSART"]).alias("BSART"), _of(df, "line_items", None).alias("ITEMS"),
+        F.lit(SAP_CONSTANTS["BSART"]).alias("BSART"), _items(df).alias("ITEMS"),
     ]
 
 
@@ -57,7 +76,7 @@ def oracle(df: DataFrame) -> list[Column]:
         _of(df, "vat", 0.0).alias("tax_amount"), F.lit(ORACLE_CONSTANTS["currency_code"]).alias("currency_code"),
         F.lit(ORACLE_CONSTANTS["invoice_type_lookup_code"]).alias("invoice_type_lookup_code"),
         F.concat(F.lit(ORACLE_CONSTANTS["description_prefix"]), number).alias("description"),
-        _of(df, "line_items", None).alias("lines"),
+        _items(df).alias("lines"),
     ]
 
 

@@ -108,14 +108,18 @@ def numeric_findings(df: DataFrame) -> list[Column]:
     return out
 
 
-def item_findings(items: Column | str = "line_items") -> Column:
-    """Per item (1-based position), missing keys then arithmetic; flattened into one array."""
+def item_findings(items: Column | str = "line_items", with_keys: bool = False) -> Column:
+    """Per item (1-based position), missing keys then arithmetic; flattened into one array.
+
+    A typed item has no key where it has NULL; ``with_keys`` takes the keys from the item's own list ``present``.
+    """
     items = F.col(items) if isinstance(items, str) else items
+    lacks = lambda x, k: ~F.array_contains(x["present"], k) if with_keys else x[k].isNull()
 
     def per_item(x: Column, i: Column) -> Column:
         n = i + 1
         checks = [
-            F.when(x[k].isNull(), finding(ITEM_FIELD_MISSING, k, template(MSG_ITEM_MISSING, n=n, key=k), item_no=n))
+            F.when(lacks(x, k), finding(ITEM_FIELD_MISSING, k, template(MSG_ITEM_MISSING, n=n, key=k), item_no=n))
             for k in ("description", "quantity", "unit_price", "total")
         ]
         q, u, t = x["quantity"].cast("double"), x["unit_price"], x["total"]
@@ -194,7 +198,7 @@ def validate(
     df = with_parsed_date(_typed(invoices))
     errors = F.concat(
         _compact(required_findings(df, req) + numeric_findings(df)),
-        item_findings("line_items") if "line_items" in df.columns else F.array().cast(FINDINGS),
+        item_findings("line_items", "present" in df.schema["line_items"].dataType.elementType.fieldNames()) if "line_items" in df.columns else F.array().cast(FINDINGS),
     )
     warnings = _compact(
         vat_rate_findings(rates)

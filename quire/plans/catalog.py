@@ -793,3 +793,7 @@ def flagship(spark, d) -> DataFrame:
     return r.select("doc_id", "invoice_number", "supplier", "subtotal", "vat", "total",
                     F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"),
                     F.col("total_anomalies").alias("n_anomalies"), mism.alias("_m")).where("_m").drop("_m")
+
+
+# registers the queries over records, dated histories, own rules and observed runs
+from . import catalog_records as _catalog_records  # noqa: E402, F401
