@@ -8,6 +8,8 @@ measured size is under the threshold.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from ..functions.patterns import (
 from ..functions.quantile import exact_quantiles
 from ..functions.stage import materialize
 from ..functions.text import template
+from .rules import Rule, applied
 from .validate import gt, vat_rate
 
 ANOMALY = "struct<field:string,type:string,value:double,message:string,severity:string>"
@@ -88,10 +91,10 @@ def iqr_outlier(value: Column, n: Column, q1: Column, q3: Column) -> Column:
     return (n >= 4) & ((value < q1 - IQR_FACTOR * iqr) | gt(value, q3 + IQR_FACTOR * iqr))
 
 
-def anomaly(field: str, typ: str, message: Column | str, severity: Column | str, value: Column | None = None) -> Column:
+def anomaly(field: str | None, typ: str, message: Column | str, severity: Column | str, value: Column | None = None) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(
-        F.lit(field).alias("field"), F.lit(typ).alias("type"),
+        F.lit(field).cast("string").alias("field"), F.lit(typ).alias("type"),
         (value if value is not None else F.lit(None)).cast("double").alias("value"),
         lit(message).cast("string").alias("message"), lit(severity).cast("string").alias("severity"),
     )
@@ -135,13 +138,14 @@ def _conv_error(raw: Column) -> Column:
 
 
 def detect_anomalies(invoices: DataFrame, history_profile: DataFrame | None = None, by: list[str] | tuple[str, ...] = (),
-                     mode: str | None = "statistical") -> DataFrame:
+                     mode: str | None = "statistical", own_rules: Sequence[Rule] = ()) -> DataFrame:
     """Appends ``anomalies``, ``scores``, ``has_anomalies``, ``total_anomalies``, ``anomaly_error``.
 
     ``history_rows`` holds the number of history rows behind each invoice's profile (statistical mode).
     ``mode``: ``statistical`` (profile + rules; rules only when the profile is missing or has < 2 rows),
     ``rule_based`` (rules only; a non-numeric total is an ``anomaly_error`` that fails the invoice), or ``None``
-    (nothing appended). ``history_profile`` comes from :func:`profile` with the same ``by``.
+    (nothing appended). ``history_profile`` comes from :func:`profile` with the same ``by``. ``own_rules`` follow the built-in
+    anomalies in the order given; a rule's code is the anomaly's type.
     """
     if mode is None:
         return invoices
@@ -190,6 +194,9 @@ def detect_anomalies(invoices: DataFrame, history_profile: DataFrame | None = No
         err = F.when(t_truthy & t_bad, _conv_error(F.col("total_raw") if "total_raw" in df.columns else F.lit("")))
         anomalies = rules
 
+    own = [F.when(when, anomaly(r.field, r.code, r.message, r.severity, seen)) for r, when, seen in applied(df, own_rules, ("low", "medium", "high"))]
+    if own:
+        anomalies = F.concat(anomalies, F.filter(F.array(*own), lambda a: a.isNotNull()))
     failed = err.isNotNull()
     empty = F.array().cast(f"array<{ANOMALY}>")
     out = df.select(

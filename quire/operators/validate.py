@@ -8,12 +8,14 @@ warnings: VAT rate, then date. No shuffle, no UDF.
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_of_col, with_parsed_date
 from ..functions.text import parse_double, template
+from .rules import RULE_FAILED, Rule, applied
 from ..functions.patterns import (
     MSG_DATE_FUTURE,
     MSG_DATE_OLD,
@@ -49,6 +51,8 @@ UNPARSEABLE_DATE = "unparseable_date"
 FUTURE_DATE = "future_date"
 VERY_OLD_DATE = "very_old_date"
 VALIDATION_ERROR = "validation_error"  # reserved: typed columns cannot raise
+CODES = (REQUIRED_MISSING, NOT_A_NUMBER, NEGATIVE, TOTAL_MISMATCH, ITEM_FIELD_MISSING, ITEM_TOTAL_MISMATCH, UNUSUAL_VAT_RATE, UNPARSEABLE_DATE, FUTURE_DATE,
+         VERY_OLD_DATE, RULE_FAILED)
 
 
 def gt(a: Column, b: Column | float) -> Column:
@@ -191,8 +195,12 @@ def validate(
     vat_rates: list[float] | None = None,
     strict: bool = False,
     as_of: _dt.date | str | None = None,
+    rules: Sequence[Rule] = (),
 ) -> DataFrame:
-    """``errors``, ``warnings``, ``valid``; V11 strict mode moves warnings into errors."""
+    """``errors``, ``warnings``, ``valid``; V11 strict mode moves warnings into errors.
+
+    Own ``rules`` follow the built-in checks of their severity (error or warning), in the order given.
+    """
     req = DEFAULT_REQUIRED_FIELDS if required_fields is None else required_fields
     rates = DEFAULT_VAT_RATES if vat_rates is None else vat_rates
     df = with_parsed_date(_typed(invoices))
@@ -204,6 +212,10 @@ def validate(
         vat_rate_findings(rates)
         + date_findings(F.col("invoice_date_parsed"), F.col("invoice_date"), as_of_col(as_of))
     )
+    own = [(r.severity, F.when(when, finding(r.code, r.field, r.message, observed=seen))) for r, when, seen in applied(df, rules, ("error", "warning"))]
+    if own:
+        errors = F.concat(errors, _compact([c for kind, c in own if kind == "error"]))
+        warnings = F.concat(warnings, _compact([c for kind, c in own if kind == "warning"]))
     if strict:
         errors, warnings = F.concat(errors, warnings), F.array().cast(FINDINGS)
     out = df.withColumn("errors", errors).withColumn("warnings", warnings)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from typing import TYPE_CHECKING, NamedTuple
 
 from .functions.patterns import DEFAULT_REQUIRED_FIELDS, DEFAULT_VAT_RATES
 
 
+if TYPE_CHECKING:
+    from .operators.rules import Rule
+
+
 class Options(NamedTuple):
     #: Attach organisations, dates and money amounts of an entity table, and take a missing supplier from it.
     use_entities: bool = False
@@ -18,6 +22,9 @@ class Options(NamedTuple):
     anomaly_mode: str | None = "statistical"
     #: Target system of each exported invoice, or None for no target stage.
     target: str | None = None
+    #: Own rules of validation (severity error or warning) and of anomalies (low, medium or high), after the built-in ones.
+    rules: tuple[Rule, ...] = ()
+    anomaly_rules: tuple[Rule, ...] = ()
 
 
 def anomaly_mode(enabled: bool = True, algorithms: list[str] | tuple[str, ...] = ("statistical", "rule_based")) -> str | None:

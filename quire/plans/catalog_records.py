@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stage import materialize
+from ..functions.stage import materialize, scratch_path
 from ..operators.anomaly import detect_anomalies
+from ..operators.growing import append_state, stored_profile
 from ..operators.history import profile_as_of
+from ..operators.rules import Rule
 from ..operators.targets import to_target
 from ..operators.validate import validate
+from ..options import Options
+from ..sinks.ragged import ragged_header, write_ragged_csv
+from ..sinks.writers import CSV_READ_OPTIONS
 from ..sources.records import read_records
 from ..sources.tables import read_table
 from . import oracle as O
-from .catalog import AS_OF, invoices_once, register
+from .catalog import _BATCH_SQL, _RULES_SQL, AS_OF, batch_docs, invoices, invoices_once, register
+from .run import export_observed, run_invoices
 
 
 # ---- records in which keys are absent, null or of another type -----------------------------------------------------
@@ -140,3 +146,112 @@ def a_earlier_history(spark, d):
     prof = profile_as_of(inv, inv, ["customer"])
     out = detect_anomalies(inv, prof, by=["customer", "invoice_date_parsed"])
     return out.select("doc_id", "history_rows", F.floor(F.col("scores")["total_z_score"] * 1000 + 0.3721).cast("long").alias("z"))
+
+
+# ---- a profile that grows ---------------------------------------------------------------------------------------------
+
+@register("a_profile_grown", f"""
+WITH {_ORDERS_SQL}
+SELECT customer, count(*) AS n_rows, count(t) AS n_total, count(v) AS n_vat, {", ".join(f"CAST(floor({f}({x}) * 100 + 0.3721) AS BIGINT) AS {n}" for n, f, x in (
+    ("mean_total", "avg", "t"), ("std_total", "stddev_pop", "t"), ("mean_vat", "avg", "v"), ("std_vat", "stddev_pop", "v")))},
+  true AS q1_near, true AS q3_near FROM h GROUP BY customer""")
+def a_profile_grown(spark, d):
+    """Parts of the history summed up one after another, one of them twice; quartiles within 1 % of the ranks of all totals."""
+    h = dated_history(spark, d)
+    path = scratch_path(spark, "state")
+    years = F.year("day")
+    for name, part in (("early", years < 1995), ("middle", (years >= 1995) & (years < 1997)), ("late", years >= 1997), ("middle", (years >= 1995) & (years < 1997))):
+        append_state(h.where(part), path, name, ["customer"])
+    p = stored_profile(spark, path, ["customer"])
+    ranks = h.join(p.select("customer", "q1_total", "q3_total", "n_total"), "customer").groupBy("customer").agg(
+        *[(F.count_if(F.col("total") <= F.col(q)) >= F.lit(share - 0.01) * F.first("n_total")).alias(f"{x}_low") for x, q, share in (("q1", "q1_total", 0.25), ("q3", "q3_total", 0.75))],
+        *[(F.count_if(F.col("total") < F.col(q)) <= F.lit(share + 0.01) * F.first("n_total")).alias(f"{x}_high") for x, q, share in (("q1", "q1_total", 0.25), ("q3", "q3_total", 0.75))])
+    return p.join(ranks, "customer").select("customer", "n_rows", "n_total", "n_vat", *[_near(c) for c in ("mean_total", "std_total", "mean_vat", "std_vat")],
+                                            *[(F.col(f"{x}_low") & F.col(f"{x}_high")).alias(f"{x}_near") for x in ("q1", "q3")])
+
+
+# ---- own rules ----------------------------------------------------------------------------------------------------------
+
+OWN_RULES = [
+    Rule("large_vat", "vat > 50000", "VAT is large", "vat", "warning", "vat"),
+    Rule("odd_number", "invoice_number rlike '[13579]$'", "odd number", "invoice_number"),
+    Rule("no_such_column", "shipping > 0", "never", "shipping"),
+    Rule("few_items", "size(line_items) < 2 and supplier is not null", "few items", "line_items"),
+]
+OWN_ANOMALIES = [Rule("heavy", "total > 1000000", "over a million", "total", "high", "total"), Rule("cheap", "total < 20000", "cheap", "total", "low")]
+
+
+@register("v_own_rules", O.with_base(
+    "SELECT i.doc_id, concat_ws(',', CASE WHEN regexp_matches(invoice_number, '[13579]$') THEN 'odd_number' END, 'rule_failed', "
+    "CASE WHEN n_items < 2 AND supplier IS NOT NULL THEN 'few_items' END) AS own_errors, v.n_err AS n_built_in, "
+    "CASE WHEN vat > 50000 THEN vat END AS large_vat, concat_ws(',', CASE WHEN total > 1000000 THEN 'heavy' END, CASE WHEN total < 20000 THEN 'cheap' END) AS own_anomalies, "
+    "CAST((CASE WHEN r.round_total THEN 1 ELSE 0 END) + (CASE WHEN r.duplicate_items THEN 1 ELSE 0 END) + (CASE WHEN r.missing_supplier THEN 1 ELSE 0 END) "
+    "+ (CASE WHEN r.high_vat_rate IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_rules "
+    "FROM inv i JOIN verdict v ON i.doc_id = v.doc_id JOIN rules r ON i.doc_id = r.doc_id WHERE NOT r.failed", O.val_ctes(AS_OF) + _RULES_SQL))
+def v_own_rules(spark, d):
+    """Rules given as a list: after the built-in ones, in their order; the one that cannot be applied is reported and stops nothing."""
+    own = [r.code for r in OWN_RULES] + ["rule_failed"]
+    v = validate(invoices(spark, d), as_of=AS_OF, rules=OWN_RULES)
+    out = materialize(detect_anomalies(v, mode="rule_based", own_rules=OWN_ANOMALIES).select("doc_id", "errors", "warnings", "anomalies", "anomaly_error"), "own-rules")
+    mine = lambda col, key, names: F.filter(col, lambda f: f[key].isin(names))
+    joined = lambda col, key, names: F.array_join(F.transform(mine(col, key, names), lambda f: f[key]), ",")
+    kinds = [r.code for r in OWN_ANOMALIES]
+    return out.where("anomaly_error IS NULL").select(
+        "doc_id", joined("errors", "code", own).alias("own_errors"), (F.size("errors") - F.size(mine("errors", "code", own))).cast("long").alias("n_built_in"),
+        F.get(mine("warnings", "code", ["large_vat"]), 0)["observed"].alias("large_vat"), joined("anomalies", "type", kinds).alias("own_anomalies"),
+        (F.size("anomalies") - F.size(mine("anomalies", "type", kinds))).cast("long").alias("n_rules"))
+
+
+# ---- a run that counts itself ---------------------------------------------------------------------------------------------
+
+_COUNTED = ("total", "successful", "failed", "errors.required_missing", "errors.not_a_number", "errors.total_mismatch", "errors.item_total_mismatch", "warnings.unusual_vat_rate",
+            "warnings.unparseable_date", "n_errors", "n_warnings")
+
+
+_COUNTED_SQL = """
+SELECT what, n FROM (UNPIVOT (
+  SELECT count(*)::BIGINT AS total, (count(*) FILTER (WHERE ok))::BIGINT AS successful, (count(*) FILTER (WHERE NOT ok))::BIGINT AS failed,
+    sum(CASE WHEN ok THEN (supplier IS NULL)::INT + (total_raw IS NULL)::INT + (invoice_date IS NULL)::INT END)::BIGINT AS "errors.required_missing",
+    sum(CASE WHEN ok THEN nan_total::INT + nan_vat::INT + nan_subtotal::INT END)::BIGINT AS "errors.not_a_number",
+    sum(CASE WHEN ok THEN mismatch::INT END)::BIGINT AS "errors.total_mismatch", sum(CASE WHEN ok THEN coalesce(e.n, 0) END)::BIGINT AS "errors.item_total_mismatch",
+    sum(CASE WHEN ok THEN unusual_rate::INT END)::BIGINT AS "warnings.unusual_vat_rate",
+    sum(CASE WHEN ok THEN (invoice_date IS NOT NULL AND parsed IS NULL)::INT END)::BIGINT AS "warnings.unparseable_date",
+    sum(CASE WHEN ok THEN n_err END)::BIGINT AS n_errors, sum(CASE WHEN ok THEN n_warn END)::BIGINT AS n_warnings
+  FROM (SELECT val.*, coalesce(o.ocr_ok, true) AS ok FROM val LEFT JOIN ocr o ON val.doc_id = o.doc_id) x LEFT JOIN item_err_n e ON x.doc_id = e.doc_id
+  JOIN verdict w ON x.doc_id = w.doc_id) ON COLUMNS(*) INTO NAME what VALUE n)"""
+
+
+@register("p_observed_summary", O.with_base(_COUNTED_SQL, _BATCH_SQL + O.val_ctes(AS_OF)))
+def p_observed_summary(spark, d):
+    """Records exported as JSON and CSV; the summary and the findings by code come from the job that wrote them."""
+    run = run_invoices(batch_docs(spark, d), options=Options(anomaly_mode="rule_based"), as_of=AS_OF)
+    run = run.withColumn("success", F.col("stages.ocr.success"))
+    _, counts = export_observed(run, scratch_path(spark, "observed"))
+    return spark.createDataFrame([(k, counts.get(k, 0)) for k in _COUNTED], "what string, n long")
+
+
+# ---- tables with the keys that occur -----------------------------------------------------------------------------------------
+
+@register("x_ragged_header", f"""
+WITH {_RECORDS}
+SELECT k AS doc_id, number AS invoice_number, nullif(supplier, '') AS supplier, CASE WHEN k % 5 = 4 THEN 'n/a' WHEN k % 5 = 2 THEN c || '.5' WHEN k % 5 = 3 THEN c || '.25' END AS total,
+  CASE WHEN k % 3 = 2 THEN c::VARCHAR END AS vat, nullif(status, 'unknown') AS validation_status, CASE WHEN k % 8 = 0 THEN '["x","y"]' END AS anomaly_flags,
+  coalesce(n_items, 0) AS line_items_count FROM f JOIN (SELECT o_orderkey AS o, o_custkey AS c FROM orders) x ON f.k = x.o WHERE ok""")
+def x_ragged_header(spark, d):
+    """The header has the keys that occur in any record."""
+    path = scratch_path(spark, "ragged")
+    lines = materialize(json_orders(spark, d), "lines")
+    write_ragged_csv(lines, path)
+    names = ragged_header(lines).columns
+    return spark.read.options(**CSV_READ_OPTIONS).schema(", ".join(f"{n} {'long' if n == 'doc_id' else 'int' if n == 'line_items_count' else 'string'}" for n in names)).csv(f"{path}/invoices")
+
+
+@register("x_ragged_items", f"""
+WITH {_RECORDS}
+SELECT k AS doc_id, i AS item_no, CASE i WHEN 1 THEN 'a' WHEN 3 THEN 'b' END AS description, CASE WHEN i <> 2 THEN '2' END AS quantity, CASE i WHEN 1 THEN '3.0' WHEN 2 THEN '7' ELSE '4' END AS total,
+  CASE i WHEN 1 THEN '1.5' WHEN 3 THEN '2.5' END AS unit_price FROM f, (VALUES (1), (2), (3)) t(i) WHERE n_items > 0""")
+def x_ragged_items(spark, d):
+    """Items with different keys, read back from their CSV."""
+    path = scratch_path(spark, "ragged")
+    write_ragged_csv(json_orders(spark, d), path)
+    return spark.read.options(**CSV_READ_OPTIONS).schema("doc_id long, item_no int, description string, quantity string, total string, unit_price string").csv(f"{path}/line_items")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.patterns import FIELD_ORDER, MSG_OCR_FAILED
@@ -19,7 +19,7 @@ from ..functions.stage import materialize
 from ..operators.anomaly import detect_anomalies, profile
 from ..operators.extract import extract_fields, merge_entities
 from ..operators.targets import target_record
-from ..operators.validate import validate
+from ..operators.validate import CODES, validate
 from ..options import Options
 from ..sinks.writers import write_invoices
 
@@ -60,12 +60,13 @@ def run_invoices(
     ner = opts.use_entities and entities is not None
     if ner:
         inv = merge_entities(inv, entities, with_lists=True)
-    inv = validate(inv, required_fields=list(opts.required_fields), vat_rates=list(opts.vat_rates), strict=opts.strict, as_of=as_of)
+    inv = validate(inv, required_fields=list(opts.required_fields), vat_rates=list(opts.vat_rates), strict=opts.strict, as_of=as_of,
+                   rules=opts.rules)
     mode = opts.anomaly_mode
     prof = history_profile
     if prof is None and history is not None and mode == "statistical":
         prof = profile(history, by=by)
-    out = detect_anomalies(inv, prof, by=by, mode=mode)
+    out = detect_anomalies(inv, prof, by=by, mode=mode, own_rules=opts.anomaly_rules)
 
     ok = F.col("_ocr_ok")
     own = [*given, "_ocr_ok", "_text_length"]
@@ -105,6 +106,35 @@ def summarize(results: DataFrame) -> DataFrame:
     )
 
 
+_SEVERAL = ("errors", "warnings", "anomalies")
+
+
+def observed(results: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """``results`` and what is counted while they are written: no second run for the summary.
+
+    Use the frame once, in whatever writes the results; then :func:`summary_of` the observation. It holds total, successful,
+    failed, the numbers of errors, warnings and anomalies, and of findings by code. A task that is repeated counts once.
+    """
+    seen = Observation(name)
+    n = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(f"n_{c}")
+    some = [c for c in _SEVERAL if c in results.columns]
+    having = lambda kind, code: F.size(F.filter(kind, lambda f: f["code"] == code))
+    by_code = [F.coalesce(F.sum(having(kind, code)), F.lit(0)).alias(f"{kind}.{code}")
+               for kind in ("errors", "warnings") if kind in results.columns for code in CODES]
+    return results.observe(seen, F.count("*").alias("total"), F.count_if("success").alias("successful"), F.count_if(~F.col("success")).alias("failed"), *[n(c) for c in some], *by_code), seen
+
+
+def summary_of(seen: Observation) -> dict[str, int]:
+    """The counts of a frame of :func:`observed` that has been written; codes that did not occur are left out."""
+    return {k: int(v) for k, v in seen.get.items() if "." not in k or v}
+
+
+def export_observed(results: DataFrame, base: str, formats: list[str] | tuple[str, ...] = ("json", "csv"), pretty_json: bool = False) -> tuple[bool, dict[str, int]]:
+    """:func:`export_run` and the summary of the run, from the one job that evaluates it."""
+    frame, seen = observed(results)
+    return export_run(frame, base, formats, pretty_json), summary_of(seen)
+
+
 def report(results: DataFrame, name_col: str = "doc_id") -> DataFrame:
     """P5: the per-invoice report line; stages that did not run report NULL validity and no anomalies."""
     stages = F.col("stages")

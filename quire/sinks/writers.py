@@ -8,8 +8,10 @@ the files back with ``multiLine`` and ``escape='"'``.
 
 from __future__ import annotations
 
+import json
 import logging
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,31 +95,89 @@ def write_csv(records: DataFrame, path: str, mode: str = "error") -> None:
         table.write.mode(mode).options(**CSV_OPTIONS).csv(os.path.join(path, name))
 
 
-def write_invoices(df: DataFrame, base: str, formats: list[str] | tuple[str, ...] = FORMATS, pretty_json: bool = False,
-                   mode: str = "error") -> bool:
-    """One write per known format under ``base/format=<fmt>``; unknown formats are skipped.
-
-    A single unknown format raises ``ValueError`` (X6). The records are written once as a table, from which every
-    format is written, so the extraction runs once and an executor lost midway costs no regex. True when all
-    formats asked for were written, False when one was unknown. An existing output is an error unless ``mode`` says so.
-    """
+def _known(formats: list[str] | tuple[str, ...]) -> list[str]:
+    """The formats that there are a sink for; others are warned about and skipped. One unknown format alone is an error."""
     formats = list(formats)
     if len(formats) == 1 and formats[0] not in FORMATS:
         raise ValueError(f"Unknown format: {formats[0]}")
-    known = [f for f in formats if f in FORMATS]
     for f in formats:
         if f not in FORMATS:
             LOG.warning("Unknown export format: %s", f)
+    return [f for f in formats if f in FORMATS]
+
+
+def _write(records: DataFrame, fmt: str, target: str, pretty_json: bool, mode: str) -> None:
+    if fmt == "json":
+        write_json(records, target, pretty=pretty_json, mode=mode)
+    else:
+        write_csv(records, target, mode=mode)
+
+
+def _records_once(df: DataFrame, known: list[str]) -> DataFrame:
+    """The records, written as a table if more than one output is made of them (CSV alone is two tables)."""
     records = to_record(df)
-    if len(known) > 1 or "csv" in known:  # csv alone is two tables
-        records = materialize(records, "records")
+    return materialize(records, "records") if len(known) > 1 or "csv" in known else records
+
+
+def write_invoices(df: DataFrame, base: str, formats: list[str] | tuple[str, ...] = FORMATS, pretty_json: bool = False,
+                   mode: str = "error") -> bool:
+    """One write per known format under ``base/format=<fmt>``; unknown formats are warned about and skipped.
+
+    A single unknown format raises ``ValueError`` (X6). The records are written once as a table, from which every
+    format is written, so the extraction runs once and an executor lost midway costs no regex. True when all known formats
+    asked for were written; a write that fails raises. An existing output is an error unless ``mode`` says so.
+    """
+    known = _known(formats)
+    records = _records_once(df, known)
     for fmt in known:
-        target = os.path.join(base, f"format={fmt}")
-        if fmt == "json":
-            write_json(records, target, pretty=pretty_json, mode=mode)
+        _write(records, fmt, os.path.join(base, f"format={fmt}"), pretty_json, mode)
+    return True
+
+
+MANIFEST = "_MANIFEST.json"
+
+
+def publish_invoices(df: DataFrame, base: str, formats: list[str] | tuple[str, ...] = FORMATS, pretty_json: bool = False) -> dict[str, str]:
+    """X5, all formats or none: the outcome of each format, ``written``, ``unknown``, ``withheld`` or ``failed: <why>``.
+
+    Every format is written into a hidden folder first. Only if all have succeeded are they renamed to ``base/format=<fmt>``, and a manifest
+    that lists them is the last file to appear: readers that wait for it see a complete export. After a failure
+    nothing of this export is left in place; formats that had succeeded are ``withheld``. A manifest already there is an error.
+    """
+    spark = df.sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_of(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(path_of(f"{base}/{MANIFEST}")):
+        raise FileExistsError(f"{base} has been published")
+    known = _known(formats)
+    outcome = {f: "written" if f in known else "unknown" for f in formats}
+    staged = f"{base}/_staged-{uuid.uuid4().hex}"
+    moved = []
+    try:
+        records = _records_once(df, known)
+        for fmt in known:
+            try:
+                _write(records, fmt, f"{staged}/format={fmt}", pretty_json, "error")
+            except Exception as e:  # noqa: BLE001  the outcome tells; the others are still tried
+                outcome[fmt] = f"failed: {type(e).__name__}"
+        if all(outcome[f] == "written" for f in known):
+            for fmt in known:
+                source, target = path_of(f"{staged}/format={fmt}"), path_of(f"{base}/format={fmt}")
+                if files.exists(target) or not files.rename(source, target):
+                    outcome[fmt] = "failed: the output exists"
+                    break
+                moved.append(target)
+        if all(outcome[f] == "written" for f in known):
+            out = files.create(path_of(f"{base}/{MANIFEST}"), False)
+            out.write(bytearray(json.dumps({"formats": outcome}, sort_keys=True).encode()))
+            out.close()
         else:
-            write_csv(records, target, mode=mode)
-    return len(known) == len(formats)
+            for target in moved:
+                files.delete(target, True)
+            outcome = {f: "withheld" if o == "written" else o for f, o in outcome.items()}
+    finally:
+        files.delete(path_of(staged), True)
+    return outcome
 
 
 def output_names(paths: DataFrame, path_col: str = "path") -> DataFrame:

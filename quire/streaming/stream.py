@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..options import Options
-from ..plans.run import run_invoices
+from ..plans.run import observed, run_invoices, summary_of
 
 DOC_SCHEMA = "doc_id bigint, text string"
 
@@ -33,6 +33,22 @@ def parquet_batch_sink(base: str, columns: list[str] | None = None) -> Callable[
     return sink
 
 
+def summarized_sink(sink: Callable[[DataFrame, int], None], base: str) -> Callable[[DataFrame, int], None]:
+    """``sink`` for runs, and beside it the counts of each micro-batch in ``base/batch=n``, taken while the sink writes it.
+
+    The sink must write its batch once. A batch replayed after a failure replaces its own counts.
+    """
+
+    def both(batch: DataFrame, batch_id: int) -> None:
+        frame, seen = observed(batch, f"batch-{batch_id}")
+        sink(frame, batch_id)
+        counts = summary_of(seen)
+        row = batch.sparkSession.createDataFrame([(k, v) for k, v in counts.items()], "what string, n long")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+
+    return both
+
+
 def stream_chain(stream: DataFrame, history_profile: DataFrame | None = None, by=(), as_of: _dt.date | str | None = None,
                  mode: str | None = "statistical") -> DataFrame:
     return run_invoices(stream, options=Options(anomaly_mode=mode), as_of=as_of, by=by, history_profile=history_profile)
