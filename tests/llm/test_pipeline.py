@@ -110,3 +110,17 @@ def test_odd_rows(spark, tmp_path):
                 assert now.columns == docs.columns
         texts = {r.text for r in now.collect()}
         assert all("a@b.co" not in t for t in texts)
+
+
+def test_near_dedup_keeps_one_row_of_repeats_and_links_rows_without_an_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a, "x"), (5, a, "x"), (5, a, "y"), (None, a, "z"), (7, a + " more", "x"), (None, b, "x"), (None, b, "x"), (None, b + " tail", "q"), (9, c, None), (10, "", None), (10, "", None), (11, "", None), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({n: F.lit(n) for n in ("key", "hash", "row", "none", "at0", "n", "_")})
+    got = cp.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text, r.lang) for r in got.collect()]
+    b_rows = [r for r in kept if r[1] and r[1].startswith("b0")]
+    assert [r for r in kept if r not in b_rows and r[1]] in ([(5, a, "x"), (9, c, None)], [(9, c, None), (5, a, "x")])
+    assert len(b_rows) == 1 and b_rows[0][0] is None
+    assert sorted(str(r[0]) for r in kept if not r[1]) == ["10", "11", "None"]
+    assert all(r.key == "key" and r.at0 == "at0" for r in got.collect())
