@@ -15,6 +15,7 @@ from ..operators.anomaly import PROFILE_COLUMNS, detect_anomalies, iqr_outlier,
 from ..operators.extract import (extract_fields, extract_line_items, line_items_column, merge_entities,
                                  with_fields)
 from ..operators.targets import outbox, to_target
+from ..functions.patterns import AMOUNT_FIELDS
 from ..functions.stage import materialize, scratch_path
 from ..operators.validate import findings_as_rows, validate, vat_rate
 from ..options import Options
@@ -502,13 +503,14 @@ _CONF = ", ".join(
 @register("x_flat_header", O.with_base(
     "SELECT doc_id, invoice_number, invoice_date, supplier, CASE WHEN conv_total THEN total END AS total, "
     "CASE WHEN NOT conv_total THEN total_raw END AS total_text, CASE WHEN conv_vat THEN vat END AS vat, "
-    "CASE WHEN NOT conv_vat THEN vat_raw END AS vat_text, CAST(n_items AS INTEGER) AS "
+    "CASE WHEN NOT conv_vat THEN vat_raw END AS vat_text, CASE WHEN conv_subtotal THEN subtotal END AS subtotal, "
+    "CASE WHEN NOT conv_subtotal THEN subtotal_raw END AS subtotal_text, CAST(n_items AS INTEGER) AS "
     f"line_items_count, {_CONF} FROM inv"))
 def x_flat_header(spark, d):
-    rec = to_record(invoices(spark, d))
-    kinds = rec.select("doc_id", *[F.col(f)["text"].isNotNull().alias(f"_{f}_text") for f in ("total", "vat")])
+    rec = materialize(to_record(invoices(spark, d)), "records")  # both sides of the join read the written records
+    kinds = rec.select("doc_id", *[F.col(f)["text"].isNotNull().alias(f"_{f}_text") for f in AMOUNT_FIELDS])
     flat = flatten_for_csv(rec).join(kinds, "doc_id")
-    return flat.select("doc_id", "invoice_number", "invoice_date", "supplier", *[c for f in ("total", "vat") for c in (
+    return flat.select("doc_id", "invoice_number", "invoice_date", "supplier", *[c for f in AMOUNT_FIELDS for c in (
         F.when(~F.col(f"_{f}_text"), F.col(f)).cast("double").alias(f), F.when(F.col(f"_{f}_text"), F.col(f)).alias(f"{f}_text"))],
         "line_items_count", *[c for c in flat.columns if c.startswith("confidence_")])
 
@@ -521,32 +523,33 @@ def x_line_items(spark, d):
 
 _RECORD_SQL = ("SELECT i.invoice_number, invoice_date, supplier, CASE WHEN conv_total THEN i.total END AS total, "
                "CASE WHEN NOT conv_total THEN total_raw END AS total_text, CASE WHEN conv_vat THEN vat END AS vat, "
-               "CASE WHEN NOT conv_vat THEN vat_raw END AS vat_text, CAST(n_items AS INTEGER) AS n_items, ")
+               "CASE WHEN NOT conv_vat THEN vat_raw END AS vat_text, CASE WHEN conv_subtotal THEN subtotal END AS subtotal, "
+               "CASE WHEN NOT conv_subtotal THEN subtotal_raw END AS subtotal_text, CAST(n_items AS INTEGER) AS n_items, ")
 
 
 @register("x_json_roundtrip", O.with_base(
-    _RECORD_SQL + "f.description AS first_description, CAST(f.quantity AS BIGINT) AS first_quantity, f.total AS first_total, "
+    _RECORD_SQL + "f.description AS first_description, CAST(f.quantity AS BIGINT) AS first_quantity, f.unit_price AS first_unit_price, f.total AS first_total, "
+    "l.description AS last_description, CAST(l.quantity AS BIGINT) AS last_quantity, l.unit_price AS last_unit_price, l.total AS last_total, "
+    "CASE WHEN total_raw IS NOT NULL THEN CAST(0.8 AS DOUBLE) END AS total_score, "
     "CAST((i.invoice_number IS NOT NULL)::INT + (invoice_date IS NOT NULL)::INT + (supplier IS NOT NULL)::INT + (total_raw IS NOT NULL)::INT "
     "+ (vat_raw IS NOT NULL)::INT + (subtotal_raw IS NOT NULL)::INT AS INTEGER) AS n_scores "
-    "FROM inv i LEFT JOIN items f ON i.doc_id = f.doc_id AND f.item_no = 1"))
+    "FROM inv i LEFT JOIN items f ON i.doc_id = f.doc_id AND f.item_no = 1 LEFT JOIN items l ON i.doc_id = l.doc_id AND l.item_no = i.n_items"))
 def x_json_roundtrip(spark, d):
     """Records written as JSON in the shared folder and read back as any reader would: amounts are numbers or text."""
     path = scratch_path(spark, "json-records")
     write_json(to_record(invoices(spark, d)), path)
     item = "struct<description:string,quantity:bigint,unit_price:double,total:double>"
-    back = spark.read.schema("invoice_number string, invoice_date string, supplier string, total string, vat string, subtotal string, "
-                             f"line_items array<{item}>, confidence_scores map<string,double>, _raw string").json(path)
-    lines = spark.read.text(path)
-    kind = lambda f: F.get_json_object("value", f"$.{f}")
-    quoted = lines.select(F.get_json_object("value", "$.invoice_number").alias("_n"), *[
-        (kind(f).isNotNull() & F.col("value").rlike(f'"{f}": "')).alias(f"_{f}_text") for f in ("total", "vat")])
-    both = back.join(quoted, F.col("invoice_number") == F.col("_n"))
-    first = F.get("line_items", 0)
+    schema = ("invoice_number string, invoice_date string, supplier string, total string, vat string, subtotal string, "
+              f"line_items array<{item}>, confidence_scores map<string,double>")
+    # record and kind of each amount come from the same line, so that no row is looked up by a value that may be NULL or repeated
+    quoted = [F.col("value").rlike(f'"{f}": "').alias(f"_{f}_text") for f in AMOUNT_FIELDS]
+    both = spark.read.text(path).select(F.from_json("value", schema).alias("r"), *quoted).select("r.*", *[f"_{f}_text" for f in AMOUNT_FIELDS])
+    first, last = F.get("line_items", 0), F.get("line_items", F.size("line_items") - 1)
+    ends = [x[k].alias(f"{name}_{k}") for name, x in (("first", first), ("last", last)) for k in ("description", "quantity", "unit_price", "total")]
     return both.select(
-        "invoice_number", "invoice_date", "supplier", *[c for f in ("total", "vat") for c in (
+        "invoice_number", "invoice_date", "supplier", *[c for f in AMOUNT_FIELDS for c in (
             F.when(~F.col(f"_{f}_text"), F.col(f)).try_cast("double").alias(f), F.when(F.col(f"_{f}_text"), F.col(f)).alias(f"{f}_text"))],
-        F.size("line_items").alias("n_items"), first["description"].alias("first_description"), first["quantity"].alias("first_quantity"),
-        first["total"].alias("first_total"), F.size("confidence_scores").alias("n_scores"))
+        F.size("line_items").alias("n_items"), *ends, F.try_element_at("confidence_scores", F.lit("total")).alias("total_score"), F.size("confidence_scores").alias("n_scores"))
 
 
 @register("x_csv_roundtrip", O.with_base(
