@@ -553,7 +553,9 @@ def x_json_roundtrip(spark, d):
 
 
 @register("x_csv_roundtrip", O.with_base(
-    "SELECT i.doc_id, i.invoice_number, supplier, total_raw IS NOT NULL AS has_total, CAST(n_items AS INTEGER) AS line_items_count, "
+    "SELECT i.doc_id, i.invoice_number, invoice_date, supplier, total_raw IS NOT NULL AS has_total, "
+    + "".join(f"CASE WHEN conv_{f} THEN i.{f} ELSE try_cast({f}_raw AS DOUBLE) END AS {f}, " for f in ("total", "vat", "subtotal"))
+    + _CONF + ", CAST(n_items AS INTEGER) AS line_items_count, "
     "CAST(f.item_no AS INTEGER) AS item_no, f.description, f.quantity, f.total AS item_total, f.unit_price "
     "FROM inv i LEFT JOIN items f ON i.doc_id = f.doc_id"))
 def x_csv_roundtrip(spark, d):
@@ -565,7 +567,9 @@ def x_csv_roundtrip(spark, d):
     head = read("invoices", "doc_id long, invoice_number string, invoice_date string, supplier string, total string, vat string, "
                             f"subtotal string, line_items_count int, {scores}")
     items = read("line_items", "doc_id long, item_no int, description string, quantity long, total double, unit_price double")
-    return head.select("doc_id", "invoice_number", "supplier", F.col("total").isNotNull().alias("has_total"), "line_items_count").join(
+    amounts = [F.col(f).try_cast("double").alias(f) for f in AMOUNT_FIELDS]
+    scores = [c for c in head.columns if c.startswith("confidence_")]
+    return head.select("doc_id", "invoice_number", "invoice_date", "supplier", F.col("total").isNotNull().alias("has_total"), *amounts, *scores, "line_items_count").join(
         items.withColumnRenamed("total", "item_total"), "doc_id", "left")
 
 
