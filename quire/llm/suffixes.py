@@ -11,12 +11,14 @@
    words from the minimiser on: suffixes of one class hold the same k words around it. The smallest document of a
    class is the source; in all others these windows are repeated, and windows in a row make one span, extended to
    the left and to the right.
-4. Minimisers whose suffixes a partition border has cut take part once more, window by window: each partition sends
-   the windows of which it holds no smaller document, packed in buckets, and those that several partitions hold are
-   grouped by all their words.
+4. Minimisers whose suffixes a partition border has cut take part once more: each partition sends the windows of which it
+   holds no smaller document, as packed arrays of two hashes of all their words and the smallest coordinate. A bucket
+   answers each partition with the coordinates of smaller documents elsewhere, and windows in a row make one span. No row
+   stands for a window.
 
 A word goes if such a span covers it, so the smallest document that holds a passage keeps it. Words are compared by 32
-bits each beside a common 64-bit minimiser, so that a false match of k words has a chance of 2^-32 a word.
+bits each beside a common 64-bit minimiser, so that a false match of k words has a chance of 2^-32 a word; across
+partitions by 128 bits of these.
 
 Defined results: null texts have no words; rows with a null id are neither changed nor a source; rows that share an id
 are one document each, and none is above the other; texts of fewer than k words have no suffix; empty tables give no
@@ -25,7 +27,6 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -46,7 +47,6 @@ PART_BYTES = 8_000_000
 _SUFFIX = {"seed": pa.int64(), "right": pa.binary(), "left": pa.binary(), "block": pa.int64(), "doc": pa.list_(pa.int64()), "row": pa.list_(pa.int32()), "at": pa.list_(pa.int32())}
 _SPAN = {"block": pa.int64(), "doc": pa.list_(pa.int64()), "row": pa.list_(pa.int32()), "start": pa.list_(pa.int32()), "words": pa.int32(), "source_doc": pa.int64(), "source_start": pa.int32()}
 _FOUND = {**_SPAN, "seed": pa.int64(), "right": pa.binary(), "left": pa.binary(), "open": pa.int64(), "part": pa.int32()}
-_WINDOW = {"window": pa.binary(), "block": pa.int64(), "doc": pa.list_(pa.int64()), "row": pa.list_(pa.int32()), "start": pa.list_(pa.int32())}
 
 
 def _selected(b: Block, k: int, m: int) -> np.ndarray:
@@ -166,53 +166,91 @@ def _neighbours(k: int, m: int):
     return run
 
 
-def _open_windows(t: pa.Table, k: int, m: int) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """Digests of the open windows of a partition's suffixes, by all their words; and (suffix, words before) of each."""
-    words = np.hstack([_matrix(t.column("left"))[:, ::-1], _matrix(t.column("right"))])  # the minimiser starts at column k
-    names, at = [], []
-    for a, (seed, free) in enumerate(zip(t.column("seed").to_pylist(), t.column("open").to_pylist(), strict=True)):
-        key = seed.to_bytes(8, "little", signed=True)
-        for before in range(k - m + 1):
-            if free >> before & 1:
-                names.append(hashlib.blake2b(words[a, k - before : 2 * k - before].tobytes(), digest_size=16, key=key).digest())
-                at.append((a, before))
-    return names, at
+def _open_windows(t: pa.Table, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each window around a partition's cut suffixes, by all its words and its minimiser, and whether it is open.
+
+    Both have a row for each suffix and a column for each number of words before the minimiser.
+    """
+    width, n = k - m + 1, len(t)
+    words = np.hstack([_matrix(t.column("left"))[:, ::-1], _matrix(t.column("right"))]).astype(np.uint64)  # the minimiser starts at column k
+    seed, free = (np.asarray(t.column(c).combine_chunks()).astype(np.int64) for c in ("seed", "open"))
+    names = np.empty((n, width, 2), np.uint64)
+    begin = k - np.arange(width)
+    for at in range(0, n, 4096):
+        part = words[at : at + 4096]
+        own = seed[at : at + 4096].view(np.uint64)[:, None]
+        for j in range(2):  # a window never leaves its own 2k words
+            every = window_hashes(mix(part.ravel(), 11 + j), k, seed=21 + j)
+            names[at : at + 4096, :, j] = mix(every[np.arange(len(part))[:, None] * 2 * k + begin] ^ mix(own, 31 + j))
+    return names, (free[:, None] >> np.arange(width) & 1).astype(bool)
 
 
-_KEYS = {"bucket": pa.int32(), "part": pa.int32(), "keys": pa.binary()}
+_KEYS = {"bucket": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "doc": pa.binary(), "start": pa.binary()}
 
 
 def _window_keys(k: int, m: int, buckets: int):
-    """The open windows of a partition, as 64 bits each, packed by bucket."""
+    """The open windows of a partition: two hashes and the smallest coordinate of each, packed by bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, _ = _open_windows(table, k, m)
-        keys = np.unique(np.frombuffer(b"".join(x[:8] for x in names), np.uint64))
+        names, free = _open_windows(table, k, m)
+        a, before = np.nonzero(free)
+        key = names[a, before]
+        doc = np.array([x[0] for x in table.column("doc").to_pylist()], np.int64)[a]
+        start = np.array([min(y for d, y in zip(*x, strict=True) if d == x[0][0]) for x in zip(table.column("doc").to_pylist(), table.column("start").to_pylist(), strict=True)], np.int64)[a] - before
+        order = np.lexsort((start, doc, key[:, 1], key[:, 0]))
+        key, doc, start = key[order], doc[order], start[order]
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(key) else order
+        columns = [np.ascontiguousarray(key[first]), doc[first], start[first].astype(np.int32)]
         part = table.column("part")[0].as_py()
-        return table_of(_KEYS, [(n, part, c[0]) for n, c in packed(bucket_of(keys, buckets), buckets, [keys])])
+        return table_of(_KEYS, [(n, part, *c) for n, c in packed(bucket_of(columns[0][:, 0], buckets), buckets, columns)])
 
     return run
 
 
-def _in_two(table: pa.Table) -> pa.Table:
-    """Of a bucket's windows those that several partitions hold, for each of these."""
-    own = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    key, count = np.unique(np.concatenate(own), return_counts=True)
-    again = key[count > 1]
-    rows = [(table.column("bucket")[0].as_py(), part, x[np.isin(x, again)].tobytes()) for part, x in zip(table.column("part").to_pylist(), own, strict=True)]
-    return table_of(_KEYS, [r for r in rows if r[2]])
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, doc, start = (b"".join(table.column(c).to_pylist()) for c in ("keys", "doc", "start"))
+    return np.frombuffer(key, np.uint64).reshape(-1, 2), np.frombuffer(doc, np.int64), np.frombuffer(start, np.int32)
+
 
+def _first_elsewhere(table: pa.Table) -> pa.Table:
+    """Of a bucket's windows those of which another partition holds a smaller document, with that coordinate, for each partition."""
+    key, doc, start = _unpacked(table)
+    size = [len(x) // 16 for x in table.column("keys").to_pylist()]
+    order = np.lexsort((start, doc, key[:, 1], key[:, 0]))
+    first = np.flatnonzero(np.append(True, (key[order][1:] != key[order][:-1]).any(axis=1)))
+    source = np.empty(len(order), np.int64)
+    source[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
+    rows, begin = [], 0
+    for part, n in zip(table.column("part").to_pylist(), size, strict=True):
+        own = np.arange(begin, begin + n)
+        begin += n
+        hit = own[doc[source[own]] < doc[own]]
+        if len(hit):
+            rows.append((table.column("bucket")[0].as_py(), part, key[hit].tobytes(), doc[source[hit]].tobytes(), start[source[hit]].tobytes()))
+    return table_of(_KEYS, rows)
 
-def _windows(k: int, m: int):
-    """One row for each window of a partition that other partitions hold too."""
+
+def _across(k: int, m: int):
+    """Spans of a partition's cut suffixes whose windows smaller documents in other partitions hold."""
 
     def run(t: pa.Table, back: pa.Table) -> pa.Table:
         if not len(t) or not len(back):
-            return table_of(_WINDOW, [])
-        again = {x[i : i + 8] for x in back.column("keys").to_pylist() for i in range(0, len(x), 8)}
+            return table_of(_SPAN, [])
+        key, doc, start = _unpacked(back)
+        order = np.argsort(key[:, 0], kind="stable")
+        key, doc, start = key[order], doc[order], start[order]
+        names, free = _open_windows(t, k, m)
+        place = np.minimum(np.searchsorted(key[:, 0], names[:, :, 0]), len(key) - 1)
+        source = np.full((len(t), k - m + 3), -1)  # with a free column on either side
+        source[:, 1:-1] = np.where(free & (key[place] == names).all(axis=2), place, -1)
+        edge = np.diff((source >= 0).astype(np.int8), axis=1)
+        lows, highs = np.argwhere(edge == 1), np.argwhere(edge == -1)
         docs, rows, places, block = (t.column(c).to_pylist() for c in ("doc", "row", "start", "block"))
-        found = [(name, *x) for name, x in zip(*_open_windows(t, k, m), strict=True) if name[:8] in again]
-        return table_of(_WINDOW, [(name, block[a], docs[a], rows[a], [p - before for p in places[a]]) for name, a, before in found])
+        out = []
+        for (a, low), (_, high) in zip(lows.tolist(), highs.tolist(), strict=True):
+            b = int(source[a, high])
+            out.append((block[a], docs[a], rows[a], [p - high + 1 for p in places[a]], k + high - 1 - low, int(doc[b]), int(start[b])))
+        return table_of(_SPAN, out)
 
     return run
 
@@ -233,13 +271,9 @@ def spans(dealt: DataFrame, total: int, k: int, m: int) -> DataFrame:
     cut = found.filter("seed is not null").select("seed", "right", "left", "block", "doc", "row", "start", "open", "part")
     across = cut.groupBy("seed").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("seed")
     cut = cut.join(across, "seed")
-    back = cut.groupBy("part").applyInArrow(_window_keys(k, m, buckets), ddl(_KEYS)).groupBy("bucket").applyInArrow(_in_two, ddl(_KEYS))
-    windows = cut.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_windows(k, m), ddl(_WINDOW))
-    own = F.struct(F.col("doc")[0].alias("doc"), F.col("start")[0].alias("start"))
-    first = windows.groupBy("window").agg(F.min(own).alias("source"), F.max(F.col("doc")[0]).alias("last")).filter(F.col("source.doc") < F.col("last")).drop("last")
-    again = windows.join(first, "window").filter(F.col("doc")[0] > F.col("source.doc"))
-    again = again.select("block", "doc", "row", "start", F.lit(k).alias("words"), F.col("source.doc").alias("source_doc"), F.col("source.start").alias("source_start"))
-    return found.filter("seed is null").select(*_SPAN).union(again)
+    back = cut.groupBy("part").applyInArrow(_window_keys(k, m, buckets), ddl(_KEYS)).groupBy("bucket").applyInArrow(_first_elsewhere, ddl(_KEYS))
+    again = cut.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_across(k, m), ddl(_SPAN))
+    return found.filter("seed is null").select(*_SPAN).union(again.select(*_SPAN))
 
 
 def without_repeats(docs: DataFrame, k: int = 50, m: int = 8, digest: bool = False) -> DataFrame:
