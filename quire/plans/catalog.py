@@ -802,5 +802,6 @@ def flagship(spark, d) -> DataFrame:
                     F.col("total_anomalies").alias("n_anomalies"), mism.alias("_m")).where("_m").drop("_m")
 
 
-# registers the queries over records, dated histories, own rules and observed runs
+# registers the queries over records, dated histories, own rules and observed runs, and those over files and laid out tables
 from . import catalog_records as _catalog_records  # noqa: E402, F401
+from . import catalog_files as _catalog_files  # noqa: E402, F401
