@@ -1,7 +1,6 @@
 """Field and line-item extraction from document text, as native column expressions.
 
-``extract_fields(docs)`` turns ``(doc_id, text, …)`` into one typed invoice row per document (schema in
-``quire.schemas.INVOICE_COLUMNS``). It is a narrow, shuffle-free projection; every regex is evaluated once per
+``extract_fields(docs)`` turns ``(doc_id, text, …)`` into one typed invoice row per document (columns in its docstring). It is a narrow, shuffle-free projection; every regex is evaluated once per
 row. Filtering on an extracted column right after this projection makes Catalyst push the filter below it and
 evaluate the regex twice, so materialise (write or ``persist``) extracted tables before filtering them.
 """

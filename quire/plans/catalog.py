@@ -620,23 +620,44 @@ def i_oracle(spark, d):
                     F.size("lines").cast("bigint").alias("n_lines"))
 
 
+_LINES = "array<struct<item_no:int,description:string,quantity:decimal(38,0),unit_price:double,total:double>>"
+_PAYLOADS = {
+    "generic": (f"vendor string, invoice_number string, invoice_date string, subtotal double, tax_amount double, total_amount double, line_items {_LINES}, "
+                "metadata struct<extraction_confidence:map<string,double>,validation_status:string,anomaly_flags:array<string>>",
+                {"vendor": "vendor", "number": "invoice_number", "issued": "invoice_date", "amount": "total_amount", "tax": "tax_amount", "subtotal": "subtotal", "items": "line_items"}),
+    "sap": (f"BUKRS string, LIFNR string, BLDAT string, WRBTR double, WAERS string, XBLNR string, BSART string, ITEMS {_LINES}",
+            {"vendor": "LIFNR", "number": "XBLNR", "issued": "BLDAT", "amount": "WRBTR", "items": "ITEMS"}),
+    "oracle": (f"vendor_id string, invoice_num string, invoice_date string, invoice_amount double, tax_amount double, currency_code string, invoice_type_lookup_code string, "
+               f"description string, lines {_LINES}",
+               {"vendor": "vendor_id", "number": "invoice_num", "issued": "invoice_date", "amount": "invoice_amount", "tax": "tax_amount", "items": "lines"}),
+}
+
+
 @register("i_outbox", O.with_base(
-    "SELECT i.doc_id, t.target, invoice_number AS document_id, t.label, supplier AS vendor, i.total AS amount, invoice_date AS issued, "
-    "CAST(n_items AS INTEGER) AS n_items, f.description AS first_description, f.total AS first_total "
+    "SELECT i.doc_id, t.target, invoice_number AS document_id, t.label, supplier AS vendor, invoice_number AS number, i.total AS amount, invoice_date AS issued, "
+    "CASE WHEN t.target <> 'sap' THEN i.vat END AS tax, CASE WHEN t.target = 'generic' THEN i.subtotal END AS subtotal, CAST(n_items AS INTEGER) AS n_items, "
+    "coalesce(f.descriptions, '') AS descriptions, coalesce(f.quantity, 0)::BIGINT AS quantity, coalesce(f.unit_cents, 0)::BIGINT AS unit_cents, coalesce(f.cents, 0)::BIGINT AS cents, "
+    "CASE t.target WHEN 'sap' THEN 'CompanyCode USD ZINV' WHEN 'oracle' THEN 'USD STANDARD' || coalesce(' Invoice ' || invoice_number, '') ELSE concat_ws(' ', 'unknown', 0, "
+    "CASE WHEN invoice_date IS NOT NULL THEN 'invoice_date' END, CASE WHEN invoice_number IS NOT NULL THEN 'invoice_number' END, CASE WHEN subtotal_raw IS NOT NULL THEN 'subtotal' END, "
+    "CASE WHEN supplier IS NOT NULL THEN 'supplier' END, CASE WHEN total_raw IS NOT NULL THEN 'total' END, CASE WHEN vat_raw IS NOT NULL THEN 'vat' END) END AS others "
     "FROM inv i CROSS JOIN (VALUES ('generic', 'Generic'), ('sap', 'SAP'), ('oracle', 'Oracle')) t(target, label) "
-    "LEFT JOIN items f ON i.doc_id = f.doc_id AND f.item_no = 1"))
+    "LEFT JOIN (SELECT doc_id, string_agg(description, '|' ORDER BY item_no) AS descriptions, sum(quantity) AS quantity, sum(CAST(round(unit_price * 100) AS BIGINT)) AS unit_cents, "
+    "sum(CAST(round(total * 100) AS BIGINT)) AS cents FROM items GROUP BY doc_id) f ON i.doc_id = f.doc_id"))
 def i_outbox(spark, d):
-    """Payloads as they would be sent, read back from their JSON."""
+    """Payloads as they would be sent: each is read back from its JSON once, and every field and item of it is compared."""
     inv = invoices_once(spark, d)  # I5 fan-out: one written frame, one projection per target
-    names = {"generic": ("vendor", "total_amount", "invoice_date", "line_items"), "sap": ("LIFNR", "WRBTR", "BLDAT", "ITEMS"),
-             "oracle": ("vendor_id", "invoice_amount", "invoice_date", "lines")}
     out = None
-    for t, (vendor, amount, issued, items) in names.items():
-        at = lambda path: F.get_json_object("payload", f"$.{path}")
-        parsed = F.from_json(at(items), "array<struct<description:string,total:double>>")
-        one = outbox(inv, t).select("doc_id", "target", "document_id", "label", at(vendor).alias("vendor"), at(amount).cast("double").alias("amount"),
-                                    at(issued).alias("issued"), F.size(parsed).alias("n_items"), F.get(parsed, 0)["description"].alias("first_description"),
-                                    F.get(parsed, 0)["total"].alias("first_total"))
+    for t, (schema, names) in _PAYLOADS.items():
+        sent = outbox(inv, t).select("doc_id", "target", "document_id", "label", F.from_json("payload", schema).alias("p"))
+        p = lambda name: F.col(f"p.{names[name]}") if name in names else F.lit(None).cast("double")
+        summed = lambda v: F.aggregate(p("items"), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(v(x).cast("long"), F.lit(0)))
+        others = {"sap": ["p.BUKRS", "p.WAERS", "p.BSART"], "oracle": ["p.currency_code", "p.invoice_type_lookup_code", "p.description"],
+                  "generic": ["p.metadata.validation_status", F.size("p.metadata.anomaly_flags").cast("string"),
+                              F.array_join(F.array_sort(F.map_keys("p.metadata.extraction_confidence")), " ")]}
+        one = sent.select("doc_id", "target", "document_id", "label", *[p(n).alias(n) for n in ("vendor", "number", "amount", "issued", "tax", "subtotal")],
+                          F.size(p("items")).alias("n_items"), F.array_join(F.transform(p("items"), lambda x: x["description"]), "|").alias("descriptions"),
+                          summed(lambda x: x["quantity"]).alias("quantity"), summed(lambda x: F.round(x["unit_price"] * 100)).alias("unit_cents"),
+                          summed(lambda x: F.round(x["total"] * 100)).alias("cents"), F.concat_ws(" ", *others[t]).alias("others"))
         out = one if out is None else out.unionByName(one)
     return out
 
