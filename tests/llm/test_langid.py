@@ -1,5 +1,10 @@
 """Language ID: held-out accuracy on the given documents, and defined results on odd rows."""
 
+import random
+import re
+
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quire.llm import langid
@@ -44,3 +49,32 @@ def test_odd_rows(spark):
     assert nothing == {} and {r.lang_pred for r in langid.classify(docs, nothing).collect()} == {"und"}
     alone = langid.fit(labelled.filter(F.col("lang") == "fr"))
     assert {r.score for r in langid.classify(docs.filter("doc_id = 1"), alone).collect()} == {1.0}
+
+
+def direct(text, model, piece=4096, level=7):
+    """Encoded bytes by language: every piece by a compressor of its own, with its dictionary read anew."""
+    raw = (" " + re.sub(r"[\W\d_]+", " ", text.lower()) + " ").encode()
+    total = {}
+    for lang, held in model.items():
+        total[lang] = 0
+        for at in range(0, len(raw), piece):
+            how = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(held), source_size=piece, min_match=3, write_checksum=False, write_content_size=False, write_dict_id=False)
+            one = zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            total[lang] += len(one.compress(bytes(128) + raw[at : at + piece]))
+    return total
+
+
+def test_against_direct_compression(spark):
+    rng = random.Random(6)
+    vocabulary = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(300)] for lang, letters in (("aa", "abcdeioué"), ("bb", "klmnorstuw"), ("cc", "abeklprsty"))}
+    say = lambda lang, n: " ".join(rng.choice(vocabulary[lang]) for _ in range(n))
+    labelled = spark.createDataFrame([(say(lang, 80), lang) for lang in vocabulary for _ in range(40)], "text string, lang string")
+    model = langid.fit(labelled, per_language=30, dictionary_bytes=8000)
+    texts = [say(lang, n) for lang in vocabulary for n in (1, 3, 10, 60, 3000)] + [say("aa", 40) + " " + say("bb", 40), "Q", "1 é 2", "KLMNOR, klm-nor! " * 700]
+    got = {r.doc_id: r for r in langid.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        sizes = direct(text, model)
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[got[k].lang_pred] == best, text[:60]
+        assert got[k].margin == pytest.approx((second - best) / best) and got[k].rejected == (got[k].margin < 0.02)
+    assert any(r.rejected for r in got.values()) and sum(not r.rejected for r in got.values()) > 10

@@ -55,3 +55,30 @@ def test_odd_rows(spark):
     assert qm.score(stats.limit(0), model).count() == 0
     assert qm.fit(stats.join(labels.limit(0), "doc_id")) is None
     assert {r.score for r in qm.score(stats, None).collect()} == {0.5}
+
+
+def test_cosines_are_a_gaussian_kernel_and_the_fit_is_ridge(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, len(qm.NAMES))) * rng.uniform(0.1, 3, len(qm.NAMES)) + 1
+    label, held = (x[:, 0] + x[:, 3] > 2).astype(int), np.arange(60) % 4 == 0
+    rows = [([float(v) for v in r], int(y), bool(h)) for r, y, h in zip(x, label, held, strict=True)]
+    labelled = spark.createDataFrame(rows, "stats array<double>, label int, calibrate boolean").repartition(5)
+    model = qm.fit(labelled, features=24, width=4.0, ridge=0.01, bins=64)
+    train = x[~held]
+    mean, scale = train.mean(axis=0), train.std(axis=0)
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale)
+    # ridge as least squares over rows of its own, not as normal equations
+    z = model.cosines(train)
+    grown = np.vstack([z, np.sqrt(0.01 * len(train)) * np.eye(25)[:24]])
+    weight = np.linalg.lstsq(grown, np.append(label[~held].astype(float), np.zeros(24)), rcond=None)[0]
+    assert np.allclose(model.cosines(x) @ model.weight, model.cosines(x) @ weight, atol=1e-5)
+    # products of many cosines are the kernel
+    many = qm.Model(mean, scale, rng.standard_normal((len(qm.NAMES), 40000)) / 4.0, rng.uniform(0, 2 * np.pi, 40000), np.zeros(40001), np.empty(0), np.empty(0))
+    z, c = np.clip((x - mean) / scale, -6, 6), many.cosines(x)[:, :-1]
+    kernel = np.exp(-((z[:, None] - z[None]) ** 2).sum(axis=2) / (2 * 4.0**2))
+    assert np.abs(c @ c.T - kernel).max() < 0.04
+    # calibration: scores of the rows held back, counted in bins, under the rising fit
+    at = np.minimum((model.raw(x[held]) - qm.LOW) / (qm.HIGH - qm.LOW) * 64, 63).astype(int)
+    bins = sorted(set(at))
+    want = qm.isotonic(np.array([(at == b).sum() for b in bins], float), np.array([label[held][at == b].sum() for b in bins], float))
+    assert np.allclose(model.value, want) and np.allclose(model.at, qm.LOW + (np.array(bins) + 0.5) * 2 / 64)
