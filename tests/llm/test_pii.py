@@ -1,10 +1,13 @@
 """PII: base spans against the plain patterns in Python, disclosing terms on a planted corpus, and odd rows."""
 
+import collections
+import math
 import random
 import re
 import time
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import pii
@@ -107,6 +110,60 @@ def test_terms_of_rare_entities(spark):
     assert "xu" not in {r.term for r in pii.disclosing(common, pii.find(common), generalise_at=0.0).collect()}
 
 
+def counted(texts, least_contexts, generalise_at, chance, reach=96):
+    """Disclosing terms by plain sets over whole texts."""
+    words = lambda x: set(re.findall(r"[^\W\d_]{2,}", x.lower()))
+    every = [words(t) for t in texts]
+    n_term = collections.Counter(w for ws in every for w in ws)
+    places = collections.defaultdict(lambda: collections.defaultdict(list))  # entity, document: contexts
+    for k, t in enumerate(texts):
+        for start, _, end, kind in base(t):
+            left, right = t[max(0, start - reach) : start], t[end : end + reach]
+            left = re.sub(r"^[^\x20\x09-\x0D]+", "", left) if start > reach else left
+            near = (left + " \n " + re.sub(r"[^\x20\x09-\x0D]+$", "", right)).lower()
+            places[kind, t[start:end].lower()][k].append(near)
+    hashed = lambda x: (xxhash.xxh64(x.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63
+    out = {}
+    for (kind, value), docs in places.items():
+        contexts = {c for cs in docs.values() for c in cs}
+        for term in set().union(*map(words, contexts)):
+            held = [k for k in docs if term in every[k]]
+            met = set()
+            for k in held:
+                met |= {c for c in docs[k] if term in words(c)} or {min(docs[k], key=hashed)}
+            if len(met) < 2 or (len(met) < least_contexts and (len(contexts) * n_term[term] / len(texts)) ** (len(met) - 1) / math.factorial(len(met) - 1) > chance):
+                continue
+            ic = math.log2(len(texts) / len(docs))
+            share = math.log2(len(texts) * len(held) / (len(docs) * n_term[term])) / ic if ic > 0 else 0.0
+            if share >= generalise_at:
+                out[kind, value, term] = share
+    return out
+
+
+@pytest.mark.parametrize("seed,least,at,chance", [(1, 3, 0.8, 0.05), (2, 3, 0.2, 0.05), (3, 2, 0.0, 1.0), (4, 4, 0.3, 0.3)])
+def test_terms_against_plain_counts(spark, seed, least, at, chance):
+    rng = random.Random(seed)
+    names = ["quillon", "Marrow", "Éloi", "tibbet", "okapi", "zephyr", "Nul"]
+    values = ["a@b.co", "1.2.3.4", "c@d.org", "+4930123456789", "E@f.gh", "99.1.2.3"]
+    texts = []
+    for _ in range(140):
+        parts = [rng.choice(["alpha", "bravo", "candle", "delta", "x", "9"]) for _ in range(rng.randint(0, 60))]
+        for v, name in zip(values, names):
+            if rng.random() < 0.06:
+                parts[rng.randint(0, len(parts)) : 0] = rng.choice([[name, v], [v, "of", name], [v], [name, *parts[:20], v, v]])
+        if rng.random() < 0.1:
+            parts.append(rng.choice(names))
+        texts.append(" ".join(parts))
+    texts += rng.sample(texts, 10)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.kind, r.value, r.term): r for r in pii.disclosing(docs, pii.find(docs), least, at, 0.95, chance).collect()}
+    want = counted(texts, least, at, chance)
+    want = {(k, re.sub("[^0-9]", "", v) if k == "phone" else v, t): s for (k, v, t), s in want.items()}
+    assert set(got) == set(want) and len(want) > 0
+    for key, share in want.items():
+        assert got[key].share == pytest.approx(share) and got[key].remove == (share >= 0.95)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a@b.co", "x"), (4, "a@b.co", None), (4, "a@b.co", None), (5, "x 4041 8949 7460 8795", "y"), (6, "é\U0001f600 a@b.co é", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
