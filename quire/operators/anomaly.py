@@ -9,9 +9,12 @@ measured size is under the threshold.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from ..functions.patterns import (
     MSG_CONVERSION,
@@ -137,6 +140,19 @@ def _conv_error(raw: Column) -> Column:
     return template(MSG_CONVERSION, raw=raw)
 
 
+def _joined(df: DataFrame, prof: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the profile of its key, if there is one. Rows without a key match nothing and are dealt by their own hash.
+
+    A plain join would send all of them to one partition, which a skewed join cannot split by key either.
+    """
+    own = ["doc_id"] if "doc_id" in df.columns else [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+    missing = reduce(or_, [F.col(k).isNull() for k in by])
+    # the profile's side is 0 for every key, but no literal: a literal would be taken out of the join's keys
+    none = F.pmod(F.xxhash64(*by), F.lit(1).cast("long"))
+    left = df.withColumn("_p_dealt", F.when(missing, F.xxhash64(*own).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long")))
+    return left.join(prof.withColumn("_p_dealt", none), [*by, "_p_dealt"], "left")
+
+
 def detect_anomalies(invoices: DataFrame, history_profile: DataFrame | None = None, by: list[str] | tuple[str, ...] = (),
                      mode: str | None = "statistical", own_rules: Sequence[Rule] = ()) -> DataFrame:
     """Appends ``anomalies``, ``scores``, ``has_anomalies``, ``total_anomalies``, ``anomaly_error``.
@@ -159,7 +175,7 @@ def detect_anomalies(invoices: DataFrame, history_profile: DataFrame | None = No
         if sorted(keys) != sorted(by):
             raise ValueError(f"the profile is keyed by {keys}, the invoices are to be joined by {by}")
         prof = history_profile.select(*by, *[F.col(c).alias("_p_" + c) for c in PROFILE_COLUMNS])
-        df = df.crossJoin(F.broadcast(prof)) if not by else df.join(prof, by, "left")
+        df = df.crossJoin(F.broadcast(prof)) if not by else _joined(df, prof, by)
 
     t_truthy, t_bad, total = _amount_state(df, "total")
     v_truthy, v_bad, vat = _amount_state(df, "vat")

@@ -239,3 +239,22 @@ def test_profile_is_written_once_and_must_fit_its_key(spark):
         detect_anomalies(inv_df(spark, []), p)
     with pytest.raises(ValueError):
         detect_anomalies(inv_df(spark, []), profile(hist), by=["supplier"])
+
+
+def test_invoices_without_a_key_are_dealt_out(spark):
+    """They match no profile, and a third of all rows without a supplier is no task of its own."""
+    text = "Total: {}.00\nVAT: 2.00\n{}"
+    rows = [(i, text.format(10 + i % 7, "" if i % 3 == 0 else f"From: Shop {'ABC'[i % 3]}\n")) for i in range(900)]
+    inv = extract_fields(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    prof = profile(inv, by=["supplier"])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = detect_anomalies(inv, prof, by=["supplier"]).select("doc_id", "supplier", "history_rows", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 900 and {r.history_rows for r in got if r.supplier} == {300} and all(r.history_rows is None for r in got if not r.supplier)
+    parts = [r.part for r in got if r.supplier is None]
+    assert len(parts) == 300 and max(parts.count(p) for p in set(parts)) < 100
