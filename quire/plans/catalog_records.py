@@ -68,8 +68,8 @@ def i_record_defaults(spark, d):
     extra = [to_target(r, "oracle").select("doc_id", F.col("description").alias("oracle_description")), to_target(r, "sap").select("doc_id", F.col("LIFNR").alias("sap_vendor")),
              r.select("doc_id", "record_ok")]
     out = to_target(r, "generic")
-    for e in extra:
-        out = out.join(e, "doc_id")
+    for e in extra:  # one row a record on both sides: the compressed size of a few columns is no reason to send them through the driver
+        out = out.join(e.hint("merge"), "doc_id")
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
     return out.select("doc_id", "record_ok", "vendor", "invoice_number", "invoice_date", "subtotal", "total_amount", "tax_amount", size("line_items").alias("n_items"),
                       F.col("metadata.validation_status").alias("validation_status"), size("metadata.anomaly_flags").alias("n_flags"), "oracle_description", "sap_vendor",
