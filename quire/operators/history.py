@@ -7,8 +7,8 @@
   states around the key's own mean. A window holds one row for each day of a key, never the rows of a key.
 * Quartiles, exact: the values are sorted once over range partitions, which numbers them in order; a wanted rank then descends through
   those numbers ``BITS`` bits at a time. At each level the rows that are still wanted are counted by day and digit, and
-  running counts over the days tell in which digit the rank lies for each day asked. The number of levels is the
-  logarithm of the number of rows; no task holds the values of a key or of a day.
+  running counts over the days tell in which digit the rank lies for each day asked. A key starts at the level at which all its
+  rows have one node, so the number of levels is the logarithm of the rows of a key; no task holds the values of a key or of a day.
 """
 
 from __future__ import annotations
@@ -69,9 +69,19 @@ def ranked_before(values: DataFrame, asked: DataFrame, value: str, by: list[str]
     width, high = ((x or 0).bit_length() for x in (last[1], last[0]))
     ordered = ordered.withColumn("_code", F.shiftleft("_part", width).bitwiseOR(F.col("_place"))).drop("_part", "_place")
     levels = max(1, -(-(width + high) // BITS))
-    asked = asked.withColumn("_node", F.lit(0).cast("long")).withColumn("_left", F.col("rank"))
-    node = [*by, "_node"]
-    for level in range(levels - 1, -1, -1):
+    # the numbers of a key lie next to each other: its ranks start at the lowest node that holds all of them
+    spans = ordered.groupBy(*by).agg(F.min("_code").alias("_low"), F.max("_code").alias("_high"))
+    at_level = lambda c, level: F.shiftright(c, level * BITS)
+    start = F.coalesce(*[F.when(at_level("_low", level) == at_level("_high", level), F.lit(level)) for level in range(levels)], F.lit(levels))
+    spans = spans.withColumn("_start", start).withColumn("_node", F.coalesce(*[F.when(F.col("_start") == level, at_level("_low", level)) for level in range(levels)], F.lit(0).cast("long")))
+    waiting = asked.withColumn("_left", F.col("rank"))
+    waiting = materialize(waiting.join(spans.drop("_low", "_high"), by) if by else waiting.crossJoin(F.broadcast(spans.drop("_low", "_high"))), "waiting")
+    begins = [r[0] for r in waiting.select("_start").distinct().collect()]  # at most one number a level
+    ready = lambda level: waiting.where(F.col("_start") == level).drop("_start")
+    node, asked = [*by, "_node"], ready(levels)
+    for level in range(min(levels, max(begins, default=0)) - 1, -1, -1):
+        if level + 1 < levels and level + 1 in begins:
+            asked = asked.unionByName(ready(level + 1))
         inside = ordered.withColumn("_node", F.shiftright("_code", (level + 1) * BITS)).withColumn("_digit", F.shiftright("_code", level * BITS).bitwiseAND(F.lit((1 << BITS) - 1)))
         inside = inside.join(asked.select(*node).distinct(), node, "left_semi")
         counts = materialize(inside.groupBy(*node, "_digit", at).agg(F.count("*").alias("_n")), "digit-counts")
@@ -83,6 +93,8 @@ def ranked_before(values: DataFrame, asked: DataFrame, value: str, by: list[str]
         found = asked.join(upto, [*node, at]).where((F.col("_left") < F.col("_to")) & (F.col("_left") >= F.col("_to") - F.col("_n")))
         asked = materialize(found.select(*[c for c in asked.columns if c not in ("_node", "_left")], F.shiftleft("_node", BITS).bitwiseOR(F.col("_digit")).alias("_node"),
                                          (F.col("_left") - F.col("_to") + F.col("_n")).alias("_left")), "descent")
+    if 0 in begins:
+        asked = asked.unionByName(ready(0))
     return asked.drop("_left").join(ordered.select(F.col("_code").alias("_node"), F.col("_v").alias(value)), "_node").drop("_node")
 
 

@@ -1,7 +1,13 @@
 """Round 3: joins and descents that do not grow with what they need not, and searches of ASCII texts."""
 
 import os
+import random
 
+from pyspark.sql import functions as F
+
+from quire.functions import stage
+from quire.operators import history
+from quire.operators.history import profile_as_of
 from quire.plans import catalog_records
 
 
@@ -16,3 +22,28 @@ def test_record_defaults_send_no_table_through_the_driver(spark, scratch):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     assert df.count() == 299
+
+
+def test_small_keys_skip_the_levels_of_large_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [("hot", day, float(rng.randrange(1, 1000))) for day in range(40) for _ in range(60)]
+    rows += [(f"c{k}", day, float(rng.randrange(1, 1000))) for k in range(400) for day in range(3)]
+    h = spark.createDataFrame(rows, "k string, n int, total double").select("k", F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")).alias("day"), "total", F.lit(1.0).alias("vat"))
+    written = []
+    real = stage.materialize
+
+    def counted(df, name="table"):
+        out = real(df, name)
+        if name == "descent":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(history, "materialize", counted)
+    got = {(r["k"], r["day"].toordinal()): (r["q1_total"], r["q3_total"]) for r in profile_as_of(h, h, ["k"], "day").collect()}
+    import numpy as np
+    first = min(d for _, d in got)
+    for (k, d), (q1, q3) in got.items():
+        before = [t for kk, n, t in rows if kk == k and first + n < d]
+        assert (q1, q3) == ((None, None) if not before else tuple(float(np.percentile(before, p)) for p in (25, 75)))
+    # 39 days of one large key at every level; 800 days of small keys (4 ranks each) at the last level or two, and not at all of them
+    assert len(written) > 2 and sum(written) < len(written) * 39 * 4 + 1.5 * 800 * 4
