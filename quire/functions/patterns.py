@@ -6,6 +6,8 @@ order. Each field's list is tried first to last; the first pattern that matches
 
 from __future__ import annotations
 
+import string
+
 # ---- FIXED VALUES: field patterns (searched case-insensitively, multi-line) -----------------------------------
 FIELD_PATTERNS: dict[str, list[str]] = {
     "invoice_number": [
@@ -63,6 +65,8 @@ SEARCH_PATTERNS: dict[str, list[str]] = {
     "vat": ["vat" + _AMOUNT, "tax" + _AMOUNT],
     "subtotal": ["subtotal" + _AMOUNT, "sub-total" + _AMOUNT],
 }
+# Fields whose group, when its pattern matches, is neither empty nor begins or ends with whitespace: one search gives the value.
+WHOLE_GROUPS = {"invoice_number", "invoice_date", "total", "vat", "subtotal"}
 # A description ends with its last whitespace (stripped later), so it needs no give-back.
 SEARCH_ITEM = r"([A-Za-z\s]++)(?<=[A-Za-z\s]\s)(\d++)\s++\$?+([\d,]++\.?+\d*+)\s++\$?+([\d,]++\.?+\d*+)"
 
@@ -139,6 +143,7 @@ PY_WHITESPACE = (
 # Flags: i = ignore case, u = Unicode case folding, m = multi-line, d = only \n ends a line.
 JAVA_WS = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 FIELD_FLAGS = "(?imdu)"
+PLAIN_FIELD_FLAGS = "(?imd)"
 ITEM_FLAGS = "(?d)"
 # A line item never starts right after a letter or whitespace (the previous match ends in a digit, comma or dot,
 # and a start after such a character would have matched one position earlier). Saying so up front keeps the
@@ -146,17 +151,28 @@ ITEM_FLAGS = "(?d)"
 ITEM_GUARD = r"(?<![A-Za-z\s])"
 
 
-def to_java(p: str) -> str:
-    """Rewrite ``\\s`` and ``\\d`` (inside and outside character classes) to the explicit Python-equivalent sets."""
+# The same sets and classes for texts of ASCII alone, character by character: Java tests such a class with one table look-up,
+# ranges and characters beyond Latin-1 one after another. Case folding needs no ``u`` there.
+ASCII_WS, ASCII_DIGITS, ASCII_LETTERS = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F ", string.digits, string.ascii_letters
+
+
+def to_java(p: str, plain: bool = False) -> str:
+    """Rewrite ``\\s`` and ``\\d`` (inside and outside character classes) to the explicit Python-equivalent sets.
+
+    ``plain``: for texts of ASCII alone.
+    """
+    ws, digits = (ASCII_WS, ASCII_DIGITS) if plain else (JAVA_WS, r"\p{Nd}")
+    if plain:
+        p = p.replace("A-Za-z", ASCII_LETTERS)
     out, i, in_class = [], 0, False
     while i < len(p):
         c = p[i]
         if c == "\\" and i + 1 < len(p):
             n = p[i + 1]
             if n == "s":
-                out.append(JAVA_WS if in_class else "[" + JAVA_WS + "]")
+                out.append(ws if in_class else "[" + ws + "]")
             elif n == "d":
-                out.append(r"\p{Nd}")
+                out.append("[" + digits + "]" if plain and not in_class else digits)
             else:
                 out.append(p[i : i + 2])
             i += 2
@@ -170,13 +186,13 @@ def to_java(p: str) -> str:
     return "".join(out)
 
 
-def java_field_pattern(p: str) -> str:
-    line = "[A-Za-z" + JAVA_WS.replace(r"\n", "", 1) + "&.,]"
-    return FIELD_FLAGS + to_java(p.replace("{c}", "\0")).replace("\0", line)
+def java_field_pattern(p: str, plain: bool = False) -> str:
+    line = "[A-Za-z" + (ASCII_WS if plain else JAVA_WS).replace(r"\n", "", 1) + "&.,]"
+    return (PLAIN_FIELD_FLAGS if plain else FIELD_FLAGS) + to_java(p.replace("{c}", "\0"), plain).replace("\0", line)
 
 
-def java_item_pattern(guarded: bool = True, pattern: str = SEARCH_ITEM) -> str:
-    return ITEM_FLAGS + to_java((ITEM_GUARD if guarded else "") + pattern)
+def java_item_pattern(guarded: bool = True, pattern: str = SEARCH_ITEM, plain: bool = False) -> str:
+    return ITEM_FLAGS + to_java((ITEM_GUARD if guarded else "") + pattern, plain)
 
 
 FIELD_ORDER = ["invoice_number", "invoice_date", "supplier", "total", "vat", "subtotal"]

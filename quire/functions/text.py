@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,26 +33,47 @@ def ustrip(c: Column | str) -> Column:
     return F.trim(col_of(c), F.lit(PY_WHITESPACE))
 
 
-def first_of(rows: DataFrame, text: str, patterns: dict[str, list[str]]) -> DataFrame:
+def is_ascii(c: Column | str) -> Column:
+    """As many characters as bytes: ASCII alone (or bytes that are no UTF-8, which no pattern matches)."""
+    return F.length(c) == F.octet_length(c)
+
+
+def first_of(rows: DataFrame, text: str, patterns: dict[str, list[str]], plain: str | None = None,
+             plain_patterns: dict[str, list[str]] | None = None, whole: Collection[str] = ()) -> DataFrame:
     """``rows`` with one column per field: group 1 of the first match of its first matching pattern, stripped.
 
     The n-th patterns of all fields are searched in the n-th projection, and only where the earlier ones found
     nothing. A search stops at its first match; a second, cheap match on that short string takes its group. No
     pattern matches an empty string, so an empty result of the search is a miss. An empty group (after stripping)
-    is NULL and does not fall through to a later pattern.
+    is NULL and does not fall through to a later pattern. The group of a field in ``whole`` is never empty when its
+    pattern matches and needs no stripping: its search takes the group at once.
+
+    ``plain`` names a column that holds the text where it is ASCII alone and NULL elsewhere; it is searched with
+    ``plain_patterns``, the forms for such texts.
     """
     keep = rows.columns
+
+    def find(source: str, f: str, n: int, group: int) -> Column:
+        found = F.regexp_extract(source, patterns[f][n], group)
+        if plain is None:
+            return found
+        return F.when(F.col(plain).isNull(), found).otherwise(F.regexp_extract(plain if source == text else source, plain_patterns[f][n], group))
+
     hits: list[str] = []
     for n in range(max(map(len, patterns.values()))):
         # NULL where an earlier pattern has found something: the condition compares with its empty result only
-        cols = {f"_hit{n}_{f}": F.regexp_extract(text, ps[n], 0) if n == 0 else
-                F.when(F.col(f"_hit{n - 1}_{f}") == "", F.regexp_extract(text, ps[n], 0))
-                for f, ps in patterns.items() if n < len(ps)}
+        cols = {}
+        for f, ps in patterns.items():
+            if n < len(ps):
+                found = find(text, f, n, 1 if f in whole else 0)
+                cols[f"_hit{n}_{f}"] = found if n == 0 else F.when(F.col(f"_hit{n - 1}_{f}") == "", found)
         rows = rows.select(*keep, *hits, *[c.alias(h) for h, c in cols.items()])
         hits += cols
 
     def group(f: str) -> Column:
-        found = [F.when(F.col(f"_hit{n}_{f}") != "", F.regexp_extract(f"_hit{n}_{f}", p, 1)) for n, p in enumerate(patterns[f])]
+        if f in whole:
+            return F.nullif(F.coalesce(*[F.col(f"_hit{n}_{f}") for n in reversed(range(len(patterns[f])))]), F.lit(""))
+        found = [F.when(F.col(f"_hit{n}_{f}") != "", find(f"_hit{n}_{f}", f, n, 1)) for n in range(len(patterns[f]))]
         return F.nullif(ustrip(F.coalesce(*found)), F.lit(""))
 
     return rows.select(*keep, *[group(f).alias(f) for f in patterns])

@@ -15,39 +15,58 @@ from ..functions.patterns import (
     CONFIDENCE_SCORE,
     FIELD_ORDER,
     SEARCH_PATTERNS,
+    WHOLE_GROUPS,
     java_field_pattern,
     java_item_pattern,
 )
-from ..functions.text import col_of, first_of, parse_amount, parse_double, parse_whole, ustrip
+from ..functions.text import col_of, first_of, is_ascii, parse_amount, parse_double, parse_whole, ustrip
 
 ITEM_STRUCT = "struct<item_no:int,description:string,quantity:decimal(38,0),unit_price:double,total:double>"
 
 
 def with_fields(docs: DataFrame, text_col: str = "text", patterns: dict[str, list[str]] | None = None) -> DataFrame:
     """``docs`` with one column per field (amounts as captured, ``<field>_raw``), each by the E0 cascade."""
-    pats = {f: [java_field_pattern(p) for p in ps] for f, ps in (patterns or SEARCH_PATTERNS).items()}
-    return first_of(docs, text_col, {f if f not in AMOUNT_FIELDS else f + "_raw": ps for f, ps in pats.items()})
+    name = lambda f: f if f not in AMOUNT_FIELDS else f + "_raw"
+    forms = lambda plain: {name(f): [java_field_pattern(p, plain) for p in ps] for f, ps in (patterns or SEARCH_PATTERNS).items()}
+    if patterns:
+        return first_of(docs, text_col, forms(False))
+    rows = docs if PLAIN in docs.columns else _with_plain(docs, text_col)
+    return first_of(rows, text_col, forms(False), PLAIN, forms(True), {name(f) for f in WHOLE_GROUPS}).drop(PLAIN)
 
 
-def line_item_matches(text: Column | str, guarded: bool = True) -> Column:
+PLAIN = "_plain"
+
+
+def _with_plain(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the text where it is ASCII alone, which the forms of the patterns for such texts search."""
+    return docs.withColumn(PLAIN, F.when(is_ascii(F.col(text_col)), F.col(text_col)))
+
+
+def line_item_matches(text: Column | str, guarded: bool = True, plain: bool = False) -> Column:
     """E8 scan: every non-overlapping match (group 0) of the line-item pattern, left to right."""
-    return F.regexp_extract_all(col_of(text), F.lit(java_item_pattern(guarded)), 0)
+    return F.regexp_extract_all(col_of(text), F.lit(java_item_pattern(guarded, plain=plain)), 0)
 
 
 ITEM_SEP, GROUP_SEP = "\u0002", "\u0000"  # never inside a match: not letters, whitespace, digits, ',', '.', '$'
 
 
-def line_items_column(text: Column | str, guarded: bool = True) -> Column:
+def line_items_column(text: Column | str, guarded: bool = True, plain: Column | str | None = None) -> Column:
     """``array<struct<item_no, description, quantity, unit_price, total>>`` before the conversion check.
 
     The guarded scan finds the matches; they are joined with a separator that no match can contain and the
     (unguarded) pattern is applied once more to that short string, rewriting every match to its four groups —
     one extra pass over the matched text instead of four regex calls per item. Re-matching a match on its own
-    yields the same groups, and the separator keeps matches from running into each other.
+    yields the same groups, and the separator keeps matches from running into each other. ``plain`` holds the text
+    where it is ASCII alone and is NULL elsewhere; it is scanned with the form for such texts.
     """
-    joined = F.array_join(line_item_matches(text, guarded), ITEM_SEP)
     groups = "$1" + GROUP_SEP + "$2" + GROUP_SEP + "$3" + GROUP_SEP + "$4"
-    rows = F.split(F.regexp_replace(joined, F.lit(java_item_pattern(guarded=False)), F.lit(groups)), ITEM_SEP)
+
+    def found(source: Column | str, is_plain: bool) -> Column:
+        joined = F.array_join(line_item_matches(source, guarded, is_plain), ITEM_SEP)
+        return F.regexp_replace(joined, F.lit(java_item_pattern(guarded=False, plain=is_plain)), F.lit(groups))
+
+    every = found(text, False) if plain is None else F.when(col_of(plain).isNull(), found(text, False)).otherwise(found(plain, True))
+    rows = F.split(every, ITEM_SEP)
 
     def item(g: Column, i: Column) -> Column:
         return F.struct(
@@ -90,7 +109,7 @@ def extract_fields(
     """
     fields = list(patterns or SEARCH_PATTERNS)
     keep = [c for c in docs.columns if keep_text or c != text_col]
-    found = with_fields(docs.withColumn("_items", line_items_column(text_col, guarded)), text_col, patterns)
+    found = with_fields(_with_plain(docs, text_col).withColumn("_items", line_items_column(text_col, guarded, PLAIN)), text_col, patterns)
     stage1 = found.select(*keep, *[f if f not in AMOUNT_FIELDS else f + "_raw" for f in fields], "_items")
     items_ok = F.forall("_items", lambda x: x["unit_price"].isNotNull() & x["total"].isNotNull())
     stage2 = stage1.withColumn("items_ok", items_ok)

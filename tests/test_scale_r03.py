@@ -5,8 +5,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from quire.functions import patterns as P
 from quire.functions import stage
 from quire.operators import history
+from quire.operators.extract import extract_fields
 from quire.operators.history import profile_as_of
 from quire.plans import catalog_records
 
@@ -47,3 +49,25 @@ def test_small_keys_skip_the_levels_of_large_ones(spark, monkeypatch):
         assert (q1, q3) == ((None, None) if not before else tuple(float(np.percentile(before, p)) for p in (25, 75)))
     # 39 days of one large key at every level; 800 days of small keys (4 ranks each) at the last level or two, and not at all of them
     assert len(written) > 2 and sum(written) < len(written) * 39 * 4 + 1.5 * 800 * 4
+
+
+def test_ascii_and_other_texts_are_searched_alike(spark):
+    words = ["invoice", "INV", "Date", "from", "Vendor:", "total", "VAT", "tax", "Subtotal", "sub-total", "amount due", "3/4/2024", "5 May 2024", "widget", "1,2.5", "$7", "9", ",", "#A-1", ":", "& Co."]
+    gaps = ["", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x1f ", "\x0b", " \n", "$"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randrange(1, 12))) for _ in range(30_000)]
+    # the mark at the end keeps a text from being ASCII and is in no pattern; it is set apart by a letter, which no group's end can take
+    both = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    marked = both.withColumn("text", F.concat("text", F.lit("\n%"), F.lit("§")))
+    plain = both.withColumn("text", F.concat("text", F.lit("\n%"), F.lit("!")))
+    cols = ["doc_id", "invoice_number", "invoice_date", "supplier", "total_raw", "vat_raw", "subtotal_raw", "total", F.to_json("line_items").alias("items")]
+    a, b = extract_fields(plain).select(*cols), extract_fields(marked).select(*cols)
+    assert a.exceptAll(b).count() == 0 and a.where("total_raw IS NOT NULL").count() > 1000
+    plan = extract_fields(plain)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(_plain#") == sum(map(len, P.SEARCH_PATTERNS.values())) and plan.count("regexp_extract_all(_plain#") == 1
+
+
+def test_each_search_of_a_whole_group_is_one_match(spark):
+    docs = spark.createDataFrame([(1, "INVOICE # A-1\nTotal: $5.00")], "doc_id long, text string")
+    plan = extract_fields(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(_hit0_total_raw" not in plan
