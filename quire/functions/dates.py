@@ -7,12 +7,19 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import DATE_FORMATS, DATE_SHAPES, JAVA_WS
+from .patterns import ASCII_WS, DATE_FORMATS, DATE_SHAPES, JAVA_WS
+from .text import is_ascii
+
+# Days and months that there are, in the order in which a layout names them. A parse that fails costs an exception: strings of
+# the right shape whose month is no month (a day-first date tried month first) are told apart before it.
+_DAY, _MONTH = r"(?:0?[1-9]|[12]\d|3[01])", r"(?:0?[1-9]|1[0-2])"
+_IN_RANGE = {"d/M/yyyy": f"^{_DAY}/{_MONTH}/", "M/d/yyyy": f"^{_MONTH}/{_DAY}/", "d-M-yyyy": f"^{_DAY}-{_MONTH}-", "M-d-yyyy": f"^{_MONTH}-{_DAY}-"}
 
 
 def normalise_spaces(s: Column) -> Column:
     """strptime lets one format space match any whitespace run; collapse runs so the Java parser agrees."""
-    return F.regexp_replace(s, F.lit("[" + JAVA_WS + "]+"), F.lit(" "))
+    runs = lambda ws: F.regexp_replace(s, F.lit("[" + ws + "]+"), F.lit(" "))
+    return F.when(is_ascii(s), runs(ASCII_WS)).otherwise(runs(JAVA_WS))
 
 
 def parse_normalised_date(n: Column, formats: list[str] | None = None, shapes: list[str] | None = None) -> Column:
@@ -22,8 +29,9 @@ def parse_normalised_date(n: Column, formats: list[str] | None = None, shapes: l
     parser does not: a 4-digit year, 1–2 digit day and month, nothing else in the string; only strings of that shape
     are parsed. Year 0 does not exist for strptime either.
     """
-    tries = [F.when(n.rlike(shape), F.try_to_date(n, fmt)) for fmt, shape in zip(formats or DATE_FORMATS, shapes or DATE_SHAPES)]
-    return F.when(~n.rlike(r"(?:^|[^0-9])0000(?:$|[^0-9])"), F.coalesce(*tries))
+    possible = lambda fmt, shape: n.rlike(shape) & n.rlike(_IN_RANGE[fmt]) if fmt in _IN_RANGE else n.rlike(shape)
+    tries = [F.when(possible(fmt, shape), F.try_to_date(n, fmt)) for fmt, shape in zip(formats or DATE_FORMATS, shapes or DATE_SHAPES)]
+    return F.when(~(F.contains(n, F.lit("0000")) & n.rlike(r"(?:^|[^0-9])0000(?:$|[^0-9])")), F.coalesce(*tries))
 
 
 def with_parsed_date(df: DataFrame, source: str = "invoice_date", name: str = "invoice_date_parsed") -> DataFrame:

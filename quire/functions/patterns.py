@@ -138,6 +138,8 @@ PY_WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+PLAIN_WHITESPACE = "".join(c for c in PY_WHITESPACE if c < "\x80")
+
 # Java regex dialect. Python's str-pattern classes are spelled out so that Java matches exactly the same
 # characters: \s is every code point with str.isspace() (Java's (?U)\s misses \x1c-\x1f), \d is category Nd.
 # Flags: i = ignore case, u = Unicode case folding, m = multi-line, d = only \n ends a line.

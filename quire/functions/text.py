@@ -81,7 +81,7 @@ def first_of(rows: DataFrame, text: str, patterns: dict[str, list[str]], plain:
 
 def ascii_digits(s: Column) -> Column:
     """Decimal digits of every script as 0-9, as ``int`` and ``float`` read them; other characters stay."""
-    return F.when(s.rlike(r"[^\x00-\x7F]"), F.translate(s, DIGITS[0], DIGITS[1])).otherwise(s)
+    return F.when(is_ascii(s), s).otherwise(F.translate(s, DIGITS[0], DIGITS[1]))
 
 
 def parse_double(s: Column) -> Column:

@@ -7,6 +7,8 @@ evaluate the regex twice, so materialise (write or ``persist``) extracted tables
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..functions.patterns import (
     AMOUNT_FIELDS,
     CONFIDENCE_SCORE,
     FIELD_ORDER,
+    PLAIN_WHITESPACE,
     SEARCH_PATTERNS,
     WHOLE_GROUPS,
     java_field_pattern,
@@ -57,7 +60,8 @@ def line_items_column(text: Column | str, guarded: bool = True, plain: Column |
     (unguarded) pattern is applied once more to that short string, rewriting every match to its four groups —
     one extra pass over the matched text instead of four regex calls per item. Re-matching a match on its own
     yields the same groups, and the separator keeps matches from running into each other. ``plain`` holds the text
-    where it is ASCII alone and is NULL elsewhere; it is scanned with the form for such texts.
+    where it is ASCII alone and is NULL elsewhere; it is scanned with the form for such texts, and its groups need
+    neither other scripts' digits nor other whitespace looked for, item by item.
     """
     groups = "$1" + GROUP_SEP + "$2" + GROUP_SEP + "$3" + GROUP_SEP + "$4"
 
@@ -65,19 +69,28 @@ def line_items_column(text: Column | str, guarded: bool = True, plain: Column |
         joined = F.array_join(line_item_matches(source, guarded, is_plain), ITEM_SEP)
         return F.regexp_replace(joined, F.lit(java_item_pattern(guarded=False, plain=is_plain)), F.lit(groups))
 
-    every = found(text, False) if plain is None else F.when(col_of(plain).isNull(), found(text, False)).otherwise(found(plain, True))
-    rows = F.split(every, ITEM_SEP)
+    every = _items(found(text, False), ustrip, parse_whole, parse_amount)
+    if plain is None:
+        return every
+    # only amounts hold commas
+    own = _items(F.replace(found(plain, True), F.lit(","), F.lit("")), lambda s: F.trim(s, F.lit(PLAIN_WHITESPACE)),
+                 lambda s: s.try_cast("decimal(38,0)"), lambda s: s.try_cast("double"))
+    return F.when(col_of(plain).isNull(), every).otherwise(own)
+
+
+def _items(joined: Column, strip: Callable[[Column], Column], whole: Callable[[Column], Column], amount: Callable[[Column], Column]) -> Column:
+    """The item structs of the joined matches, each rewritten to its four groups."""
 
     def item(g: Column, i: Column) -> Column:
         return F.struct(
             (i + 1).cast("int").alias("item_no"),
-            ustrip(g[0]).alias("description"),
-            parse_whole(g[1]).alias("quantity"),
-            parse_amount(g[2]).alias("unit_price"),
-            parse_amount(g[3]).alias("total"),
+            strip(g[0]).alias("description"),
+            whole(g[1]).alias("quantity"),
+            amount(g[2]).alias("unit_price"),
+            amount(g[3]).alias("total"),
         )
 
-    groups_of = F.transform(F.filter(rows, lambda r: r != ""), lambda r: F.split(r, GROUP_SEP))
+    groups_of = F.transform(F.filter(F.split(joined, ITEM_SEP), lambda r: r != ""), lambda r: F.split(r, GROUP_SEP))
     return F.transform(groups_of, item)
 
 
@@ -112,20 +125,22 @@ def extract_fields(
     found = with_fields(_with_plain(docs, text_col).withColumn("_items", line_items_column(text_col, guarded, PLAIN)), text_col, patterns)
     stage1 = found.select(*keep, *[f if f not in AMOUNT_FIELDS else f + "_raw" for f in fields], "_items")
     items_ok = F.forall("_items", lambda x: x["unit_price"].isNotNull() & x["total"].isNotNull())
-    stage2 = stage1.withColumn("items_ok", items_ok)
+    # each amount is read once: the columns below refer to it several times
+    number = {f: F.col("_n_" + f) for f in AMOUNT_FIELDS}
+    stage2 = stage1.withColumns({"items_ok": items_ok, **{"_n_" + f: parse_amount(F.col(f + "_raw")) for f in AMOUNT_FIELDS}})
 
     attempt = F.col("items_ok")
     amounts: dict[str, Column] = {}
     converted: dict[str, Column] = {}
     for f in AMOUNT_FIELDS:
         raw = F.col(f + "_raw")
-        amounts[f] = F.when(attempt, parse_amount(raw)).otherwise(parse_double(raw))
-        converted[f] = attempt & parse_amount(raw).isNotNull()
-        attempt = attempt & (raw.isNull() | parse_amount(raw).isNotNull())
+        amounts[f] = F.when(attempt, number[f]).otherwise(parse_double(raw))
+        converted[f] = attempt & number[f].isNotNull()
+        attempt = attempt & (raw.isNull() | number[f].isNotNull())
     parse_ok = attempt
 
     stored = {f: (F.col(f) if f not in AMOUNT_FIELDS else F.col(f + "_raw")) for f in FIELD_ORDER if f in fields}
-    out_cols = [c for c in stage2.columns if c not in ("_items", "items_ok")]
+    out_cols = [c for c in stage1.columns if c != "_items"]
     return stage2.select(
         *out_cols,
         *[amounts[f].alias(f) for f in AMOUNT_FIELDS],

@@ -75,7 +75,7 @@ def render_invoices(orders: DataFrame, lineitem: DataFrame, part: DataFrame) ->
         )
     )
     per_order = items.groupBy("l_orderkey").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["line"]), "\n").alias("block"),
+        F.array_join(F.sort_array(F.collect_list("item"))["line"], "\n").alias("block"),
         F.sum("item_total").alias("sub"),
     )
     o = orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("odate"))
