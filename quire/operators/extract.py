@@ -182,10 +182,7 @@ def merge_entities(invoices: DataFrame, entities: DataFrame, key: str = "doc_id"
     if with_lists:
         for label, name in (("ORG", "organizations"), ("DATE", "dates"), ("MONEY", "money")):
             aggs.append(
-                F.transform(
-                    F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("ord", "text")))),
-                    lambda s: s["text"],
-                ).alias(name)
+                F.sort_array(F.collect_list(F.when(F.col("label") == label, F.struct("ord", "text"))))["text"].alias(name)
             )
     ents = entities.groupBy(key).agg(*aggs)
     merged = invoices.join(ents, key, "left")

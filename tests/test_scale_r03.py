@@ -1,5 +1,6 @@
 """Round 3: joins and descents that do not grow with what they need not, and searches of ASCII texts."""
 
+import datetime
 import os
 import random
 
@@ -10,9 +11,10 @@ from quire.functions import patterns as P
 from quire.functions import stage
 from quire.operators import history
 from quire.operators import validate as validate_module
-from quire.operators.extract import extract_fields
+from quire.operators.extract import extract_fields, merge_entities
 from quire.operators.history import profile_as_of
-from quire.plans import catalog_records
+from quire.plans import catalog, catalog_files, catalog_records
+from quire.sinks import writers
 
 
 def _orders(spark, scratch, n=300):
@@ -103,8 +105,6 @@ def test_a_day_is_not_tried_as_a_month(spark):
     texts = [f"{a}{sep}{b}{sep}2004" for sep in "/-" for a in ("0", "00", "1", "01", "9", "12", "13", "29", "30", "31", "32", "99") for b in ("0", "2", "02", "11", "12", "13", "31", "40")]
     texts += ["1 /2/2004", "1 Feb 2004", "31  Feb\t2004", "3 March 2004", "0000-1-1", "1/1/0000", "10000-1-1", "2004-13-1", "2004-2-29"]
     docs = spark.createDataFrame([(t,) for t in texts], "invoice_date string")
-    import datetime
-
     def read(t):
         for fmt in ("%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d", "%d-%m-%Y", "%m-%d-%Y", "%d %b %Y", "%d %B %Y"):
             try:
@@ -116,3 +116,30 @@ def test_a_day_is_not_tried_as_a_month(spark):
     got = {r[0]: r[1] for r in df.select("invoice_date", "invoice_date_parsed").collect()}
     assert got == {t: read(t) for t in texts}
     assert "^(?:0?[1-9]|1[0-2])/" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_published_invoices_are_written_once_before_their_formats(spark, scratch, monkeypatch):
+    tables = {"orders": [(k, 5, datetime.datetime(2001, 2, 3)) for k in range(1, 20)], "part": [(1, "blue bolt")],
+              "lineitem": [(k, 1, 1, n, 2.0, 10.0 * n) for k in range(1, 20) for n in range(1, 3)]}
+    for name, schema in (("orders", "o_orderkey long, o_custkey long, o_orderdate timestamp"), ("part", "p_partkey long, p_name string"),
+                         ("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double")):
+        spark.createDataFrame(tables[name], schema).write.parquet(os.path.join(scratch, f"{name}.parquet"))
+    written, real = [], stage.materialize
+
+    def counted(df, name="table"):
+        written.append(name)
+        return real(df, name)
+
+    for module in (writers, catalog):
+        monkeypatch.setattr(module, "materialize", counted)
+    got = {r["what"]: (r["outcome"], r["n"]) for r in catalog_files.x_formats(spark, scratch).collect()}
+    assert written == ["records"] and got["json"] == got["csv"] == ("written", 19) and got["csv items"] == ("written", 38) and got["csv again"] == ("has been published", None)
+
+
+def test_entities_in_order_of_nulls_and_ties(spark):
+    ents = spark.createDataFrame([(1, 2, "ORG", "b"), (1, None, "ORG", "z"), (1, 2, "ORG", "a"), (1, 2, "ORG", None), (1, 0, "DATE", "d"), (2, 1, "MONEY", "m")], "doc_id long, ord int, label string, text string")
+    inv = spark.createDataFrame([(1, None), (2, "s"), (3, None)], "doc_id long, supplier string")
+    merged = merge_entities(inv, ents, with_lists=True)
+    assert "lambdafunction" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: (r["organizations"], r["dates"], r["money"]) for r in merged.collect()}
+    assert got == {1: (["z", None, "a", "b"], ["d"], []), 2: ([], [], ["m"]), 3: ([], [], [])}
