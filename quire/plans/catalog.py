@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.anomaly import PROFILE_COLUMNS, detect_anomalies, iqr_outlier, profile, z_score
@@ -507,9 +507,11 @@ _CONF = ", ".join(
     "CASE WHEN NOT conv_subtotal THEN subtotal_raw END AS subtotal_text, CAST(n_items AS INTEGER) AS "
     f"line_items_count, {_CONF} FROM inv"))
 def x_flat_header(spark, d):
-    rec = materialize(to_record(invoices(spark, d)), "records")  # both sides of the join read the written records
-    kinds = rec.select("doc_id", *[F.col(f)["text"].isNotNull().alias(f"_{f}_text") for f in AMOUNT_FIELDS])
-    flat = flatten_for_csv(rec).join(kinds, "doc_id")
+    rec = to_record(invoices(spark, d)).where(F.col("doc_id").isNotNull())
+    kinds = F.struct(*[F.col(f)["text"].isNotNull().alias(f"_{f}_text") for f in AMOUNT_FIELDS])
+    # a row meets the kinds of every record of its document, as in a join by doc_id; the documents lie together already
+    flat = flatten_for_csv(rec, [kinds.alias("_kinds")]).withColumn("_kinds", F.collect_list("_kinds").over(Window.partitionBy("doc_id")))
+    flat = flat.select("*", F.inline("_kinds"))
     return flat.select("doc_id", "invoice_number", "invoice_date", "supplier", *[c for f in AMOUNT_FIELDS for c in (
         F.when(~F.col(f"_{f}_text"), F.col(f)).cast("double").alias(f), F.when(F.col(f"_{f}_text"), F.col(f)).alias(f"{f}_text"))],
         "line_items_count", *[c for c in flat.columns if c.startswith("confidence_")])

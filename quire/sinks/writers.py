@@ -12,6 +12,7 @@ import json
 import logging
 import os
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,13 +67,13 @@ def write_json(records: DataFrame, path: str, pretty: bool = False, mode: str =
     json_records(records, pretty).write.mode(mode).text(path)
 
 
-def flatten_for_csv(records: DataFrame) -> DataFrame:
-    """Scalar keys as they are; ``line_items`` → ``line_items_count``; ``confidence_scores`` → a column per field."""
+def flatten_for_csv(records: DataFrame, more: Sequence[Column] = ()) -> DataFrame:
+    """Scalar keys as they are; ``line_items`` → ``line_items_count``; ``confidence_scores`` → a column per field; then ``more``."""
     amounts = {f: F.coalesce(F.col(f)["text"], F.col(f)["number"].cast("string")) for f in AMOUNT_FIELDS}
     return records.select(
         "doc_id", *[amounts.get(f, F.col(f)).alias(f) for f in FIELD_ORDER],
         F.coalesce(F.size("line_items"), F.lit(0)).alias("line_items_count"),
-        *[F.col("confidence_scores")[f].alias(f"confidence_{f}") for f in FIELD_ORDER])
+        *[F.col("confidence_scores")[f].alias(f"confidence_{f}") for f in FIELD_ORDER], *more)
 
 
 def line_item_rows(df: DataFrame, key: str = "doc_id") -> DataFrame:
