@@ -34,7 +34,7 @@ from ..functions.quantile import exact_quantiles
 from ..functions.stage import materialize
 from ..functions.text import template
 from .rules import Rule, applied
-from .validate import gt, vat_rate
+from .validate import compact, gt, vat_rate
 
 ANOMALY = "struct<field:string,type:string,value:double,message:string,severity:string>"
 PROFILE_COLUMNS = ["n_rows", "n_total", "mean_total", "std_total", "q1_total", "q3_total", "n_vat", "mean_vat",
@@ -124,7 +124,7 @@ def rule_anomalies(df: DataFrame) -> Column:
                  anomaly("total", "suspicious_pattern", MSG_ROUND_TOTAL, "low", total))
     descs = F.transform(F.col("line_items"),
                         lambda x: F.lower(F.coalesce(x["description"], F.lit(""))))
-    dup = F.when(F.size(descs) != F.size(F.array_distinct(descs)),
+    dup = F.when(F.size("line_items") != F.size(F.array_distinct(descs)),
                  anomaly("line_items", "duplicate_items", MSG_DUPLICATE_ITEMS, "medium"))
     sup = F.when(F.coalesce(F.col("supplier"), F.lit("")) == "",
                  anomaly("supplier", "missing_critical_field", MSG_SUPPLIER_MISSING, "high"))
@@ -133,7 +133,7 @@ def rule_anomalies(df: DataFrame) -> Column:
                   anomaly("vat", "unusual_rate",
                           template(MSG_HIGH_VAT_RATE, rate=F.format_string("%.2f", rate)),
                           "high", rate))
-    return F.filter(F.array(rnd, dup, sup, high), lambda a: a.isNotNull())
+    return compact([rnd, dup, sup, high], f"array<{ANOMALY}>")
 
 
 def _conv_error(raw: Column) -> Column:
@@ -197,7 +197,7 @@ def detect_anomalies(invoices: DataFrame, history_profile: DataFrame | None = No
         a_vat = F.when(run_v & gt(zv, Z_SCORE_THRESHOLD),
                        anomaly("vat", "statistical_outlier",
                                template(MSG_VAT_OUTLIER, z=F.format_string("%.2f", zv)), "medium", vat))
-        stat = F.filter(F.array(a_total, a_vat), lambda a: a.isNotNull())
+        stat = compact([a_total, a_vat], f"array<{ANOMALY}>")
         scores = F.map_filter(F.create_map(F.lit("total_z_score"), F.when(run_t, zt),
                                            F.lit("vat_z_score"), F.when(run_v, zv)), lambda k, v: v.isNotNull())
         # float(total) raises whenever total is truthy; float(vat) only where the VAT check runs
@@ -212,7 +212,7 @@ def detect_anomalies(invoices: DataFrame, history_profile: DataFrame | None = No
 
     own = [F.when(when, anomaly(r.field, r.code, r.message, r.severity, seen)) for r, when, seen in applied(df, own_rules, ("low", "medium", "high"))]
     if own:
-        anomalies = F.concat(anomalies, F.filter(F.array(*own), lambda a: a.isNotNull()))
+        anomalies = F.concat(anomalies, compact(own, f"array<{ANOMALY}>"))
     failed = err.isNotNull()
     empty = F.array().cast(f"array<{ANOMALY}>")
     out = df.select(
