@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import few_files, read_table
+from .tables import few_tasks, read_table
 
 HEADER_LINE = "Description  Qty  Price  Amount"
 
@@ -55,12 +55,12 @@ def render_invoices(orders: DataFrame, lineitem: DataFrame, part: DataFrame) ->
     )
     # Hash-partition by order key once: the per-order aggregation reuses it (no second shuffle), and an explicit
     # partition count keeps AQE from folding the CPU-heavy text work downstream into one or two tasks. When the
-    # scan arrives in fewer partitions than cores (one large file), partition before the part join so that the
+    # scan arrives in fewer partitions than cores (one small file), partition before the part join so that the
     # join and the string formatting run in parallel; otherwise after it (the part join may itself shuffle).
     spark = lineitem.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    few = few_files(lineitem)
+    few = few_tasks(lineitem)
     if few:
         li = li.repartition(n_parts, "l_orderkey")
     joined = li.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")

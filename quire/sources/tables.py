@@ -20,6 +20,11 @@ def few_files(df: DataFrame) -> bool:
     return len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
 
 
+def few_tasks(scan: DataFrame) -> bool:
+    """Is ``scan`` read by fewer tasks than the cluster has cores? A large file is read by many. Planning only: nothing runs."""
+    return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give CPU-heavy per-row work (regex extraction) on a table scan at least one task per core.
 

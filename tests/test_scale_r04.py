@@ -25,6 +25,27 @@ def _tables(spark, path, orders_twice=False):
     return path
 
 
+def test_lines_of_a_large_file_are_dealt_out_after_the_part_join_alone(spark, scratch):
+    path = _tables(spark, scratch)
+    lines = os.path.join(path, "lineitem.parquet")
+    read = lambda n: spark.read.parquet(os.path.join(path, f"{n}.parquet"))
+    small = sorted(render_invoices(read("orders"), read("lineitem"), read("part")).collect())
+    assert len(os.listdir(lines)) > 1 and len(read("lineitem").inputFiles()) == 1 < spark.sparkContext.defaultParallelism
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        # one file, split among as many tasks as there are cores, and a part table that is no broadcast
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = render_invoices(read("orders"), read("lineitem"), read("part"))
+        # by part, then by order; the third exchange and the fourth are those of part and of orders
+        assert _plan(df).count("Exchange hashpartitioning(") == 4
+        assert sorted(df.collect()) == small
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("twice", [False, True])
 def test_flat_header_reads_the_records_once(spark, scratch, monkeypatch, twice):
     path = _tables(spark, scratch, twice)
