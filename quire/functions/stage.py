@@ -12,18 +12,19 @@ from ..session import ensure_checkpoint_dir
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", dictionaries: bool = True) -> DataFrame:
     """Write ``df`` once as a parquet table under the shared ``spark.checkpoint.dir`` and continue from it.
 
     The boundary to put after extraction: a filter placed directly on extracted or derived columns is pushed
     below the projection and inlines the regex expressions (once per reference); reading the written table
     evaluates them exactly once. It cuts the lineage (a lost executor re-reads the table instead of re-scanning
     the text), and parquet is columnar and carries size statistics for the optimizer. The tables are deleted by
-    :func:`clear_tables` or when the session's process ends.
+    :func:`clear_tables` or when the session's process ends. Tables of mostly distinct values, such as extracted
+    invoices, take less CPU time and a tenth more space without ``dictionaries``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.enable.dictionary": str(dictionaries).lower()}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

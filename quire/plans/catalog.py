@@ -47,7 +47,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoices_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted invoices written once (checkpoint) — for queries that use them twice (history and input)."""
-    return materialize(invoices(spark, sf_dir))
+    return materialize(invoices(spark, sf_dir), dictionaries=False)
 
 
 # ---- extraction -------------------------------------------------------------------------------------------------
